@@ -36,7 +36,7 @@ KEY = ["k_ruc", "k_tipo", "k_serie", "k_numero"]
 
 def voucher_number(column: Column) -> Column:
     """Number without leading zeros; all zeros (or nothing) give '0'."""
-    bare = F.regexp_replace(F.trim(F.coalesce(column, F.lit(""))), "^0+", "")
+    bare = F.ltrim(F.trim(F.coalesce(column, F.lit(""))), F.lit("0"))
     return F.when(bare == "", "0").otherwise(bare)
 
 
@@ -85,9 +85,12 @@ def with_key(df: DataFrame) -> DataFrame:
 
 
 def last_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keep the last row of every key: highest `line_no`, then the other columns for a stable choice."""
-    ties = [F.desc("line_no")] + [F.desc(n) for n in df.columns if n not in keys and n != "line_no"]
-    rank = F.row_number().over(Window.partitionBy(keys).orderBy(ties))
+    """Keep the last row of every key: highest `line_no`, then date and amounts for a stable choice.
+
+    Spark limits the rank within each task before the shuffle, so a hot key sends one row per task.
+    """
+    order = ["line_no", "fecha_emision", "base_imponible", "igv", "importe_total", "razon_social"]
+    rank = F.row_number().over(Window.partitionBy(keys).orderBy([F.desc(n) for n in order]))
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 

@@ -23,7 +23,7 @@ DAY_NUMBER = "Boletas del día"
 def receipt_series(column: Column) -> Column:
     """'0127' and 'B127' are one series: all-digit names become 'B' and at least three digits."""
     text = clean_upper(column)
-    bare = F.regexp_replace(text, "^0+", "")
+    bare = F.ltrim(text, F.lit("0"))
     digits = F.when(F.length(bare) < 3, F.lpad(bare, 3, "0")).otherwise(bare)
     return F.when(text.rlike("^[0-9]+$"), F.concat(F.lit("B"), digits)).otherwise(text)
 

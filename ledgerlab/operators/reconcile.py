@@ -75,20 +75,43 @@ def _present_days(rows: DataFrame, coverage: list[str] | None, authority: DataFr
     return authority.select("periodo").distinct().select("periodo", listed.alias("dia"))
 
 
+# Which sides a scenario has. Filtering on them first turns the full outer join into a left,
+# right or inner one.
+def _sides(letter: str) -> Column:
+    company, authority = F.col("e").isNotNull(), F.col("s").isNotNull()
+    return {"A": company & ~authority, "B": authority & ~company}.get(letter, company & authority)
+
+
 @dataclass
 class Reconciliation:
-    """Lazy results. `rows` holds all scenarios; store it once with `session.cut_lineage` or the
-    scenario writer before reading several of them."""
+    """Lazy results. To read several scenarios, store `rows` once (`session.cut_lineage` or the
+    scenario writer) and pass the stored table to `scenario`."""
 
     book: str
-    rows: DataFrame
+    pairs: DataFrame
     receipts: DataFrame | None
     excluded: DataFrame
     surplus: DataFrame
 
-    def scenario(self, letter: str) -> DataFrame:
+    def _build(self, pairs: DataFrame) -> DataFrame:
+        rows = _scenarios(pairs, self.book)
+        if self.receipts is None:
+            return rows
+        daily = receipts_as_scenarios(self.receipts).withColumn("igv_total", F.coalesce("igv_empresa", "igv_sunat"))
+        texts = ["ruc_proveedor", "razon_social", "status_description", "periodo_hallazgo"]
+        return rows.unionByName(daily, allowMissingColumns=True).na.fill("", texts)
+
+    @property
+    def rows(self) -> DataFrame:
+        """All scenarios as one table with an `escenario` column."""
+        return self._build(self.pairs)
+
+    def scenario(self, letter: str, stored: DataFrame | None = None) -> DataFrame:
         """Rows of one scenario with its report columns."""
-        rows = self.rows.filter(F.col("escenario") == letter)
+        if letter not in ("A", "B", "C", "D"):
+            raise InvalidSpec(f"unknown scenario: {letter!r}")
+        source = self._build(self.pairs.filter(_sides(letter))) if stored is None else stored
+        rows = source.filter(F.col("escenario") == letter)
         head = ["periodo", "tipo_cdp", "serie", "numero"]
         if letter == "A":
             return rows.select(
@@ -101,8 +124,6 @@ class Reconciliation:
                 *head, F.col("fecha_emision_sunat").alias("fecha_emision"), "base_imponible_sunat",
                 F.col("igv_total").alias("igv_sunat"), "importe_total_sunat", "es_alerta_roja",
                 "ruc_proveedor", "razon_social")
-        if letter not in ("C", "D"):
-            raise InvalidSpec(f"unknown scenario: {letter!r}")
         dates = ["fecha_emision_empresa", "fecha_emision_sunat"]
         shown = L.AMOUNTS if letter == "C" else L.AMOUNTS[:5]
         amounts = [f"{n}_{s}" for n in shown for s in ("empresa", "sunat")]
@@ -111,8 +132,9 @@ class Reconciliation:
         extra = ["diferencias", "es_alerta_roja"] if letter == "C" else []
         return rows.select(*head, *dates, *amounts, *extra, *tail)
 
-    def summary(self) -> DataFrame:
+    def summary(self, stored: DataFrame | None = None) -> DataFrame:
         """One row: counts, IGV difference, conciliation rate and alert flag."""
+        rows = self.rows if stored is None else stored
         letter = F.col("escenario")
         igv = F.when(letter == "B", F.abs("igv_total")).when(letter == "C", F.aggregate(
             F.filter("diferencias", lambda d: d["campo"].isin(L.IGV_FIELDS)),
@@ -120,7 +142,7 @@ class Reconciliation:
             lambda acc, d: (acc + F.coalesce(F.abs(d["diferencia"]), F.lit(0).cast("decimal(19,3)"))).cast("decimal(28,3)")))
         counts = [F.count_if(letter == x).alias(f"escenario_{x.lower()}") for x in "ABCD"]
         late = F.count_if(F.col("periodo_hallazgo") != "").alias("reubicados")
-        out = self.rows.agg(
+        out = rows.agg(
             *counts, late,
             F.coalesce(F.round(F.sum(igv), 2), F.lit(0)).cast("decimal(28,2)").alias("igv_diferencia_total"),
             F.coalesce(F.max(F.col("es_alerta_roja") & (letter != "D")), F.lit(False)).alias("tiene_alertas_rojas"))
@@ -171,27 +193,20 @@ def reconcile(
         pairs = _within_coverage(pairs, _present_days(ours, coverage, theirs))
     if late:
         pairs = _rescue(pairs, theirs_once)
-    rows = _scenarios(pairs, book)
-    receipts = None
-    if sales:
-        receipts = receipts_by_day(company, authority)
-        daily = receipts_as_scenarios(receipts).withColumn(
-            "igv_total", F.coalesce("igv_empresa", "igv_sunat"))
-        rows = rows.unionByName(daily, allowMissingColumns=True)
-        rows = rows.na.fill("", ["ruc_proveedor", "razon_social", "status_description", "periodo_hallazgo"])
+    receipts = receipts_by_day(company, authority) if sales else None
     surplus = L.surplus_per_key(ours, keys).select(F.lit("empresa").alias("lado"), "sobrantes").unionByName(
         L.surplus_per_key(theirs, keys).select(F.lit("sunat").alias("lado"), "sobrantes"))
-    return Reconciliation(book, rows, receipts, excluded_types(company, book), surplus)
+    return Reconciliation(book, pairs, receipts, excluded_types(company, book), surplus)
 
 
 def _within_coverage(pairs: DataFrame, days: DataFrame) -> DataFrame:
     """Drop authority-only rows of days outside the company file; a file without dates drops none."""
     marked = days.select(F.col("periodo").alias("d_periodo"), F.col("dia"), F.lit(True).alias("cubierto"))
-    dated = days.select("periodo").distinct().select(F.col("periodo").alias("p_periodo"), F.lit(True).alias("con_fechas"))
     day = F.col("s.fecha_emision")
     out = pairs.join(broadcast_if_small(marked), (pairs.periodo == F.col("d_periodo")) & (day == F.col("dia")), "left")
-    out = out.join(broadcast_if_small(dated), pairs.periodo == F.col("p_periodo"), "left")
-    keep = F.col("e").isNotNull() | F.col("cubierto").isNotNull() | F.col("con_fechas").isNull()
+    # Periods are calendar months: the set of those with dates is a short array.
+    dated = days.agg(F.collect_set("periodo").alias("p")).scalar()
+    keep = F.col("e").isNotNull() | F.col("cubierto").isNotNull() | ~F.array_contains(dated, F.col("periodo"))
     return out.filter(keep).select(pairs.columns)
 
 

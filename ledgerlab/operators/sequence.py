@@ -153,12 +153,13 @@ def coverage_text(dates: DataFrame) -> DataFrame:
     """One row describing declared days: whole month, up to six days listed, a range, or a count."""
     days = dates.select("fecha").distinct()
     stats = days.agg(F.min("fecha").alias("a"), F.max("fecha").alias("b"), F.count("fecha").alias("n"))
-    listed = days.orderBy("fecha").limit(LISTED_DAYS).agg(F.sort_array(F.collect_list("fecha")).alias("d")).scalar()
+    shown = F.transform(F.sort_array(F.collect_list("fecha")), lambda d: F.date_format(d, "dd/MM/yyyy"))
+    listed = days.orderBy("fecha").limit(LISTED_DAYS).agg(F.array_join(shown, ", ").alias("d")).scalar()
     first, last = F.date_format("a", "dd/MM/yyyy"), F.date_format("b", "dd/MM/yyyy")
     text = (
         F.when(F.col("n") == 0, F.lit("Mes completo"))
         .when(F.col("n") == 1, first)
         .when(F.datediff("b", "a") + 1 == F.col("n"), F.concat(F.lit("del "), first, F.lit(" al "), last))
-        .when(F.col("n") <= LISTED_DAYS, F.array_join(F.transform(listed, lambda d: F.date_format(d, "dd/MM/yyyy")), ", "))
+        .when(F.col("n") <= LISTED_DAYS, listed)
         .otherwise(F.concat(F.col("n").cast("string"), F.lit(" días entre el "), first, F.lit(" y el "), last)))
     return stats.select(F.col("n").alias("dias"), text.alias("cobertura"))

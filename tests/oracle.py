@@ -81,7 +81,7 @@ def main():
         except Exception as error:  # report and go on with the next query
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
         bad += problem is not None and not problem.startswith("no SQL")
-        print(f"{'ok ' if problem is None else 'BAD' if not problem.startswith('no SQL') else '-- '} {name} {time.time() - start:.2f}s {problem or ''}", flush=True)
+        print(f"{"ok " if problem is None else 'BAD' if not problem.startswith('no SQL') else '-- '} {name} {time.time() - start:.2f}s {problem or ''}", flush=True)
     print("failures:", bad)
 
 
