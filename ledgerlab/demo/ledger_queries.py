@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlab.demo import ledgers as D
 from ledgerlab.operators import ledger as L
 from ledgerlab.operators import reconcile as R
+from ledgerlab.operators import profile as P
 from ledgerlab.operators import reports
 from ledgerlab.operators.receipts import receipts_by_day as compare_receipts
 
@@ -247,3 +248,59 @@ cast(ie - isu as double) AS diferencia_igv, CASE estado WHEN 'cuadra' THEN 'Cuad
 WHEN 'solo_empresa' THEN 'Solo en tu archivo' ELSE 'Solo en SUNAT' END AS estado FROM boletas""")
 def receipts_sheet(spark: SparkSession, sf: str) -> DataFrame:
     return shown(reports.receipts_sheet(day_receipts(spark, sf)))
+
+
+@query(f"""SELECT count(*) AS filas, round(avg(CASE WHEN abs(base_imponible + igv + bi_dgng + igv_dgng + bi_dng + igv_dng - importe_total) <= 0.02 THEN 1.0 ELSE 0.0 END), 6) AS proporcion,
+avg(CASE WHEN abs(base_imponible + igv + bi_dgng + igv_dgng + bi_dng + igv_dng - importe_total) <= 0.02 THEN 1.0 ELSE 0.0 END) >= 0.9 AS pasa
+FROM ({D.as_sql(D.PURCHASES_AUTHORITY, 'lineitem')})""")
+def quality_gate(spark: SparkSession, sf: str) -> DataFrame:
+    parts = ["base_imponible", "igv", "bi_dgng", "igv_dgng", "bi_dng", "igv_dng"]
+    out = P.quality_gate(D.derive(spark, sf, D.PURCHASES_AUTHORITY), parts, "importe_total")
+    return out.withColumn("proporcion", F.round("proporcion", 6))
+
+
+@query(f"""SELECT round(avg(CASE WHEN abs(base_imponible + igv + mto_exonerado - importe_total) <= 0.5 THEN 100.0 ELSE 0.0 END), 1) AS aritmetica_pct, 100.0 AS fechas_pct,
+avg(CASE WHEN abs(base_imponible + igv + mto_exonerado - importe_total) <= 0.5 THEN 100.0 ELSE 0.0 END) >= 50 AS ok, '' AS faltantes FROM ({D.as_sql(D.SALES_COMPANY, 'lineitem')})""")
+def validate_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    ledger = L.conform(D.derive(spark, sf, D.SALES_COMPANY))
+    return P.validate_mapping(ledger, {n: i for i, n in enumerate(P.REQUIRED["ventas"])}, "ventas")
+
+
+_PROFILED = ["tipo_cdp", "serie", "numero", "importe_total"]
+
+
+def _role_sql() -> str:
+    long = " UNION ALL ".join(f"SELECT '{c}' AS columna, trim(cast({c} as varchar)) AS v FROM l" for c in _PROFILED)
+    scores = ", ".join(
+        f"round(avg(CASE WHEN regexp_matches(v, '{p}') THEN 1.0 ELSE 0.0 END) * (0.5 + 0.5 * least((count(DISTINCT v) / count(*)) / {e}, 1.0)), 6) AS {r}"
+        for r, (p, e) in P.LEDGER_ROLES.items())
+    return f"WITH l AS ({D.as_sql(D.SALES_COMPANY, 'lineitem')}) SELECT columna, {scores} FROM ({long}) WHERE v NOT IN ('', 'nan', 'None', '<NA>') GROUP BY columna"
+
+
+@query(_role_sql())
+def column_roles(spark: SparkSession, sf: str) -> DataFrame:
+    scores = P.role_scores(D.derive(spark, sf, D.SALES_COMPANY).select(_PROFILED))
+    return scores.select("columna", *[F.round(r, 6).alias(r) for r in P.LEDGER_ROLES])
+
+
+@query(f"""WITH l AS ({D.as_sql(D.SALES_COMPANY, 'lineitem')}), v AS (SELECT 'base_imponible' AS columna, base_imponible AS v FROM l UNION ALL SELECT 'igv', igv FROM l
+UNION ALL SELECT 'importe_total', importe_total FROM l UNION ALL SELECT 'line_no', cast(line_no as decimal(18,2)) FROM l)
+SELECT columna, round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END), 6) AS positivos, round(avg(CASE WHEN v <> 0 THEN CASE WHEN v <> round(v, 0) THEN 1.0 ELSE 0.0 END END), 6) AS con_centimos,
+cast(max(abs(v)) as double) AS mayor, avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END) >= 0.3 AND avg(CASE WHEN v <> 0 THEN CASE WHEN v <> round(v, 0) THEN 1.0 ELSE 0.0 END END) >= 0.15 AND max(abs(v)) < 1e9 AS es_monto
+FROM v GROUP BY columna""")
+def amount_columns(spark: SparkSession, sf: str) -> DataFrame:
+    ledger = D.derive(spark, sf, D.SALES_COMPANY)
+    out = P.amount_columns(ledger, ["base_imponible", "igv", "importe_total", "line_no"])
+    return out.select("columna", F.round("positivos", 6).alias("positivos"), F.round("con_centimos", 6).alias("con_centimos"), "mayor", "es_monto")
+
+
+@query(f"""WITH {{a}} SELECT tipo_cdp, serie, numero, prioridad FROM (SELECT tipo_cdp, serie, numero, min(prioridad) AS prioridad FROM (
+SELECT 0 AS prioridad, tipo_cdp, serie, numero FROM empresa e WHERE (tipo_cdp, upper(serie), {_NUM}) IN (SELECT (tipo_cdp, upper(serie), {_NUM}) FROM empresa GROUP BY tipo_cdp, upper(serie), {_NUM} HAVING count(*) > 1)
+UNION ALL (SELECT 1, tipo_cdp, serie, numero FROM a ORDER BY tipo_cdp, serie, numero, fecha_emision LIMIT 5000)) GROUP BY tipo_cdp, serie, numero)""".replace("WITH {a}", _SALES_CTE))
+def validation_worklist(spark: SparkSession, sf: str) -> DataFrame:
+    from ledgerlab.operators.sequence import duplicate_rows_in_period
+
+    company = D.derive(spark, sf, D.SALES_COMPANY)
+    lines = company.select(F.lit("202401").alias("periodo"), F.col("tipo_cdp").alias("tipo"), F.upper("serie").alias("serie"), "numero", F.col("serie").alias("s"), "fecha_emision", "importe_total")
+    repeated = duplicate_rows_in_period(lines).select(F.col("tipo").alias("tipo_cdp"), F.col("s").alias("serie"), "numero", "fecha_emision", "importe_total")
+    return R.validation_worklist(sales(spark, sf).scenario("A"), repeated).select("tipo_cdp", "serie", "numero", "prioridad")

@@ -71,16 +71,17 @@ def attendance_wide_to_long(sheet: DataFrame, name: str, worker_id: str | None,
         (X.strip(F.col(worker_id).cast("string")) if worker_id else F.lit(None).cast("string")).alias("dni"),
         *[X.strip(F.col(f"`{d}`").cast("string")).alias(d) for d in days])
     kept = kept.filter("trabajador is not null and trabajador <> '' and lower(trabajador) <> 'none'")
-    cells = kept.unpivot(["trabajador", "dni"], days, "dia", "celda").filter("celda is not null and celda not in ('', 'None')")
+    pairs = F.array(*[F.struct(F.lit(int(d)).alias("dia"), F.col(f"`{d}`").alias("celda")) for d in days])
+    cells = kept.select("trabajador", "dni", F.inline(pairs)).filter("celda is not null and celda not in ('', 'None')")
     cell = F.col("celda")
-    day = F.lpad(F.trim("dia"), 2, "0")
+    day = F.lpad(F.col("dia").cast("string"), 2, "0")
     date = F.concat(F.lit(f"{year}-{month:02d}-"), day) if year and month else F.lit(None).cast("string")
     mark = cell.rlike("^[XxPpSs1]$")
     start, end = X.hit(cell, _SPAN, 1, ""), X.hit(cell, _SPAN, 2, "")
     hours = F.when(~mark, X.hit(cell, r"^(\d{1,2}(?:\.\d{1,2})?)$", 1, "").try_cast("double"))
     shift = F.when(~mark & start.isNull() & hours.isNull(), F.initcap(X.hit(cell, _SHIFT)))
     out = cells.select(
-        "trabajador", "dni", F.trim("dia").cast("int").alias("dia"), date.alias("fecha"),
+        "trabajador", "dni", "dia", date.alias("fecha"),
         F.concat(start, F.lit(":00")).alias("hora_entrada"), F.concat(end, F.lit(":00")).alias("hora_salida"),
         shift.alias("turno"), hours.alias("horas_normales"),
         (mark | start.isNotNull() | hours.isNotNull() | shift.isNotNull()).alias("firma_presente"))
