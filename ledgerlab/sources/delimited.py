@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from ledgerlab.errors import EmptyDataset, InvalidSpec
 from ledgerlab.operators.tables import schema_of
 
-DELIMITERS = ["|", ";", ",", "\t"]
-WIDE_MARKS = {"FFFE": "UTF-16LE", "FEFF": "UTF-16BE"}
 # How badly formed a file may be, from strict to everything as text without quotes.
 LADDER = ["normal", "padded", "raw"]
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line is valid UTF-8, UTF-16 by its mark, else Windows Latin-1."""
-    lines = spark.read.text(path)
-    stats = lines.agg(
-        F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("ok"),
-        F.max(F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).isin("FFFE")).alias("le"),
-        F.max(F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).isin("FEFF")).alias("be")).first()
-    if stats.le or stats.be:
-        return "UTF-16"
-    return "UTF-8" if stats.ok else "windows-1252"
+def detect_encoding(spark: SparkSession, path: str) -> tuple[str, str | None]:
+    """(encoding, line separator): UTF-16 by its mark, UTF-8 when every line is valid, else Latin-1.
+
+    The separator is given for UTF-16 only, where lines end in two-byte characters.
+    """
+    raw = F.hex(F.col("value").cast("binary"))
+    stats = spark.read.option("lineSep", "\n").text(path).agg(
+        F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"), F.max(raw.startswith("FFFE")).alias("little"),
+        F.max(raw.startswith("FEFF")).alias("big"), F.max(raw.endswith("0D00")).alias("crlf")).first()
+    if stats.little or stats.big:
+        return ("UTF-16LE" if stats.little else "UTF-16BE"), ("\r\n" if stats.crlf else "\n")
+    return ("UTF-8" if stats.utf8 else "ISO-8859-1"), None
 
 
 def read_delimited(
@@ -39,13 +39,17 @@ def read_delimited(
         from ledgerlab.operators.profile import delimiter_of
 
         sep = delimiter_of(spark, path)
+    found, line_end = (encoding, None) if encoding else detect_encoding(spark, path)
     reader = (
-        spark.read.option("header", header).option("sep", sep).option("encoding", encoding or detect_encoding(spark, path))
+        spark.read.option("header", header).option("sep", sep).option("encoding", found)
         .option("mode", "FAILFAST" if mode == "normal" else "PERMISSIVE").option("inferSchema", mode != "raw")
         .option("preferDate", True).option("multiLine", False).option("enforceSchema", False if header and mode == "normal" else True))
     if mode == "raw":
         reader = reader.option("quote", "").option("ignoreLeadingWhiteSpace", False)
-    return reader.csv(path)
+    if line_end:
+        reader = reader.option("lineSep", line_end)
+    df = reader.csv(path)
+    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
 
 
 def ingest(spark: SparkSession, path: str, dest: str, **options) -> tuple[list[dict], int]:

@@ -177,6 +177,11 @@ def read_authority_proposal(spark: SparkSession, path: str, book: str) -> DataFr
     return rows.filter("not (tipo_cdp = '' and serie = '' and numero = '')")
 
 
+def _adds_up(positions: dict[str, int], parts: list[str]) -> Column:
+    added = sum((N.plain_amount(field(positions[p])) for p in parts[1:]), N.plain_amount(field(positions[parts[0]])))
+    return F.abs(added - N.plain_amount(field(positions["importe_total"]))) <= F.lit(GATE_TOLERANCE).cast(N.MONEY)
+
+
 def detect_ledger_format(spark: SparkSession, path: str, book: str = "ventas") -> DataFrame:
     """One row per file: its format by the first line, and why it does not fit the book."""
     head = fields_of(first_lines(text_lines(spark, path), 1), "|")
@@ -185,9 +190,14 @@ def detect_ledger_format(spark: SparkSession, path: str, book: str = "ventas") -
     platform = F.lit(True)
     for heading in PLATFORM_HEADINGS:
         platform = platform & lowered.contains(heading)
-    kind = F.when(platform, "plataforma").when(is_book & (F.size("c") >= MIN_LINE_FIELDS) & field(7).rlike("[0-9]") & ~field(11).rlike("^[0-9]{11}$"), "ple_ventas")
-    kind = kind.when(is_book, "ple_compras").otherwise("desconocido")
+    sales = is_book & (F.size("c") >= MIN_SALES_FIELDS) & _adds_up(SALES_BOOK, SALES_PARTS)
+    purchases = is_book & _adds_up(PURCHASE_BOOK, PURCHASE_PARTS)
+    books = {"ple_ventas": sales, "ple_compras": purchases}
+    first, second = ("ple_compras", "ple_ventas") if book == "compras" else ("ple_ventas", "ple_compras")
+    kind = (F.when(platform, "plataforma").when(books[first], first).when(books[second], second)
+            .when(is_book, "ple_no_cuadra").otherwise("desconocido"))
     wrong = F.when((F.lit(book) == "compras") & (F.col("formato") == "plataforma"), "formato del sistema de ventas: para compras se espera el registro 8.1")
     wrong = wrong.when((F.lit(book) == "compras") & (F.col("formato") == "ple_ventas"), "parece un registro de ventas (14.1)")
     wrong = wrong.when((F.lit(book) == "ventas") & (F.col("formato") == "ple_compras"), "parece un registro de compras (8.1)")
+    wrong = wrong.when(F.col("formato") == "ple_no_cuadra", "parece un registro electrónico pero el total no es la suma de sus componentes")
     return head.select("archivo", kind.alias("formato")).withColumn("aviso", F.coalesce(wrong, F.lit("")))
