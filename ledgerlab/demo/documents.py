@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlab.demo.ledgers import table
+from ledgerlab.demo.ledgers import spread, table
 
 
 def _pad(expression: str, size: int) -> str:
@@ -66,13 +66,6 @@ TEXT = "CASE o_orderkey % 12 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enume
 DOCS_SQL = f"SELECT o_orderkey AS doc_id, {TEXT} AS texto FROM orders"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy text work one task per core when the scan has fewer splits than cores (one
-    small file); a table of many splits keeps its own, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A generator renders each text once, as a stored text column would give it.
     return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")).selectExpr("o_orderkey AS doc_id", f"explode(array({TEXT})) AS texto")

@@ -134,7 +134,7 @@ def recon_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT tipo_cdp, count(*) AS cantidad FROM ({D.as_sql(D.SALES_COMPANY, 'lineitem')}) WHERE tipo_cdp NOT IN ('01','03','07','08') GROUP BY tipo_cdp")
 def ledger_excluded(spark: SparkSession, sf: str) -> DataFrame:
-    return R.excluded_types(D.derive(spark, sf, D.SALES_COMPANY))
+    return R.excluded_types(L.conform(D.derive(spark, sf, D.SALES_COMPANY)))
 
 
 @query(_SALES_CTE + """SELECT 'empresa' AS lado, (SELECT count(*) FROM e0) - (SELECT count(*) FROM e) AS sobrantes

@@ -156,6 +156,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work one task per core when the scan has fewer splits than cores (one small
+    file); a table of many splits keeps its own, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def derive(spark: SparkSession, sf_dir: str, columns: dict[str, str], source: str = "lineitem") -> DataFrame:
     return table(spark, sf_dir, source).selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ledgerlab.session import broadcast_if_small
 
 BOOKS = {"ventas": L.SALES_TYPES, "compras": L.PURCHASE_TYPES}
 LATE_MONTHS = 12
+KEYS = ["periodo", *L.KEY]
 
 _CARRIED = ["tipo_cdp", "serie", "numero", "ruc_proveedor", "razon_social", "fecha_emision",
             *L.AMOUNTS, "moneda", "tipo_cambio", "status_description"]
@@ -65,12 +67,10 @@ def _packed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def _present_days(rows: DataFrame, coverage: list[str] | None, authority: DataFrame) -> DataFrame:
-    """(periodo, fecha) the company file covers. Empty coverage means every day of the proposal."""
+    """(periodo, dia) the company file has dates for, or the declared days."""
     days = rows.select("periodo", F.col("fecha_emision").alias("dia")).filter("dia is not null").distinct()
     if coverage is None:
         return days
-    if not coverage:
-        return authority.select("periodo", F.col("fecha_emision").alias("dia")).distinct()
     listed = F.explode(F.array(*[F.lit(d).cast("date") for d in sorted(set(coverage))]))
     return authority.select("periodo").distinct().select("periodo", listed.alias("dia"))
 
@@ -88,10 +88,49 @@ class Reconciliation:
     scenario writer) and pass the stored table to `scenario`."""
 
     book: str
-    pairs: DataFrame
-    receipts: DataFrame | None
-    excluded: DataFrame
-    surplus: DataFrame
+    company: DataFrame
+    authority: DataFrame
+    coverage: list[str] | None = None
+    late: bool = False
+
+    @cached_property
+    def ours(self) -> DataFrame:
+        """Keyed company rows of the types this book matches document by document."""
+        return eligible(self.company, self.book).filter(F.col("k_tipo").isin(BOOKS[self.book]))
+
+    @cached_property
+    def theirs(self) -> DataFrame:
+        """Keyed authority rows (receipts apart)."""
+        return L.with_key(self.authority.filter(~L.is_receipt()) if self.book == "ventas" else self.authority)
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """One row per key with the company side `e` and the authority side `s`."""
+        theirs_once = _packed(self.theirs, KEYS, "s")
+        pairs = _packed(self.ours, KEYS, "e").join(theirs_once, KEYS, "full_outer").withColumn("periodo_hallazgo", F.lit(""))
+        return _rescue(pairs, theirs_once) if self.late else pairs
+
+    @cached_property
+    def receipts(self) -> DataFrame | None:
+        """Receipts by series and day, sales only."""
+        return receipts_by_day(self.company, self.authority) if self.book == "ventas" else None
+
+    @cached_property
+    def excluded(self) -> DataFrame:
+        """Company rows of types the book does not match, counted per type."""
+        return excluded_types(self.company, self.book)
+
+    @cached_property
+    def surplus(self) -> DataFrame:
+        """Rows beyond the first of each key, per side."""
+        sides = {"empresa": self.ours, "sunat": self.theirs}
+        return reduce(DataFrame.unionByName, [
+            L.surplus_per_key(rows, KEYS).select(F.lit(side).alias("lado"), "sobrantes") for side, rows in sides.items()])
+
+    def _covered(self, pairs: DataFrame) -> DataFrame:
+        if self.book != "ventas" or self.coverage == []:
+            return pairs
+        return _within_coverage(pairs, _present_days(self.ours, self.coverage, self.theirs))
 
     def _build(self, pairs: DataFrame) -> DataFrame:
         rows = _scenarios(pairs, self.book)
@@ -104,14 +143,17 @@ class Reconciliation:
     @property
     def rows(self) -> DataFrame:
         """All scenarios as one table with an `escenario` column."""
-        return self._build(self.pairs)
+        return self._build(self._covered(self.pairs))
 
     def scenario(self, letter: str, stored: DataFrame | None = None) -> DataFrame:
         """Rows of one scenario with its report columns."""
         if letter not in ("A", "B", "C", "D"):
             raise InvalidSpec(f"unknown scenario: {letter!r}")
-        source = self._build(self.pairs.filter(_sides(letter))) if stored is None else stored
-        rows = source.filter(F.col("escenario") == letter)
+        if stored is None:
+            # Days only decide about authority-only rows.
+            pairs = self.pairs.filter(_sides(letter))
+            stored = self._build(self._covered(pairs) if letter == "B" else pairs)
+        rows = stored.filter(F.col("escenario") == letter)
         head = ["periodo", "tipo_cdp", "serie", "numero"]
         if letter == "A":
             return rows.select(
@@ -152,8 +194,8 @@ class Reconciliation:
 
 
 def eligible(company: DataFrame, book: str) -> DataFrame:
-    """Keyed company rows that are matched document by document."""
-    rows = L.with_key(L.conform(company))
+    """Keyed rows of a conformed company ledger, receipts apart for sales."""
+    rows = L.with_key(company)
     if book == "ventas":
         rows = rows.filter(~L.is_receipt())
     return rows
@@ -176,27 +218,13 @@ def reconcile(
 
     Ledgers without `periodo` count as one period. Every side is reduced to one row per key
     before the full outer join, so no key is hot in the join, and the join reuses the
-    partitioning of that step. `late` (purchases) looks for unmatched company rows in the
+    partitioning of that step. `coverage` lists the days the company declares; an empty list means
+    the whole month, None the days found in its rows. `late` (purchases) looks for unmatched company rows in the
     proposal of their issue month, up to twelve periods back.
     """
     if book not in BOOKS:
         raise InvalidSpec(f"unknown book: {book!r}")
-    sales = book == "ventas"
-    company, authority = L.conform(company), L.conform(authority)
-    ours = eligible(company, book).filter(F.col("k_tipo").isin(BOOKS[book]))
-    theirs = L.with_key(authority.filter(~L.is_receipt()) if sales else authority)
-    keys = ["periodo", *L.KEY]
-    theirs_once = _packed(theirs, keys, "s")
-    pairs = _packed(ours, keys, "e").join(theirs_once, keys, "full_outer")
-    pairs = pairs.withColumn("periodo_hallazgo", F.lit(""))
-    if sales:
-        pairs = _within_coverage(pairs, _present_days(ours, coverage, theirs))
-    if late:
-        pairs = _rescue(pairs, theirs_once)
-    receipts = receipts_by_day(company, authority) if sales else None
-    surplus = L.surplus_per_key(ours, keys).select(F.lit("empresa").alias("lado"), "sobrantes").unionByName(
-        L.surplus_per_key(theirs, keys).select(F.lit("sunat").alias("lado"), "sobrantes"))
-    return Reconciliation(book, pairs, receipts, excluded_types(company, book), surplus)
+    return Reconciliation(book, L.conform(company), L.conform(authority), coverage, late)
 
 
 def _within_coverage(pairs: DataFrame, days: DataFrame) -> DataFrame:
