@@ -221,3 +221,35 @@ def enrich_results(spark: SparkSession, sf: str) -> DataFrame:
     invoices = items.select(F.concat(F.lit(" "), F.col("l_orderkey").cast("string")).alias("id"), F.concat(F.lit("Emisor "), F.col("l_partkey").cast("string")).alias("emisor"),
                             F.concat(F.lit("doc "), F.col("l_orderkey").cast("string")).alias("descripcion"), F.col("l_partkey").alias("archivo"))
     return V.enrich_results(results, invoices).select("id", "emisor", "descripcion")
+
+
+_PREFIX = "CASE doc_id % 4 WHEN 0 THEN '%PDF-1.4 ' WHEN 1 THEN 'RIFF0000WEBP' WHEN 2 THEN 'GIF89a' ELSE '%PDF-1.4 /JavaScript ' END"
+_NAME = "CASE doc_id % 3 WHEN 0 THEN 'recibo (1).pdf' WHEN 1 THEN 'foto.webp' ELSE 'a/b.pdf' END"
+_CHECKED = f"""SELECT doc_id, doc_id % 5 AS company_id, strlen(c) AS bytes, sha256(c) AS sha256, n, CASE WHEN strlen(c) < 64 THEN 'archivo_vacio_o_truncado' WHEN strlen(c) > 20000 THEN 'tamano_excedido'
+WHEN n LIKE '%/%' THEN 'nombre_invalido' WHEN doc_id % 4 = 2 THEN 'tipo_no_reconocido' WHEN doc_id % 4 = 1 AND n NOT LIKE '%.webp' OR doc_id % 4 IN (0, 3) AND n NOT LIKE '%.pdf' THEN 'extension_no_coincide_con_contenido'
+WHEN doc_id % 4 IN (0, 3) AND (strlen(c) - strlen(replace(c, ' obj', ''))) / 4.0 / greatest(1, strlen(c) // 1024) > 40 THEN 'pdf_sospechoso_de_bomba' WHEN doc_id % 4 = 3 THEN 'pdf_con_contenido_activo' END AS motivo
+FROM (SELECT doc_id, {_PREFIX} || text AS c, {_NAME} AS n FROM documents)"""
+
+
+def checked_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as the bytes of a file, validated."""
+    from ledgerlab.operators.attachments import validate_attachment
+
+    files = table(spark, sf, "documents").selectExpr(
+        "doc_id", "doc_id % 5 AS company_id", f"cast(concat({_PREFIX}, text) as binary) AS content", f"{_NAME} AS nombre", "lpad(cast(doc_id as string), 20, '0') AS path")
+    return validate_attachment(files, 20_000)
+
+
+@query(f"SELECT doc_id, sha256, motivo IS NULL AS ok, coalesce(motivo, '') AS motivo FROM ({_CHECKED})")
+def validate_attachments(spark: SparkSession, sf: str) -> DataFrame:
+    return checked_files(spark, sf).select("doc_id", "sha256", "ok", F.coalesce("motivo", F.lit("")).alias("motivo"))
+
+
+@query(f"""WITH v AS ({_CHECKED}) SELECT company_id, sha256, min(doc_id) AS doc_id FROM v WHERE motivo IS NULL
+AND (company_id, sha256) NOT IN (SELECT (company_id, sha256) FROM v WHERE n = 'foto.webp') GROUP BY company_id, sha256""")
+def new_attachments(spark: SparkSession, sf: str) -> DataFrame:
+    from ledgerlab.operators import attachments as T
+
+    checked = checked_files(spark, sf)
+    stored = checked.filter("nombre = 'foto.webp'").select("company_id", "sha256")
+    return T.new_attachments(checked, stored).select("company_id", "sha256", "doc_id")

@@ -81,10 +81,10 @@ def validate_attachment(files: DataFrame, max_bytes: int, content: str = "conten
 def new_attachments(files: DataFrame, stored: DataFrame, company: str = "company_id") -> DataFrame:
     """Validated files whose (company, hash) is not stored yet, one per hash.
 
-    Hashes are compared, not contents, and the contents of repeats do not reach the shuffle's
-    second stage: the first path per hash is chosen by a partial rank.
+    Which paths are new is decided on hashes alone; contents are then picked by path, so many
+    copies of one file do not meet in one task.
     """
-    from ledgerlab.operators.tables import drop_duplicate_keys
-
-    accepted = files.filter("ok").join(stored.select(company, "sha256"), [company, "sha256"], "left_anti")
-    return drop_duplicate_keys(accepted, [company, "sha256"], [F.asc("path")])
+    key = [company, "sha256"]
+    first = files.filter("ok").groupBy(key).agg(F.min("path").alias("path"))
+    chosen = first.join(stored.select(key), key, "left_anti").select("path")
+    return files.filter("ok").join(chosen, "path", "left_semi")

@@ -45,8 +45,8 @@ def clean_upper(column: Column) -> Column:
 
 
 def whole_number(column: Column) -> Column:
-    """Digits of a text as an exact integer of any usual length, NULL without digits."""
-    return F.nullif(F.regexp_replace(F.coalesce(column, F.lit("")), r"[^0-9]", ""), F.lit("")).try_cast("decimal(38,0)")
+    """Digits of a text as an exact integer of up to 30 digits, NULL without digits."""
+    return F.nullif(F.regexp_replace(F.coalesce(column, F.lit("")), r"[^0-9]", ""), F.lit("")).try_cast("decimal(30,0)")
 
 
 def is_receipt() -> Column:

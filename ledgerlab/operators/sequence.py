@@ -13,8 +13,9 @@ IRREGULAR_GAP, MAX_LISTED = 10_000, 30
 NOT_CROSS_CHECKED = ["03"]
 LISTED_DAYS = 6
 
-# Numbers per bucket: one window task holds at most this many distinct first numbers.
-BUCKET = 1_000_000
+# Numbers per bucket, and buckets per block: no window group holds more than this many rows, for
+# numbers of up to 18 digits.
+BUCKET, BLOCK = 1_000_000, 1_000_000
 _INT = "decimal(38,0)"
 _SERIES = ["tipo", "serie"]
 DUP_KEY = ["tipo", "serie", "clave_numero"]
@@ -36,32 +37,46 @@ def _intervals(ledger: DataFrame) -> DataFrame:
         F.max(F.greatest("ini", F.coalesce("f", "ini"))).alias("fin"), F.count(F.lit(1)).alias("n"))
 
 
-def number_gaps(ledger: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def _carried_ends(ranges: DataFrame) -> DataFrame:
+    """Per bucket, the highest end of all earlier buckets of its series (NULL for the first).
+
+    Running maxima go over the buckets of a block and over the blocks of a series.
+    """
+    heads = ranges.groupBy(*_SERIES, "bloque", "cubo").agg(F.max("fin").alias("max_fin"))
+    blocks = heads.groupBy(*_SERIES, "bloque").agg(F.max("max_fin").alias("max_fin"))
+    past = (Window.unboundedPreceding, -1)
+    over_blocks = Window.partitionBy(_SERIES).orderBy("bloque").rowsBetween(*past)
+    over_cubes = Window.partitionBy(*_SERIES, "bloque").orderBy("cubo").rowsBetween(*past)
+    before = blocks.select(*_SERIES, "bloque", F.max("max_fin").over(over_blocks).alias("antes"))
+    return heads.withColumn("en_bloque", F.max("max_fin").over(over_cubes)).join(before, [*_SERIES, "bloque"]).select(
+        *_SERIES, "cubo", F.greatest("en_bloque", "antes").alias("previo"))
+
+
+def number_gaps(ledger: DataFrame, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """Missing numbers per (type, series) between declared ranges, as compact text and a count.
 
-    A series is cut into number buckets. A short per-bucket summary carries the highest end of
-    all earlier buckets into each, so buckets are sorted in parallel and one series may hold most
-    of the rows. Only the first gaps a listed series can show are kept per bucket.
+    A series is cut into number buckets, sorted in parallel; the highest end of earlier buckets is
+    carried into each, so one series may hold most of the rows. Only the first gaps a listed series
+    can show are kept per bucket.
     """
     ranges = _intervals(ledger).withColumn("cubo", F.floor(F.col("ini") / F.lit(bucket)))
+    ranges = ranges.withColumn("bloque", F.floor(F.col("cubo") / F.lit(block)))
     cube = [*_SERIES, "cubo"]
-    heads = ranges.groupBy(cube).agg(
-        F.max("fin").alias("max_fin"), F.min("ini").alias("min_ini"), F.sum("n").alias("n"))
-    earlier = Window.partitionBy(_SERIES).orderBy("cubo").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.withColumn("previo", F.max("max_fin").over(earlier))
     inside = Window.partitionBy(cube).orderBy("ini")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    carried = ranges.join(heads.select(*cube, "previo"), cube)
+    carried = ranges.join(_carried_ends(ranges), cube)
     seen = F.greatest(F.max("fin").over(before), F.col("previo"))
     gaps = carried.withColumn("hasta_ahora", seen).withColumn(
         "ancho", F.when(F.col("ini") > F.col("hasta_ahora") + 1, F.col("ini") - 1 - F.col("hasta_ahora")).otherwise(0).cast(_INT))
     listed = F.sum(F.when(F.col("ancho") > 0, 1).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     gap = F.struct((F.col("hasta_ahora") + 1).cast(_INT).alias("a"), (F.col("ini") - 1).cast(_INT).alias("b"))
-    per_cube = gaps.withColumn("orden", listed).groupBy(cube).agg(
+    per_cube = gaps.withColumn("orden", listed).groupBy(*_SERIES, "cubo", "bloque").agg(
         F.sum("ancho").cast(_INT).alias("total"), F.max("ancho").alias("mayor"),
         F.collect_list(F.when((F.col("ancho") > 0) & (F.col("orden") <= MAX_LISTED), gap)).alias("tramos"),
         F.min("ini").alias("min_ini"), F.max("fin").alias("max_fin"), F.sum("n").alias("n"))
-    # Buckets after the first 30 missing numbers cannot belong to a listed series: drop their text.
+    # Buckets of a block after its first 30 missing numbers cannot belong to a listed series: drop
+    # their text.
+    earlier = Window.partitionBy(*_SERIES, "bloque").orderBy("cubo").rowsBetween(Window.unboundedPreceding, -1)
     so_far = F.coalesce(F.sum("total").over(earlier), F.lit(0))
     per_cube = per_cube.withColumn("tramos", F.when(so_far <= MAX_LISTED, F.col("tramos")))
     out = per_cube.groupBy(_SERIES).agg(

@@ -104,9 +104,9 @@ def test_written_scenarios_match(spark, tmp_path):
     assert {r.alerta for r in read.collect()} == {"ROJA"}
 
 
-def gaps(spark, rows, bucket):
+def gaps(spark, rows, bucket, block=3):
     df = spark.createDataFrame([("03", "B1", str(a), str(b)) for a, b in rows], "tipo_cdp STRING, serie STRING, numero STRING, numero_final STRING")
-    return [(r.faltantes, int(r.cantidad)) for r in sequence.number_gaps(df, bucket).collect()]
+    return [(r.faltantes, int(r.cantidad)) for r in sequence.number_gaps(df, bucket, block).collect()]
 
 
 @pytest.mark.parametrize("bucket", [5, 100, 1_000_000])

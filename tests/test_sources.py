@@ -159,7 +159,7 @@ def test_roles(spark):
     assert mapping.columns == {"tipo_cdp": "a", "serie": "b", "numero": "c", "importe_total": "d"} and 0 < mapping.confidence <= 1
     named = profile.profile_column_roles(df.toDF("Tipo", "Serie", "Numero", "Importe Total"), named=True)
     assert named.confidence == 0.9
-    ruc = df.select(F.lit("20131312955").alias("r"), F.lit("Factura").alias("t"), "b", F.substring("c", 5, 8).alias("c"))
+    ruc = df.select(F.lit("20131312955").alias("r"), F.lit("Factura").alias("t"), "b", F.substring("c", 6, 7).alias("c"))
     assert profile.profile_voucher_roles(ruc).columns == {"ruc": "r", "tipo": "t", "serie": "b", "numero": "c"}
 
 

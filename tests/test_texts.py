@@ -223,3 +223,13 @@ def test_pending_and_origin(spark):
     done = spark.sql("SELECT 1 AS attachment_id, 7 AS company_id")
     assert [r.id for r in records.pending_extraction(files, mails, done, 3).collect()] == [2]
     assert records.origin_lookup(done, files, mails).first().nombre_adjunto == "a.pdf"
+
+
+def test_labels(spark):
+    from ledgerlab.operators import field_labels
+
+    for kind in [*documents.FIELDS, "asistencia"]:
+        assert all(field_labels.document_labels(kind).values())
+    df = spark.createDataFrame([(1, "ENEL")], "doc_id INT, texto STRING")
+    shown = field_labels.labelled(documents.extract_fields(df, "recibo_luz"), "recibo_luz", ["doc_id"])
+    assert shown.columns[:3] == ["doc_id", "Empresa", "RUC Empresa"] and "Total a Pagar" in shown.columns
