@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlab.errors import EmptyDataset, InvalidSpec
 from ledgerlab.operators.tables import schema_of
+from ledgerlab.session import path_exists
 
 # How badly formed a file may be, from strict to everything as text without quotes.
 LADDER = ["normal", "padded", "raw"]
@@ -57,6 +58,8 @@ def ingest(spark: SparkSession, path: str, dest: str, **options) -> tuple[list[d
 
     Badly formed files fall back through the ladder; a file without rows is an error.
     """
+    if path_exists(spark, dest):
+        raise InvalidSpec(f"a dataset already exists at {dest}")
     error = None
     for step in LADDER:
         target = f"{dest.rstrip('/')}/{step}"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlab.session import broadcast_if_small
+
 _ROW_BITS = 33
 
 
@@ -38,11 +40,12 @@ def first_lines(lines: DataFrame, count: int) -> DataFrame:
 
 
 def after_first(lines: DataFrame, count: int) -> DataFrame:
-    """Lines after the first `count` of their file."""
+    """Lines after the first `count` of their file. The cut is one row per file, so lines are not
+    shuffled by file."""
     if count <= 0:
         return lines
     heads = first_lines(lines, count).groupBy("archivo").agg(F.max("line_no").alias("_corte"))
-    return lines.join(heads, "archivo").filter(F.col("line_no") > F.col("_corte")).drop("_corte")
+    return lines.join(broadcast_if_small(heads), "archivo").filter(F.col("line_no") > F.col("_corte")).drop("_corte")
 
 
 def fields_of(lines: DataFrame, separator: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlab.operators.attachments import new_attachments, validate_attachment
 from ledgerlab.operators.fx import upsert_fx
+from ledgerlab.session import path_exists
 from ledgerlab.sinks.writers import latest_snapshot, next_snapshot
 from ledgerlab.sources.feeds import fx_daily_rows
 
@@ -16,10 +17,7 @@ RATES = "fecha DATE, compra DECIMAL(7,3), venta DECIMAL(7,3), fuente STRING, upd
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # nothing stored yet
-        return spark.createDataFrame([], schema)
+    return spark.read.parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def ingest_attachments_stream(

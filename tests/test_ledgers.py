@@ -1,4 +1,4 @@
-"""Reconciliation, receipts, numbering and exchange-rate rules on the reference cases."""
+"""Reconciliation, receipts, numbering and exchange-rate rules on pinned cases."""
 
 from datetime import date
 from decimal import Decimal

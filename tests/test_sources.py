@@ -44,6 +44,8 @@ def test_ingest(spark, tmp_path):
     schema, rows = delimited.ingest(spark, source, str(tmp_path / "d"))
     assert rows == 2 and [(c["name"], c["type"]) for c in schema] == [("serie", "string"), ("igv", "double"), ("fecha", "date")]
     assert delimited.open_dataset(spark, str(tmp_path / "d")).count() == 2
+    with pytest.raises(InvalidSpec):
+        delimited.ingest(spark, source, str(tmp_path / "d"))
     with pytest.raises(EmptyDataset):
         delimited.ingest(spark, put(tmp_path / "b.csv", "serie,igv\n"), str(tmp_path / "e"))
 
