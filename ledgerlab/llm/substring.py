@@ -32,6 +32,7 @@ from ledgerlab.llm.words import window_hashes, word_hashes, words_of
 WIDTH = 13
 # Bytes of text for each part: about six a window, so three million windows.
 PART_BYTES = 18 << 20
+LEAST_BITS = 6
 # Windows that a task gathers before it packs them.
 BATCH_WINDOWS = 2_000_000
 
@@ -156,9 +157,9 @@ def intervals(removed: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _parts(docs: DataFrame, part_bytes: int) -> int:
-    """Bits of the part's number, from the table's bytes of text."""
+    """Bits of the part's number, from the table's bytes of text; 64 parts at least, for parallelism."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(0, int(np.ceil(np.log2(max(1, total / part_bytes)))))
+    return max(LEAST_BITS, int(np.ceil(np.log2(max(1, total / part_bytes)))))
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, part_bytes: int = PART_BYTES) -> DataFrame:
