@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlab.llm import bpe, mixing, quality, substring, token_files, toxicity
+from ledgerlab.llm import bpe, mixing, pii, quality, substring, token_files, topk, toxicity
 from ledgerlab.llm.tables import read
 
 
@@ -31,6 +31,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.without_repeats(read(spark, sf_dir, "documents")))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(read(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -41,6 +49,8 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_token_files": op5_token_files,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_topk": op8_topk,
+    "op9_pii": op9_pii,
     "op10_quality": op10_quality,
 }
 
@@ -87,4 +97,16 @@ kept as (
 select t.doc_id, len(words)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
        sha256(coalesce(kept, '')) as kept_sha256
 from texts t left join kept k using (doc_id)""",
+    "op8_topk": """
+with usable as (
+  select vec_id, embedding::double[] as x from embeddings
+  where embedding is not null and len(embedding) > 0 and vec_id is not null
+    and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+whole as (select vec_id, list_transform(x, lambda c: floor(64 * c)::bigint) as v from usable),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
+  from whole q join whole c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+ranked as (
+  select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 20""",
 }

@@ -34,7 +34,7 @@ WIDTH = 13
 PART_BYTES = 18 << 20
 LEAST_BITS = 6
 # Windows that a task gathers before it packs them.
-BATCH_WINDOWS = 2_000_000
+BATCH_WINDOWS = 1_000_000
 
 
 def _packed(hashes: np.ndarray) -> bytes:
