@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlab.llm import bpe, mixing, pii, quality, substring, token_files, topk, toxicity
+from ledgerlab.llm import bpe, minhash, mixing, pii, quality, substring, token_files, topk, toxicity
 from ledgerlab.llm.tables import read
 
 
@@ -31,6 +31,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.without_repeats(read(spark, sf_dir, "documents")))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(read(spark, sf_dir, "documents"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_token_files": op5_token_files,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_minhash": op7_minhash,
     "op8_topk": op8_topk,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,

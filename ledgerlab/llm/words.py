@@ -9,9 +9,13 @@ import xxhash
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: str) -> list[bytes]:
-    """Runs of other bytes than x20 and x09-x0D: what `bytes.split` parts at is exactly that set."""
-    return text.encode("utf-8", "surrogatepass").split()
+def words_of(text: str, lower: bool = False) -> list[bytes]:
+    """Runs of other bytes than x20 and x09-x0D: what `bytes.split` parts at is exactly that set.
+
+    `lower` changes A-Z alone, as `bytes.lower` does.
+    """
+    data = text.encode("utf-8", "surrogatepass")
+    return (data.lower() if lower else data).split()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
