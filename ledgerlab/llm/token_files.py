@@ -15,6 +15,7 @@ are left out of the files.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -38,6 +39,9 @@ REMEMBERED, REMEMBERED_LENGTH = 300_000, 48
 # Controls that Python parts words at though the tokenizer's white space does not hold them.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[ \t\n\r]+")
+# Marks that end a word: the tokenizer parts them from a letter or digit anyway, so they can be looked up alone. Letters of
+# Latin-1 only: those have no normal form that ends in a combining mark, which would belong with the marks.
+_ENDS = re.compile(r"(?<=[A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF])[.,;:!?]+(?=\s|$)")
 
 
 class _Words(dict):
@@ -57,6 +61,7 @@ class _Words(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -65,21 +70,41 @@ class _Words(dict):
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if text.isascii():
+        """A word too long to be remembered."""
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        if _latin(text):
             text = text.lower()  # the same as the tokenizer's own lower case there, and fewer words to remember
-        words = _BLANKS.split(text) if _SEPARATORS.search(text) else text.split()
-        return b"".join(map(self.__getitem__, words))
+        text = _ENDS.sub(r" \g<0>", text)
+        return _BLANKS.split(text) if _SEPARATORS.search(text) else text.split()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; words that are new to this task go to the library in one call."""
+        split = [self.split(text) for text in texts]
+        new = [word for word in set().union(*split) if word not in self and len(word) <= REMEMBERED_LENGTH]
+        if len(self) + len(new) > REMEMBERED:  # words still in use come back from the older generation
+            new += [word for word in set().union(*split) if word in self]
+            self.older = dict(self)
+            self.clear()
+        asked = []
+        for word in new:
+            known = self.older.get(word)
+            if known is None:
+                asked.append(word)
+            else:
+                self[word] = known
+        for word, found in zip(asked, self.tokenizer.encode_batch(asked, add_special_tokens=False), strict=True):
+            self[word] = np.asarray(found.ids, "<u4").tobytes()
+        return [b"".join(map(self.__getitem__, words)) for words in split]
+
+
+def _latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1) -> None:
@@ -91,7 +116,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         words = _Words.load(tokenizer)
         for batch in batches:
             for part in _parts(batch):
-                lists = [words.encode(value.as_py()) + end for value in part.column("text")]
+                lists = [ids + end for ids in words.encode(part.column("text").to_pylist())]
                 counts = np.fromiter((len(ids) // 4 for ids in lists), np.int64, len(lists))
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 values = np.frombuffer(b"".join(lists), "<i4")
