@@ -15,17 +15,17 @@ whole; rows of one doc_id are scored apart; without any labelled row, or with on
 label's share (0.5 without any); an empty table gives an empty result; further columns are ignored.
 """
 
-from __future__ import annotations
-
 import json
 import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlab.llm.tables import ids_and_texts, is_held_out
 from ledgerlab.session import cut_lineage
@@ -151,19 +151,20 @@ def _tight(terms: tuple[tuple[str, bool, float], ...]) -> tuple[tuple[str, bool,
     return tuple((name, above, limit) for (name, above), limit in sorted(bounds.items()))
 
 
-def learn(measured: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Rules:
-    """Rules from at most `sample` labelled rows that are not held out.
+def chosen(labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, label) of at most `sample` labelled rows that are not held out."""
+    known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("double").alias("label"))
+    known = known.filter("doc_id is not null and label in (0, 1)").filter(~is_held_out())
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
+    return known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample)
+
 
-    `measured` holds statistics by doc_id; `labels` (doc_id, label).
-    """
+def learn(rows: DataFrame) -> Rules:
+    """Rules from a bounded sample: (label, statistic, ...)."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("double").alias("label"))
-    known = known.filter("doc_id is not null and label in (0, 1)").filter(~is_held_out())
-    known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
-    chosen = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample)
-    rows = cut_lineage(measured.join(F.broadcast(chosen), "doc_id"), "quality-sample")  # `sample` rows at most
+    rows = cut_lineage(rows, "quality-sample")
     counts = {row["label"]: row["count"] for row in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
         share = next(iter(counts), 0.5)
@@ -189,6 +190,23 @@ def learn(measured: DataFrame, labels: DataFrame, label: str = "quality", sample
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
     measured = cut_lineage(statistics(docs), "quality-statistics")
-    rules = learn(measured, labels, sample=sample)
+    # At most `sample` rows are broadcast.
+    rules = learn(measured.join(F.broadcast(chosen(labels, sample=sample)), "doc_id"))
     out = measured.select("doc_id", is_held_out().alias("held_out"), score(rules).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """`docs` without the rows that score below the threshold; all columns stay as they are."""
+    sampled = cut_lineage(chosen(labels, sample=sample), "quality-labels")
+    known = ids_and_texts(docs).join(F.broadcast(sampled), "doc_id")
+    rules = learn(statistics(known).join(F.broadcast(sampled), "doc_id"))
+    measured = docs.select(F.struct(*[docs[name] for name in docs.columns]).alias("row"),
+                           _measures(F.coalesce(docs["text"], F.lit(""))).alias("measures"))
+    passed = measured.select("row", "measures.*").filter(score(rules) >= threshold)
+    return passed.select(*[F.col("row")[name].alias(name) for name in docs.columns])
+
+
+@F.pandas_udf(T.StructType([T.StructField(name, T.DoubleType()) for name in _STATISTICS]))
+def _measures(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_of(text) for text in texts], columns=_STATISTICS, dtype=float)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlab.llm import bpe, minhash, mixing, pii, quality, substring, token_files, topk, toxicity
+from ledgerlab.llm import bpe, embedding_dedup, minhash, mixing, pii, quality, substring, token_files, topk, toxicity
 from ledgerlab.llm.tables import read
 
 
@@ -17,6 +17,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked(read(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -50,6 +54,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_bpe": op4_bpe,
     "op5_token_files": op5_token_files,
     "op6_substring_dedup": op6_substring_dedup,

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROOT = Path(__file__).resolve().parents[2]
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Table `name` of a folder."""
+    """Table `name` of a folder.
+
+    Python workers import this package too; where it isn't installed, they find it where the driver does.
+    """
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(ROOT))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
