@@ -64,12 +64,14 @@ def _dealt(ids: np.ndarray, hashes: np.ndarray, shift: int) -> Iterator[tuple]:
     again = ids > least
     for known, pick in ((False, first), (True, again)):
         own, held = ids[pick], hashes[pick]
+        if not len(own):
+            continue
         part = (held >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(own), np.int64)
         part = -1 - part if known else part
         order = np.lexsort((own, part))
         own, held, part = own[order], held[order], part[order]
-        edges = np.flatnonzero(np.diff(part, prepend=part[:1] - 1 if len(part) else part)) if len(part) else []
-        for start, end in zip(edges, [*edges[1:], len(part)], strict=True):
+        edges = np.flatnonzero(np.diff(part, prepend=part[0] - 1))
+        for start, end in zip(edges, np.append(edges[1:], len(part)), strict=True):
             docs, counts = np.unique(own[start:end], return_counts=True)
             yield int(part[start]), docs.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), _packed(held[start:end])
 

@@ -33,7 +33,7 @@ from ledgerlab.session import cut_lineage
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 4_000, 8_000
 WINDOW = 6
 # Words of the dictionaries at most; a toxic word is in so many distinct toxic documents, and so many times as often.
-ORDINARY_WORDS, TOXIC_WORDS, LEAST_DOCS, LEAST_RATIO = 3_000, 2_000, 5, 20.0
+ORDINARY_WORDS, TOXIC_WORDS, LEAST_DOCS, LEAST_RATIO = 3_000, 2_000, 3, 20.0
 THRESHOLD = 0.7
 TAIL = b" ~tail~of~every~window~that~keeps~it~compressible~ "
 STEPS = (1, 2, 3, 4, 5)
