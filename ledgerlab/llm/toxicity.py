@@ -32,9 +32,12 @@ from ledgerlab.session import cut_lineage
 # Labelled rows of each label to learn from at most.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 4_000, 8_000
 WINDOW = 6
-# Words of the dictionaries at most; a toxic word is in so many distinct toxic documents, and so many times as often.
-ORDINARY_WORDS, TOXIC_WORDS, LEAST_DOCS, LEAST_RATIO = 3_000, 2_000, 3, 20.0
+# Words of the dictionaries at most; a toxic word is in so many distinct toxic documents, in this share of
+# them, and so many times as often as in ordinary ones.
+ORDINARY_WORDS, TOXIC_WORDS, LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3_000, 2_000, 3, 0.01, 20.0
 THRESHOLD = 0.7
+# Bytes of a word's beginning that count as terms too: forms that the sample lacks share it.
+BEGINS = (4, 5)
 TAIL = b" ~tail~of~every~window~that~keeps~it~compressible~ "
 STEPS = (1, 2, 3, 4, 5)
 _EDGES = b".,;:!?\"'()"
@@ -103,8 +106,11 @@ def _sample(labels: DataFrame, label: str, limits: dict[int, int]) -> DataFrame:
 
 
 def _document_words(sample: DataFrame) -> DataFrame:
-    """(label, word, stands_for): distinct words of each document; near copies stand for the same least word hash."""
-    schema = pa.schema([("label", pa.int32()), ("word", pa.binary()), ("stands_for", pa.int64())])
+    """(label, word, whole, stands_for): distinct words of each document, and how they begin.
+
+    Near copies stand for the same least word hash.
+    """
+    schema = pa.schema([("label", pa.int32()), ("word", pa.binary()), ("whole", pa.bool_()), ("stands_for", pa.int64())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,23 +118,27 @@ def _document_words(sample: DataFrame) -> DataFrame:
                 words = {bare for word in _words(text.as_py()) if (bare := word.strip(_EDGES))}
                 if words:
                     least = min(map(xxhash.xxh3_64_intdigest, words)) >> 1
+                    begins = {word[:size] for word in words for size in BEGINS if len(word) > size} - words
+                    count = len(words) + len(begins)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([label] * len(words), pa.int32()), pa.array(list(words), pa.binary()),
-                         pa.array([least] * len(words), pa.int64())], schema=schema)
+                        [pa.array([label] * count, pa.int32()), pa.array([*words, *begins], pa.binary()),
+                         pa.array([True] * len(words) + [False] * len(begins)),
+                         pa.array([least] * count, pa.int64())], schema=schema)
 
-    return sample.select("label", "text").mapInArrow(split, "label int, word binary, stands_for long")
+    return sample.select("label", "text").mapInArrow(split, "label int, word binary, whole boolean, stands_for long")
 
 
 def dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary from (label, text) of a bounded sample."""
     found = _document_words(sample).groupBy("word").agg(
         *[F.count_distinct(F.when(F.col("label") == value, F.col("stands_for"))).alias(name)
-          for name, value in (("plain", 0), ("bad", 1))])
+          for name, value in (("plain", 0), ("bad", 1))], F.max("whole").alias("whole"))
     found = cut_lineage(found, "toxicity-words")
     totals = {row["label"]: row["count"] for row in sample.groupBy("label").count().collect()}
-    often = found.orderBy(F.desc("plain"), "word").limit(ORDINARY_WORDS).filter("plain > 0")
+    often = found.filter("whole and plain > 0").orderBy(F.desc("plain"), "word").limit(ORDINARY_WORDS)
     ratio = (F.col("bad") / totals[1]) / ((F.col("plain") + 1) / totals[0])
-    typical = found.filter((F.col("bad") >= LEAST_DOCS) & (ratio > LEAST_RATIO)).orderBy(F.desc("bad"), "word").limit(TOXIC_WORDS)
+    least = max(LEAST_DOCS, LEAST_SHARE * totals[1])
+    typical = found.filter((F.col("bad") >= least) & (ratio > LEAST_RATIO)).orderBy(F.desc("bad"), "word").limit(TOXIC_WORDS)
     plain = b" ".join(bytes(row["word"]) for row in often.collect()[::-1]) + TAIL  # the most frequent come last, nearest
     bad = b" ".join(bytes(row["word"]) for row in typical.collect()[::-1])
     return b" " + plain, b" " + bad + b" " + plain
