@@ -14,9 +14,12 @@ CONFUSED = {"a": "aá4@", "b": "b8", "e": "eé3", "g": "g9", "i": "ií1l|", "l":
             "s": "s5$", "t": "t7", "u": "uú", "z": "z2"}
 
 
+_READ_AS = str.maketrans({" ": r"\s*", **{letter: f"[{forms}]" for letter, forms in CONFUSED.items()}})
+
+
 def tolerant(word: str) -> str:
     """A pattern for a label whose letters may be misread and whose spaces may be lost or added."""
-    return "".join(r"\s*" if c == " " else f"[{CONFUSED[c]}]" if c in CONFUSED else c for c in word)
+    return word.translate(_READ_AS)
 
 
 # Fragments and, per field, (pattern, confidence) in the order they are tried.
@@ -125,10 +128,10 @@ def _field(text: Column, name: str) -> Column:
 def best_field(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per document and field the reading with the highest confidence, the cheaper one on a tie.
 
-    Partitioned by document once; later per-document steps need no further shuffle.
+    Readings are reduced within their tasks first, so a document with very many sends one row per field and task.
     """
     usable = candidates.filter("error is null").drop("error") if "error" in candidates.columns else candidates
-    best = usable.repartition(key).groupBy(key, "campo").agg(F.max_by(
+    best = usable.groupBy(key, "campo").agg(F.max_by(
         F.struct("valor", "confianza", "estrategia", "costo"), F.struct("confianza", -F.col("costo"), "valor")).alias("x"))
     return best.select(key, "campo", "x.*")
 
@@ -139,32 +142,40 @@ def quality(fields: DataFrame, key: str = "doc_id") -> DataFrame:
 
     A document has at most one row per field, so its strategy list is short.
     """
+    return fields.groupBy(key).agg(*_quality_parts()).select(key, *_quality())
+
+
+def _quality_parts() -> list[Column]:
+    """Aggregates over the fields of a document that its quality follows from."""
     essential, trusted = F.col("campo").isin(ESSENTIAL), F.col("confianza") >= TRUSTED
     filled = F.trim("valor") != ""
     weight = F.when(essential, 3.0).otherwise(1.0)
-    stats = fields.groupBy(key).agg(
+    return [
         F.count_if(filled).alias("presentes"), F.count_if(essential & filled).alias("esenciales"),
         F.count_if(essential & trusted).alias("fiables"), F.count_if(essential & filled & trusted).alias("esenciales_fiables"),
         F.count_if(F.col("campo").isin(DESIRABLE) & ~trusted).alias("dudosos"),
         (F.sum(F.col("confianza") * weight) / F.sum(weight)).alias("confianza_global"),
-        *[F.count_if(F.col("estrategia") == s).alias(f"_{s}") for s in STRATEGY_COST])
+        *[F.count_if(F.col("estrategia") == s).alias(f"_{s}") for s in STRATEGY_COST]]
+
+
+def _quality() -> list[Column]:
+    """Quality columns over those aggregates."""
     need = len(ESSENTIAL)
     level = (F.when(F.col("presentes") == 0, EMPTY).when(
         (F.col("esenciales") < need) | (F.col("esenciales_fiables") < need), PARTIAL).otherwise(COMPLETE))
-    state = (F.when(F.col("completitud") == EMPTY, NOT_REQUIRED).when(
-        (F.col("completitud") == PARTIAL) | (F.col("dudosos") > 0), PENDING).otherwise(NOT_REQUIRED))
+    state = (F.when(level == EMPTY, NOT_REQUIRED).when(
+        (level == PARTIAL) | (F.col("dudosos") > 0), PENDING).otherwise(NOT_REQUIRED))
     most = F.greatest(*[F.col(f"_{s}") for s in STRATEGY_COST])
     dominant = F.coalesce(*[F.when((F.col(f"_{s}") == most) & (most > 0), s) for s in STRATEGY_COST])
-    return stats.withColumn("completitud", level).select(
-        key, "completitud", state.alias("estado_de_revision"), "confianza_global", dominant.alias("estrategia_usada"),
-        (F.col("fiables") == need).alias("suficiente"))
+    return [level.alias("completitud"), state.alias("estado_de_revision"), F.col("confianza_global"),
+            dominant.alias("estrategia_usada"), (F.col("fiables") == need).alias("suficiente")]
 
 
 def build_record(fields: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One typed record per document from its best fields, with raw values and confidences."""
+    """One typed record per document from its best fields, with raw values, confidences and quality: one aggregation."""
     maps = fields.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("campo", "valor"))).alias("campos_crudos"),
-        F.map_from_entries(F.collect_list(F.struct("campo", F.bround("confianza", 3)))).alias("confianza_por_campo"))
+        F.map_from_entries(F.collect_list(F.struct("campo", F.bround("confianza", 3)))).alias("confianza_por_campo"), *_quality_parts())
 
     def raw(name: str) -> Column:
         return F.try_element_at("campos_crudos", F.lit(name))
@@ -175,17 +186,18 @@ def build_record(fields: DataFrame, key: str = "doc_id") -> DataFrame:
         "tipo_doc_inquilino": I.normalize_code(raw("tipo_doc_inquilino")), "tipo_de_bien": I.normalize_code(raw("tipo_de_bien")),
         "moneda": F.coalesce(I.parse_money(raw("importe_pagado"))["moneda"], I.parse_money(raw("monto_alquiler"))["moneda"], F.lit("PEN")),
     }
-    typed = maps.select(key, *[c.alias(n) for n, c in columns.items()], "campos_crudos", "confianza_por_campo")
-    return typed.join(quality(fields, key), key)
+    return maps.select(key, *[c.alias(n) for n, c in columns.items()], "campos_crudos", "confianza_por_campo", *_quality())
 
 
 def _as_text(name: str, value: Column) -> Column:
     return F.substring(strip(F.coalesce(value, F.lit(""))), 1, 120) if name in FREE_TEXT else PARSERS[name](value).cast("string")
 
 
-def apply_corrections(records: DataFrame, corrections: DataFrame, key: str = "record_id") -> tuple[DataFrame, DataFrame]:
+def apply_corrections(records: DataFrame, corrections: DataFrame, key: str = "record_id", order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(corrected records, rejected corrections). `corrections` is (key, campo, valor).
 
+    Of several corrections of one field the one with the greatest `order` column counts (the greatest value, without one).
+
     Every value passes the field's own parser. A record with a field that may not be corrected
     or a value that does not parse keeps its old values, and its bad rows are returned.
     """
@@ -197,7 +209,7 @@ def apply_corrections(records: DataFrame, corrections: DataFrame, key: str = "re
     # One row per record: at most one value per known field.
     wide = parsed.groupBy(key).agg(
         F.count_if(F.col("leido").isNull()).alias("_malas"),
-        *[F.max(F.when(F.col("campo") == n, F.col("leido"))).alias(f"_{n}") for n in known])
+        *[F.max_by("leido", F.when(F.col("campo") == n, F.struct(*([order] if order else []), "leido"))).alias(f"_{n}") for n in known])
     joined = records.join(wide.filter("_malas = 0").drop("_malas").withColumn("_hay", F.lit(True)), key, "left")
     entries = F.array_compact(F.array(*[F.when(F.col(f"_{n}").isNotNull(), F.struct(F.lit(n).alias("k"), F.col(f"_{n}").alias("v"))) for n in known]))
     new_raw = F.map_from_entries(entries)
@@ -277,7 +289,6 @@ REPORT_COLUMNS = {
     "intereses_moratorios": "Intereses Moratorios", "moneda": "Moneda", "fecha_de_pago": "Fecha de Pago",
     "numero_de_operacion": "N° Operación", "estado": "Estado de Extracción", "revision": "Revisión", "archivo_origen": "Archivo",
 }
-REPORT_CAP = 50_000
 
 
 def _named(column: str, labels: dict[str, str]) -> Column:
@@ -285,8 +296,8 @@ def _named(column: str, labels: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(names, F.col(column)), F.col(column), F.lit(""))
 
 
-def records_report(records: DataFrame, cap: int | None = REPORT_CAP) -> DataFrame:
-    """Report rows as text. The cap is the export limit of the report, newest records first."""
+def records_report(records: DataFrame, cap: int | None = None) -> DataFrame:
+    """Report rows as text; `cap` keeps the newest records only."""
     rows = list_records(records, cap) if cap else records
     texts = {n: F.coalesce(F.col(n).cast("string"), F.lit("")) for n in REPORT_COLUMNS if n not in ("estado", "revision", "archivo_origen")}
     texts.update({n: F.coalesce(F.col(n).cast("decimal(14,2)").cast("string"), F.lit("")) for n in MONEY_FIELDS})
