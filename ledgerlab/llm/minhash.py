@@ -148,7 +148,9 @@ def candidate_links(nodes: DataFrame, distance: int = DISTANCE, block: int = KEY
             for at in range(batch.num_rows):
                 row = held.slice(at, 1).flatten()
                 ids = row.field("node").to_numpy()
-                values = np.frombuffer(b"".join(row.field("signature").to_pylist()), "<u2").reshape(-1, VALUES)
+                order = ids.argsort()  # the least node is a root wherever it is, so forests share their links
+                ids = ids[order]
+                values = np.frombuffer(b"".join(row.field("signature").to_pylist()), "<u2").reshape(-1, VALUES)[order]
                 near = np.empty((len(ids), len(ids)), bool)
                 for start in range(0, len(ids), 64):
                     near[start:start + 64] = (values[start:start + 64, None] != values[None]).sum(2) <= distance
@@ -157,7 +159,12 @@ def candidate_links(nodes: DataFrame, distance: int = DISTANCE, block: int = KEY
                     b.append(int(ids[root]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_LINK_SCHEMA)
 
-    return with_values.mapInArrow(compare, "a long, b long").distinct()
+    found = with_values.mapInArrow(compare, "a long, b long")
+    # A node has a root for each of its keys at most: it keeps the least, the others are linked to that one.
+    roots = found.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("roots"))
+    roots = roots.select(F.explode(F.transform("roots", lambda root, at: F.struct(
+        F.when(at == 0, F.col("a")).otherwise(root).alias("a"), F.get("roots", F.lit(0)).alias("b")))).alias("link"))
+    return roots.select("link.a", "link.b").distinct()
 
 
 def linked_sets(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
@@ -213,7 +220,9 @@ def verified_links(docs: DataFrame, groups: DataFrame, width: int = WIDTH, perce
                 if len(row) < 2:
                     continue
                 ids = row.field("node").to_numpy()
-                found = [np.frombuffer(value.as_py(), np.uint64) for value in row.field("members")]
+                order = ids.argsort()
+                ids, members = ids[order], row.field("members").take(pa.array(order))
+                found = [np.frombuffer(value.as_py(), np.uint64) for value in members]
                 for i, root in forest(linked_sets(found, percent)):
                     a.append(int(ids[i]))
                     b.append(int(ids[root]))
