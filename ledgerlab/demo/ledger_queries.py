@@ -296,7 +296,7 @@ def amount_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {{a}} SELECT tipo_cdp, serie, numero, prioridad FROM (SELECT tipo_cdp, serie, numero, min(prioridad) AS prioridad FROM (
 SELECT 0 AS prioridad, tipo_cdp, serie, numero FROM empresa e WHERE (tipo_cdp, upper(serie), {_NUM}) IN (SELECT (tipo_cdp, upper(serie), {_NUM}) FROM empresa GROUP BY tipo_cdp, upper(serie), {_NUM} HAVING count(*) > 1)
-UNION ALL (SELECT 1, tipo_cdp, serie, numero FROM a ORDER BY tipo_cdp, serie, numero, fecha_emision LIMIT 5000)) GROUP BY tipo_cdp, serie, numero)""".replace("WITH {a}", _SALES_CTE))
+UNION ALL SELECT 1, tipo_cdp, serie, numero FROM a) GROUP BY tipo_cdp, serie, numero)""".replace("WITH {a}", _SALES_CTE))
 def validation_worklist(spark: SparkSession, sf: str) -> DataFrame:
     from ledgerlab.operators.sequence import duplicate_rows_in_period
 

@@ -157,10 +157,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work one task per core when the scan has fewer splits than cores (one small
-    file); a table of many splits keeps its own, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal rows to the session's number of shuffle partitions before CPU-heavy work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def derive(spark: SparkSession, sf_dir: str, columns: dict[str, str], source: str = "lineitem") -> DataFrame:

@@ -79,7 +79,7 @@ def count_matches(spark: SparkSession, sf: str) -> DataFrame:
     return T.count_matches(table(spark, sf, "orders"), group("and", leaf("o_orderstatus", "eq", "F"), leaf("o_totalprice", "gt", 100000)))
 
 
-@query("""SELECT DISTINCT p_name AS value FROM part WHERE p_name IS NOT NULL AND p_name ILIKE '%re%' ORDER BY value LIMIT 501""")
+@query("""SELECT DISTINCT p_name AS value FROM part WHERE p_name IS NOT NULL AND p_name ILIKE '%re%'""")
 def distinct_values(spark: SparkSession, sf: str) -> DataFrame:
     return T.distinct_values(table(spark, sf, "part"), "p_name", "RE")
 

@@ -27,16 +27,22 @@ def round_half_away(column: Column, dtype: T.DataType, places: int) -> Column:
 
 
 def as_text(column: Column, dtype: T.DataType) -> Column:
-    """Cast to text; doubles print in plain notation (12345678.9, not 1.23456789E7)."""
+    """Cast to text; doubles print in plain notation (12345678.9, not 1.23456789E7) from 1e-4 to below 1e16, else as 1e-05."""
     if not isinstance(dtype, FLOATS):
         return column.cast("string")
     size = F.abs(column)
     plain = F.regexp_replace(column.cast("decimal(38,9)").cast("string"), "0+$", "")
     small = F.regexp_replace(column.cast("decimal(38,24)").cast("string"), "0+$", "")
+    spark = column.cast("string")
+    mantissa = F.regexp_replace(F.split_part(spark, F.lit("E"), F.lit(1)), r"\.0$", "")
+    power = F.split_part(spark, F.lit("E"), F.lit(2))
+    digits = F.lpad(F.ltrim(power, F.lit("-")), F.greatest(F.length(F.ltrim(power, F.lit("-"))), F.lit(2)), F.lit("0"))
+    scientific = F.concat(mantissa, F.lit("e"), F.when(power.startswith("-"), "-").otherwise("+"), digits)
     return (
-        F.when(size.between(1e7, 1e16), F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain))
+        F.when((size >= 1e7) & (size < 1e16), F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain))
         .when((size >= 1e-4) & (size < 1e-3), small)
-        .otherwise(column.cast("string"))
+        .when(spark.contains("E"), scientific)
+        .otherwise(spark)
     )
 
 

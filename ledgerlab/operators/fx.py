@@ -15,8 +15,6 @@ RATE = "decimal(7,3)"
 LEAD_IN_DAYS, MONTHS_BACK = 10, 24
 LOCAL_CURRENCY = "PEN"
 NOTES = ["07", "08"]
-# A rate table has one row per calendar day; beyond this span no broadcast is hinted.
-MAX_BROADCAST_DAYS = 200_000
 
 
 def one_per_day(quotes: DataFrame) -> DataFrame:
@@ -83,12 +81,10 @@ def fx_differences(lines: DataFrame, rates: DataFrame, since: date, until: date)
     """Foreign-currency sales lines whose rate is not the official sell rate of their day.
 
     Notes use the date of the document they modify when it is present. The rate table is cut
-    to [since, until] and to one row per day, so its broadcast is bounded by the calendar.
+    to [since, until] and to one row per day; Spark decides how to join it.
     """
     official = one_per_day(rates.filter(F.col("fecha").between(F.lit(since), F.lit(until)))).select(
         F.col("fecha").alias("fecha_tc"), F.col("venta").alias("tc_sunat"))
-    if (until - since).days <= MAX_BROADCAST_DAYS:
-        official = F.broadcast(official)
     modified = F.when(F.trim("tipo").isin(NOTES), F.col("fecha_doc_mod"))
     currency = F.upper(F.trim("moneda"))
     foreign = lines.filter((currency != "") & (currency != LOCAL_CURRENCY) & (F.col("tc") != 0))

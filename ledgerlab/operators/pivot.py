@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlab.errors import InvalidSpec
-from ledgerlab.functions.values import round_half_away
+from ledgerlab.functions.values import as_text, round_half_away
 from ledgerlab.operators.tables import ROUND_PLACES, distinct_list, where
 from ledgerlab.plans.filters import column_of
 from ledgerlab.plans.pivots import MAX_CROSSTAB, NUMERIC_ONLY, ZERO_WHEN_EMPTY, Measure, PivotSpec
@@ -53,7 +53,11 @@ def _cells(df: DataFrame, spec: PivotSpec, values: list | None) -> list[tuple[st
         return [(m.alias, m, None) for m in spec.measures]
     by = column_of(df, spec.pivot_column)
     cells = [(spec.label(m, v), m, by == F.lit(v)) for v in values for m in spec.measures]
-    return cells + [(spec.label(m), m, None) for m in spec.measures]
+    cells += [(spec.label(m), m, None) for m in spec.measures]
+    names = [name.lower() for name in [*spec.group_by, *(name for name, _, _ in cells)]]
+    if len(names) > len(set(names)):
+        raise InvalidSpec("a value of the cross-tab is named like another column; use pivot_long")
+    return cells
 
 
 def _grand(rows: DataFrame, spec: PivotSpec) -> DataFrame:
@@ -82,6 +86,20 @@ def pivot(df: DataFrame, spec: PivotSpec, values: list | None = None) -> DataFra
     return _ordered(grouped.select(*[column_of(grouped, n) for n in spec.group_by], *named), spec)
 
 
+def pivot_long(df: DataFrame, spec: PivotSpec) -> DataFrame:
+    """The cross-tab as rows (groups, `valor`, measures): any number of values, any names, one aggregation.
+
+    Values are the text of the cross-tab column, NULL included.
+    """
+    spec.check(df)
+    if spec.pivot_column is None:
+        raise InvalidSpec("give a cross-tab column")
+    rows = where(df, spec.filter)
+    value = as_text(column_of(rows, spec.pivot_column), rows.schema[spec.pivot_column].dataType).alias("valor")
+    shown = [_shown(rows, m, _aggregate(rows, m)).alias(m.alias) for m in spec.measures]
+    return rows.groupBy(*[column_of(rows, n) for n in spec.group_by], value).agg(*shown)
+
+
 def _zero(values: list | None, measure: Measure, condition: Column | None, cell: Column) -> Column:
     if condition is not None and measure.aggregation in ZERO_WHEN_EMPTY:
         return F.coalesce(cell, F.lit(0))

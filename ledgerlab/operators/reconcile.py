@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ledgerlab.errors import InvalidSpec
 from ledgerlab.operators import ledger as L
 from ledgerlab.operators.receipts import receipts_as_scenarios, receipts_by_day
-from ledgerlab.session import broadcast_if_small
 
 BOOKS = {"ventas": L.SALES_TYPES, "compras": L.PURCHASE_TYPES}
 LATE_MONTHS = 12
@@ -231,7 +230,7 @@ def _within_coverage(pairs: DataFrame, days: DataFrame) -> DataFrame:
     """Drop authority-only rows of days outside the company file; a file without dates drops none."""
     marked = days.select(F.col("periodo").alias("d_periodo"), F.col("dia"), F.lit(True).alias("cubierto"))
     day = F.col("s.fecha_emision")
-    out = pairs.join(broadcast_if_small(marked), (pairs.periodo == F.col("d_periodo")) & (day == F.col("dia")), "left")
+    out = pairs.join(marked, (pairs.periodo == F.col("d_periodo")) & (day == F.col("dia")), "left")
     # Periods are calendar months: the set of those with dates is a short array.
     dated = days.agg(F.collect_set("periodo").alias("p")).scalar()
     keep = F.col("e").isNotNull() | F.col("cubierto").isNotNull() | ~F.array_contains(dated, F.col("periodo"))
@@ -313,11 +312,13 @@ def order_authority_only(b: DataFrame) -> DataFrame:
     return b.orderBy(F.desc("es_alerta_roja"), F.desc("igv_sunat"), "tipo_cdp", "serie", "numero")
 
 
-def validation_worklist(a: DataFrame, duplicates: DataFrame, limit: int = 5000) -> DataFrame:
-    """Vouchers to check with the authority: all duplicates, then the first `limit` rows of
-    scenario A, one row per (type, series, number)."""
+def validation_worklist(a: DataFrame, duplicates: DataFrame, limit: int | None = None) -> DataFrame:
+    """Vouchers to check with the authority: all duplicates, then the rows of scenario A (the first
+    `limit` of them, if given), one row per (type, series, number)."""
     shown = ["tipo_cdp", "serie", "numero", "fecha_emision", "importe_total"]
-    first = a.select(shown).orderBy("tipo_cdp", "serie", "numero", "fecha_emision").limit(limit)
+    first = a.select(shown)
+    if limit is not None:
+        first = first.orderBy("tipo_cdp", "serie", "numero", "fecha_emision").limit(limit)
     both = duplicates.select(F.lit(0).alias("prioridad"), *shown).unionByName(
         first.select(F.lit(1).alias("prioridad"), *shown))
     best = both.groupBy("tipo_cdp", "serie", "numero").agg(

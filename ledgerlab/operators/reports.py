@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlab.errors import InvalidSpec
 from ledgerlab.operators.ledger import MONEY, TOL_IGV
 from ledgerlab.operators.receipts import DIFFERS, MATCHES, ONLY_AUTHORITY, ONLY_COMPANY
 
-MAX_DAYS = 366
 # State labels of the receipts sheet.
 STATE_LABELS = {
     ONLY_COMPANY: "Solo en tu archivo", ONLY_AUTHORITY: "Solo en SUNAT", MATCHES: "Cuadra OK", DIFFERS: "Diferencia",
@@ -32,11 +30,8 @@ def series_ranking(receipts: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def report_days(receipts: DataFrame) -> list:
-    """Days of the report in order: the columns of a matrix, bounded by its period."""
-    days = [r.fecha for r in receipts.select("fecha").filter("fecha is not null").distinct().orderBy("fecha").limit(MAX_DAYS + 1).collect()]
-    if len(days) > MAX_DAYS:
-        raise InvalidSpec(f"a matrix shows at most {MAX_DAYS} days; filter the period first")
-    return days
+    """Days of the report in order: the columns of a matrix. `series_day_pairs` is the form without columns."""
+    return [r.fecha for r in receipts.select("fecha").filter("fecha is not null").distinct().orderBy("fecha").collect()]
 
 
 def series_day_matrix(receipts: DataFrame, side: str, days: list | None = None) -> DataFrame:
@@ -85,6 +80,13 @@ def duplicates_sheet(duplicates: DataFrame) -> DataFrame:
         "razon_social", "base_imponible", "igv", "total", "moneda", previous.alias("periodos_previos"))
 
 
+def cuts_sheet(cuts: DataFrame) -> DataFrame:
+    """Numbers missing between two periods, with the vouchers on either side of the cut as text."""
+    voucher = lambda n: F.concat_ws("-", F.col("serie"), F.col(n).cast("string"))
+    return cuts.select("tipo", "serie", voucher("ultimo_anterior").alias("ultimo_anterior"),
+                       voucher("primero_actual").alias("primero_actual"), "faltantes", "cantidad").orderBy("tipo", "serie")
+
+
 def month_of(column: Column) -> Column:
     """'2026-05-14' -> '202605', NULL when the text does not start like an ISO date."""
     return F.when(column.rlike("^[0-9]{4}.[0-9]{2}"), F.concat(F.substring(column, 1, 4), F.substring(column, 6, 2)))

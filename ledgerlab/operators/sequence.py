@@ -52,22 +52,34 @@ def _carried_ends(ranges: DataFrame) -> DataFrame:
         *_SERIES, "cubo", F.greatest("en_bloque", "antes").alias("previo"))
 
 
-def number_gaps(ledger: DataFrame, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
-    """Missing numbers per (type, series) between declared ranges, as compact text and a count.
-
-    A series is cut into number buckets, sorted in parallel; the highest end of earlier buckets is
-    carried into each, so one series may hold most of the rows. Only the first gaps a listed series
-    can show are kept per bucket.
-    """
+def _measured(ledger: DataFrame, bucket: int, block: int) -> DataFrame:
+    """Declared ranges with the highest end before them (`hasta_ahora`) and the width of the gap in between (`ancho`)."""
     ranges = _intervals(ledger).withColumn("cubo", F.floor(F.col("ini") / F.lit(bucket)))
     ranges = ranges.withColumn("bloque", F.floor(F.col("cubo") / F.lit(block)))
     cube = [*_SERIES, "cubo"]
-    inside = Window.partitionBy(cube).orderBy("ini")
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(cube).orderBy("ini").rowsBetween(Window.unboundedPreceding, -1)
     carried = ranges.join(_carried_ends(ranges), cube)
     seen = F.greatest(F.max("fin").over(before), F.col("previo"))
-    gaps = carried.withColumn("hasta_ahora", seen).withColumn(
+    return carried.withColumn("hasta_ahora", seen).withColumn(
         "ancho", F.when(F.col("ini") > F.col("hasta_ahora") + 1, F.col("ini") - 1 - F.col("hasta_ahora")).otherwise(0).cast(_INT))
+
+
+def gap_rows(ledger: DataFrame, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """Every gap of a numbering as a row (tipo, serie, desde, hasta, cantidad), however many there are."""
+    return _measured(ledger, bucket, block).filter("ancho > 0").select(
+        *_SERIES, (F.col("hasta_ahora") + 1).cast(_INT).alias("desde"), (F.col("ini") - 1).cast(_INT).alias("hasta"),
+        F.col("ancho").alias("cantidad"))
+
+
+def number_gaps(ledger: DataFrame, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """Missing numbers per (type, series) between declared ranges, as compact text and a count.
+
+    A series is cut into number buckets, sorted in parallel; the highest end of earlier buckets is
+    carried into each, so one series may hold most of the rows. Only the first gaps a listed series
+    can show are kept per bucket; `gap_rows` has all of them.
+    """
+    gaps = _measured(ledger, bucket, block)
+    inside = Window.partitionBy(*_SERIES, "cubo").orderBy("ini")
     listed = F.sum(F.when(F.col("ancho") > 0, 1).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     gap = F.struct((F.col("hasta_ahora") + 1).cast(_INT).alias("a"), (F.col("ini") - 1).cast(_INT).alias("b"))
     per_cube = gaps.withColumn("orden", listed).groupBy(*_SERIES, "cubo", "bloque").agg(
@@ -128,11 +140,15 @@ def periods_per_key(previous: DataFrame) -> DataFrame:
 def duplicates_vs_previous(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Current lines declared in an earlier period, with those periods.
 
-    Receipts and keys already repeated within the current period are left out.
+    Receipts and keys already repeated within a current period are left out; each line is compared
+    with the periods before its own.
     """
     keyed = with_dup_key(current).filter(~F.col("tipo").isin(NOT_CROSS_CHECKED))
-    single = keyed.join(_repeated(keyed, DUP_KEY), DUP_KEY, "left_anti")
-    hits = single.join(periods_per_key(previous), DUP_KEY)
+    by = ["periodo", *DUP_KEY]
+    single = keyed.join(_repeated(keyed, by), by, "left_anti")
+    before = F.filter("periodos_previos", lambda p: p < F.col("periodo"))
+    hits = single.join(periods_per_key(previous), DUP_KEY).withColumn("periodos_previos", before)
+    hits = hits.filter(F.size("periodos_previos") > 0)
     return hits.orderBy("tipo", "serie", whole_number(F.col("numero"))).drop("clave_numero")
 
 

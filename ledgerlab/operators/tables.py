@@ -12,7 +12,6 @@ from ledgerlab.plans.expressions import MAX_COMPUTED, expression_column
 from ledgerlab.plans.filters import column_of, filter_column, search_column
 
 MAX_PAGE = 1000
-MAX_DISTINCT = 500
 MAX_RULES = 20
 TOP_VALUES = 10
 ROUND_PLACES = 6
@@ -53,13 +52,31 @@ def page(df: DataFrame, limit: int = 100, offset: int = 0, sort: list[tuple[str,
     return df.offset(offset).limit(limit)
 
 
+def page_after(df: DataFrame, sort: list[tuple[str, str]], last: dict | None, limit: int = 100) -> DataFrame:
+    """The page that follows the row `last` (column -> value of every column) in the order of `page`.
+
+    A filter takes the place of the offset, so a deep page costs what the first one does.
+    """
+    ways = dict(sort) | {name: "asc" for name in df.columns if name not in dict(sort)}
+    if last is not None:
+        beyond, equal = F.lit(False), F.lit(True)
+        for name, way in ways.items():
+            column, value = column_of(df, name), F.lit(last[name])
+            if last[name] is not None:  # NULLs come last both ways
+                after = column > value if way == "asc" else column < value
+                beyond = beyond | (equal & F.coalesce(after | column.isNull(), F.lit(True)))
+            equal = equal & column.eqNullSafe(value)
+        df = df.filter(beyond)
+    return page(df, limit, 0, list(ways.items()))
+
+
 def count_matches(df: DataFrame, tree: dict | None = None, search: str | None = None) -> DataFrame:
     """One row `total`."""
     return where(df, tree, search).agg(F.count(F.lit(1)).alias("total"))
 
 
-def distinct_values(df: DataFrame, column: str, search: str | None = None, limit: int = MAX_DISTINCT) -> DataFrame:
-    """Sorted distinct non-null values, one more than `limit` so that a cut can be told.
+def distinct_values(df: DataFrame, column: str, search: str | None = None, limit: int | None = None) -> DataFrame:
+    """Sorted distinct non-null values; with a `limit`, one more than it so that a cut can be told.
 
     The search keeps `%` and `_` as wildcards.
     """
@@ -67,10 +84,11 @@ def distinct_values(df: DataFrame, column: str, search: str | None = None, limit
     hits = df.filter(value.isNotNull())
     if search:
         hits = hits.filter(as_text(value, df.schema[column].dataType).ilike(f"%{search}%"))
-    return hits.select(value.alias("value")).distinct().orderBy("value").limit(limit + 1)
+    found = hits.select(value.alias("value")).distinct().orderBy("value")
+    return found if limit is None else found.limit(limit + 1)
 
 
-def distinct_list(df: DataFrame, column: str, search: str | None = None, limit: int = MAX_DISTINCT) -> tuple[list, bool]:
+def distinct_list(df: DataFrame, column: str, search: str | None = None, limit: int = 500) -> tuple[list, bool]:
     """(values, truncated); at most `limit + 1` values reach the driver."""
     values = [row.value for row in distinct_values(df, column, search, limit).collect()]
     return values[:limit], len(values) > limit

@@ -48,9 +48,9 @@ def _literal_int(arg: Column | None, raw: dict | None) -> int:
 
 
 _BINARY = {
-    "add": lambda a, b: a + b,
-    "sub": lambda a, b: a - b,
-    "mul": lambda a, b: a * b,
+    "add": F.try_add,  # NULL where the result does not fit
+    "sub": F.try_subtract,
+    "mul": F.try_multiply,
     "eq": lambda a, b: a == b,
     "ne": lambda a, b: a != b,
     "gt": lambda a, b: a > b,

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Adaptive execution stays on: it coalesces small shuffle partitions and splits skewed ones
 # of inner, left, semi and anti joins. Full-outer joins get one row per key per side first.
@@ -47,11 +46,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only when a bounded count proves the side small; else leave it to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back, so lost executors do not recompute it.
 

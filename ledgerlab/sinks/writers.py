@@ -12,14 +12,17 @@ from ledgerlab.operators.reconcile import Reconciliation, difference_text
 from ledgerlab.operators.records import REPORT_COLUMNS
 from ledgerlab.operators.tables import schema_of
 
-# Text separators and the row bounds of downloads.
+# Text separators, and the rows that a sheet holds.
 SEPARATORS = {"tab": "\t", "pipe": "|", "semicolon": ";", "comma": ","}
-MAX_EXPORT_ROWS, MAX_SHEET_ROWS = 5_000_000, 1_048_575
+MAX_SHEET_ROWS = 1_048_575
 
 
-def export_guard(df: DataFrame, cap: int = MAX_EXPORT_ROWS, sheet: bool = False) -> int:
-    """Row count of a download; more than its bound is an error. The count stops past the bound."""
-    bound = min(cap, MAX_SHEET_ROWS) if sheet else cap
+def export_guard(df: DataFrame, cap: int | None = None, sheet: bool = False) -> int:
+    """Row count of a download; more than its bound (if it has one) is an error. The count stops past the bound."""
+    bounds = [bound for bound in (cap, MAX_SHEET_ROWS if sheet else None) if bound is not None]
+    if not bounds:
+        return df.count()
+    bound = min(bounds)
     rows = df.limit(bound + 1).count()
     if rows > bound:
         raise ExportTooLarge(f"the download would pass {bound} rows")
@@ -40,12 +43,11 @@ def write_txt(df: DataFrame, path: str, separator: str = "tab") -> None:
 
 def materialize(df: DataFrame, path: str) -> tuple[list[dict], int]:
     """Store a derived dataset; returns its schema and row count, no rows is an error."""
+    if df.isEmpty():  # before the write: a folder left behind would block the next try
+        raise EmptyDataset("the derived dataset holds no rows")
     df.write.mode("errorifexists").parquet(path)
     stored = df.sparkSession.read.parquet(path)
-    rows = stored.count()
-    if rows == 0:
-        raise EmptyDataset("the derived dataset holds no rows")
-    return schema_of(stored), rows
+    return schema_of(stored), stored.count()
 
 
 def catalog_row(spark: SparkSession, name: str, origin: str, schema: list[dict], rows: int, path: str) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ledgerlab.errors import InvalidSpec
 from ledgerlab.functions import normalize as N
-from ledgerlab.operators.profile import arithmetic_share
 from ledgerlab.sources.lines import after_first, decoded, field, fields_of, first_lines, line_position, text_lines
 
 # Field positions (from 0) of the standard books and of the proposals.
@@ -34,11 +33,14 @@ PROPOSAL_PURCHASES = {
     "igv": 15, "bi_dgng": 16, "igv_dgng": 17, "bi_dng": 18, "igv_dng": 19, "valor_adq_ng": 20, "importe_total": 24,
     "moneda": 25, "tipo_cambio": 26,
 }
+# Headings of the platform's file, least numbers of fields, and the gate of a book: in each file this
+# share of all lines adds up within the tolerance.
 PLATFORM_HEADINGS = ["type description", "number", "issued date", "amount net", "amount tax", "amount total"]
 MIN_LINE_FIELDS, MIN_PURCHASE_FIELDS, MIN_SALES_FIELDS = 36, 26, 27
-GATE_ROWS, GATE_SHARE, GATE_TOLERANCE = 2000, 0.9, "0.02"
+GATE_SHARE, GATE_TOLERANCE = 0.9, "0.02"
 PERIOD_FIELD, DATE_FIELD = r"^\s*[0-9]{6}00\s*$", r"^\s*[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\s*$"
 _TEXT = ["tipo_cdp", "serie", "numero", "numero_final", "ruc_proveedor", "razon_social", "moneda"]
+# Amounts that add up to the total.
 PURCHASE_PARTS = ["base_imponible", "igv", "bi_dgng", "igv_dgng", "bi_dng", "igv_dng", "valor_adq_ng", "isc", "icbper", "otros"]
 SALES_PARTS = ["exportacion", "bi", "dscto_bi", "igv_bruto", "dscto_igv", "mto_exonerado", "mto_inafecto", "isc", "bi_ivap", "ivap", "icbper", "otros"]
 
@@ -71,11 +73,12 @@ def read_ple_sales(spark: SparkSession, path: str) -> DataFrame:
 def _book(spark: SparkSession, path: str, positions: dict[str, int], parts: list[str], least: int, check: bool) -> DataFrame:
     rows = _positional(fields_of(text_lines(spark, path), "|").filter(F.size("c") >= least), positions, N.plain_amount)
     if check:
-        # As the book is judged by its first rows, so is the file here; the sort keeps 2000 rows.
-        head = rows.orderBy("line_no").limit(GATE_ROWS)
-        share = arithmetic_share(head, parts, "importe_total", GATE_TOLERANCE).first()["proporcion"]
-        if share is None or share < GATE_SHARE:
-            raise InvalidSpec("amounts do not add up: the fields are not where the standard puts them")
+        added = sum((F.col(part) for part in parts[1:]), F.col(parts[0]))
+        fits = F.abs(added - F.col("importe_total")) <= F.lit(GATE_TOLERANCE).cast("decimal(18,2)")
+        shares = rows.groupBy("archivo").agg(F.avg(F.when(fits, 1.0).otherwise(0.0)).alias("proporcion"))
+        bad = shares.filter(F.col("proporcion") < GATE_SHARE).orderBy("archivo").first()
+        if bad or shares.isEmpty():
+            raise InvalidSpec(f"amounts do not add up: the fields are not where the standard puts them ({bad.archivo if bad else path})")
     return rows.filter("numero <> ''")
 
 

@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlab.session import broadcast_if_small
-
-_ROW_BITS = 33
+# Bits of the row in a task (half a thousand million rows), and of the unit in which split offsets are told apart.
+_ROW_BITS, _UNIT_BITS = 29, 4
 
 
 def line_position() -> Column:
     """A number that grows along one file: its split's offset, then the row within the task.
 
-    Splits start at least 64 KB apart, and Spark numbers rows of a task in reading order.
+    Splits start at least 16 bytes apart (files of up to 256 GB), and Spark numbers rows of a task in reading order.
     """
-    block = F.shiftright(F.col("_metadata.file_block_start"), 16)
+    block = F.shiftright(F.col("_metadata.file_block_start"), _UNIT_BITS)
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return F.shiftleft(block, _ROW_BITS) + row
 
 
 def decoded(value: Column) -> Column:
-    """The line as UTF-8 when its bytes are valid, else as Latin-1."""
-    return F.when(F.is_valid_utf8(value), value).otherwise(F.decode(value.cast("binary"), "ISO-8859-1"))
+    """The line as UTF-8 when its bytes are valid, else as Windows-1252 or, without its extra letters, Latin-1."""
+    latin = F.decode(value.cast("binary"), "ISO-8859-1")
+    windows = F.when(latin.rlike("[\\x{80}-\\x{9f}]"), F.decode(value.cast("binary"), "windows-1252"))
+    return F.when(F.is_valid_utf8(value), value).otherwise(F.coalesce(windows, latin))
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +46,7 @@ def after_first(lines: DataFrame, count: int) -> DataFrame:
     if count <= 0:
         return lines
     heads = first_lines(lines, count).groupBy("archivo").agg(F.max("line_no").alias("_corte"))
-    return lines.join(broadcast_if_small(heads), "archivo").filter(F.col("line_no") > F.col("_corte")).drop("_corte")
+    return lines.join(heads, "archivo").filter(F.col("line_no") > F.col("_corte")).drop("_corte")
 
 
 def fields_of(lines: DataFrame, separator: str) -> DataFrame:
