@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ PAGE_BYTES = 128 << 10
 PAGE_ROWS = 1000
 DICTIONARY_BYTES = 2 << 20
 # Words a task remembers at most in each of two generations, and their greatest length. They decide speed alone.
-REMEMBERED, REMEMBERED_LENGTH = 300_000, 48
+REMEMBERED, REMEMBERED_LENGTH = 500_000, 48
 # Controls that Python parts words at though the tokenizer's white space does not hold them.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[ \t\n\r]+")
@@ -44,6 +45,11 @@ _BLANKS = re.compile("[ \t\n\r]+")
 _ENDS = re.compile(r"(?<=[A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF])[.,;:!?]+(?=\s|$)")
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Words(dict):
     """Ids of a word as little-endian bytes, asked of the library when first met.
 
@@ -71,7 +77,7 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         """A word too long to be remembered."""
-        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -96,7 +102,7 @@ class _Words(dict):
             else:
                 self[word] = known
         for word, found in zip(asked, self.tokenizer.encode_batch(asked, add_special_tokens=False), strict=True):
-            self[word] = np.asarray(found.ids, "<u4").tobytes()
+            self[word] = _packed(found.ids)
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
@@ -110,7 +116,7 @@ def _latin(text: str) -> bool:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1) -> None:
     """Write (doc_id, n_tokens, ids) of every row below `path`, ascending by doc_id; `end_id` closes each document."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
+    end = b"" if end_id is None else _packed([end_id])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words.load(tokenizer)
