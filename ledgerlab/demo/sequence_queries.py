@@ -51,6 +51,14 @@ def number_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return shown(S.number_gaps(D.derive(spark, sf, D.GAP_LEDGER, "orders"), bucket=1000))
 
 
+@query(f"""WITH r AS (SELECT tipo_cdp AS tipo, upper(serie) AS serie, cast(numero as bigint) AS ini, greatest(cast(numero as bigint), cast(numero_final as bigint)) AS fin
+  FROM ({D.as_sql(D.GAP_LEDGER, 'orders')})),
+g AS (SELECT *, max(fin) OVER (PARTITION BY tipo, serie ORDER BY ini, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS antes FROM r)
+SELECT tipo, serie, cast(antes + 1 as double) AS desde, cast(ini - 1 as double) AS hasta, cast(ini - 1 - antes as double) AS cantidad FROM g WHERE ini > antes + 1""")
+def gap_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(S.gap_rows(D.derive(spark, sf, D.GAP_LEDGER, "orders"), bucket=1000))
+
+
 @query(f"""SELECT tipo_cdp AS tipo, upper(serie) AS serie, {_NUM} AS numero, count(*) AS veces FROM ({D.as_sql(D.SALES_COMPANY, 'lineitem')})
 GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,3 +161,24 @@ def upsert_fx(spark: SparkSession, sf: str) -> DataFrame:
     stored = quotes.filter(F.month("fecha") != 12).select("fecha", "compra", "venta", source.alias("fuente"), F.lit(None).cast("timestamp").alias("updated_at"))
     new = quotes.select("fecha", "compra", F.col("compra").alias("venta"))
     return shown(X.upsert_fx(stored, new, "sunat").select("fecha", "venta", "fuente"))
+
+
+@query(f"""WITH q AS ({D.QUOTES_SQL}) SELECT cast(fecha as varchar) AS fecha, cast(CASE WHEN day(fecha) = 3 THEN compra ELSE venta END as double) AS venta,
+CASE WHEN day(fecha) = 3 THEN 'manual' ELSE 'bcrp' END AS fuente FROM q""")
+def edit_fx(spark: SparkSession, sf: str) -> DataFrame:
+    quotes = D.quotes(spark, sf)
+    stored = quotes.select("fecha", "compra", "venta", F.lit("bcrp").alias("fuente"), F.lit(None).cast("timestamp").alias("updated_at"))
+    edits = quotes.filter(F.dayofmonth("fecha") == 3).select("fecha", "compra", F.col("compra").alias("venta"))
+    return shown(X.edit_fx(stored, edits).select("fecha", "venta", "fuente"))
+
+
+@query(f"SELECT cast(fecha as varchar) AS fecha, cast(venta as double) AS venta FROM ({D.QUOTES_SQL}) WHERE fecha BETWEEN date '1995-02-01' AND date '1995-04-30'")
+def rates_between(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(X.rates_between(D.quotes(spark, sf), date(1995, 2, 1), date(1995, 4, 30)).select("fecha", "venta"))
+
+
+@query(f"""SELECT cast(fecha as varchar) AS fecha, cast(venta as double) AS venta FROM ({D.QUOTES_SQL})
+WHERE fecha IN (SELECT cast(l_shipdate as date) FROM lineitem WHERE l_linenumber = 7)""")
+def rates_on(spark: SparkSession, sf: str) -> DataFrame:
+    days = D.table(spark, sf, "lineitem").filter("l_linenumber = 7").select(F.col("l_shipdate").cast("date").alias("fecha"))
+    return shown(X.rates_on(D.quotes(spark, sf), days).select("fecha", "venta"))

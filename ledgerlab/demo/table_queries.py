@@ -60,11 +60,39 @@ def filter_text(spark: SparkSession, sf: str) -> DataFrame:
     return T.select_columns(T.where(table(spark, sf, "part"), tree), ["p_partkey", "p_name", "p_brand"])
 
 
-@query("""SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer WHERE (cast(c_custkey as varchar) ILIKE '%build%'
-OR c_name ILIKE '%build%' OR cast(c_nationkey as varchar) ILIKE '%build%' OR c_mktsegment ILIKE '%build%')""")
+@query("""SELECT * FROM customer WHERE (cast(c_custkey as varchar) ILIKE '%13%' OR c_name ILIKE '%13%' OR cast(c_nationkey as varchar) ILIKE '%13%'
+OR cast(c_acctbal as varchar) ILIKE '%13%' OR c_mktsegment ILIKE '%13%')""")
 def search_any(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    return T.where(rows, search=" Build ")
+    return T.where(table(spark, sf, "customer"), search=" 13 ")
+
+
+@query("""SELECT o_orderkey, minimo, mayor FROM (SELECT o_orderkey, o_totalprice / 1e12 AS minimo, o_totalprice * 1e14 AS mayor FROM orders)
+WHERE cast(minimo as varchar) ILIKE '%e-0%' OR cast(mayor as varchar) ILIKE '%e-0%'""")
+def search_doubles(spark: SparkSession, sf: str) -> DataFrame:
+    price = F.col("o_totalprice")
+    return T.where(table(spark, sf, "orders").select("o_orderkey", (price / 1e12).alias("minimo"), (price * 1e14).alias("mayor")), search="e-0")
+
+
+@query("SELECT o_orderkey, nullif(o_orderstatus, 'F') AS estado FROM orders WHERE nullif(o_orderstatus, 'F') IS NULL")
+def filter_is_null(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("estado"))
+    return T.where(rows, group("and", leaf("estado", "is_null")))
+
+
+@query("""SELECT p_partkey, p_retailprice * p_size AS valor FROM part ORDER BY valor DESC NULLS LAST, p_partkey LIMIT 100""")
+def order_result(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size")
+    valued = T.with_computed(rows, [("valor", fn("mul", col("p_retailprice"), col("p_size")))]).select("p_partkey", "valor")
+    return T.page(valued, 100, 0, [("valor", "desc")])
+
+
+@query("""SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice FROM orders
+ORDER BY o_orderpriority DESC NULLS LAST, o_totalprice ASC NULLS LAST, o_orderkey, o_custkey LIMIT 200 OFFSET 150""")
+def order_page_after(spark: SparkSession, sf: str) -> DataFrame:
+    rows = T.select_columns(table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice"])
+    sort = [("o_orderpriority", "desc"), ("o_totalprice", "asc")]
+    last = T.page(rows, 1, 149, sort).first().asDict()
+    return T.page_after(rows, sort, last, 200)
 
 
 @query("""SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice FROM orders
@@ -222,3 +250,10 @@ def pivot_totals(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT count(*) AS grupos FROM (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem)")
 def pivot_count(spark: SparkSession, sf: str) -> DataFrame:
     return P.pivot_count(_items(spark, sf), PivotSpec(["l_suppkey", "l_returnflag"], [Measure("count")]))
+
+
+@query(f"""SELECT l_suppkey, l_returnflag AS valor, cast(sum(precio) as double) AS suma_precio, count(DISTINCT l_partkey) AS unicos_l_partkey
+FROM (SELECT *, {_PRICED} FROM lineitem) GROUP BY l_suppkey, l_returnflag""")
+def pivot_long(spark: SparkSession, sf: str) -> DataFrame:
+    spec = PivotSpec(["l_suppkey"], [Measure("sum", "precio"), Measure("count_distinct", "l_partkey")], pivot_column="l_returnflag")
+    return _doubles(P.pivot_long(_items(spark, sf), spec))
