@@ -109,6 +109,14 @@ class Reconciliation:
         pairs = _packed(self.ours, KEYS, "e").join(theirs_once, KEYS, "full_outer").withColumn("periodo_hallazgo", F.lit(""))
         return _rescue(pairs, theirs_once) if self.late else pairs
 
+    def _alone(self, letter: str) -> DataFrame:
+        """`pairs` of a scenario that only one side has: of the other side the keys are enough."""
+        own, other, name, empty = (self.ours, self.theirs, "e", "s") if letter == "A" else (self.theirs, self.ours, "s", "e")
+        rows = _packed(own, KEYS, name).join(other.select(KEYS).distinct(), KEYS, "left_anti")
+        kind = _packed(other, KEYS, empty).schema[empty].dataType
+        sides = {name: F.col(name), empty: F.lit(None).cast(kind)}
+        return rows.select(*KEYS, sides["e"].alias("e"), sides["s"].alias("s"), F.lit("").alias("periodo_hallazgo"))
+
     @cached_property
     def receipts(self) -> DataFrame | None:
         """Receipts by series and day, sales only."""
@@ -150,7 +158,8 @@ class Reconciliation:
             raise InvalidSpec(f"unknown scenario: {letter!r}")
         if stored is None:
             # Days only decide about authority-only rows.
-            pairs = self.pairs.filter(_sides(letter))
+            alone = letter in "AB" and not self.late
+            pairs = self._alone(letter) if alone else self.pairs.filter(_sides(letter))
             stored = self._build(self._covered(pairs) if letter == "B" else pairs)
         rows = stored.filter(F.col("escenario") == letter)
         head = ["periodo", "tipo_cdp", "serie", "numero"]
@@ -249,12 +258,10 @@ def _rescue(pairs: DataFrame, theirs: DataFrame) -> DataFrame:
     match = asked["mes_buscado"] == found["f_mes"]
     for k in L.KEY:
         match = match & (asked[k] == found[f"f_{k}"])
-    # Rows that ask nothing skip the join: they would all hash to one NULL key.
-    silent = asked.filter("mes_buscado is null").drop("mes_buscado")
-    looked = asked.filter("mes_buscado is not null").join(found, match, "left").select(
-        "periodo", *L.KEY, "e", F.col("f_s").alias("s"),
+    # Rows that ask nothing match nothing; the join is dealt by the voucher's key too, so they stay spread.
+    return asked.join(found, match, "left").select(
+        "periodo", *L.KEY, "e", F.coalesce("s", "f_s").alias("s"),
         F.when(F.col("f_s").isNotNull(), F.col("mes_buscado")).otherwise("").alias("periodo_hallazgo"))
-    return silent.unionByName(looked)
 
 
 def _scenarios(pairs: DataFrame, book: str) -> DataFrame:
