@@ -190,6 +190,18 @@ def purchases_a(spark: SparkSession, sf: str) -> DataFrame:
     return shown(purchases(spark, sf).scenario("A").select("periodo", "ruc_proveedor", "tipo_cdp", "serie", "numero", "igv", "es_alerta_roja"))
 
 
+@query(_BUY_CTE + """SELECT s.periodo, s.ruc_proveedor, s.tipo_cdp, s.serie, s.numero, cast(s.igv + s.igv_dgng + s.igv_dng as double) AS igv_sunat,
+abs(s.igv + s.igv_dgng + s.igv_dng) > 0.10 AS es_alerta_roja FROM s ANTI JOIN e USING (periodo, ruc_proveedor, tipo_cdp, serie, kn)""")
+def purchases_b(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(purchases(spark, sf).scenario("B").select(
+        "periodo", "ruc_proveedor", "tipo_cdp", "serie", "numero", "igv_sunat", "es_alerta_roja"))
+
+
+@query(_BUY_CTE + "SELECT periodo, periodo_hallazgo, ruc_proveedor, tipo_cdp, serie, numero FROM campos WHERE campos = ''")
+def purchases_d(spark: SparkSession, sf: str) -> DataFrame:
+    return purchases(spark, sf).scenario("D").select("periodo", "periodo_hallazgo", "ruc_proveedor", "tipo_cdp", "serie", "numero")
+
+
 @query(f"""SELECT DISTINCT strftime(fecha_emision, '%Y%m') AS mes FROM ({D.as_sql(D.PURCHASES_COMPANY, 'lineitem')})
 WHERE strftime(fecha_emision, '%Y%m') >= '199701' AND strftime(fecha_emision, '%Y%m') < '199801' ORDER BY mes""")
 def months_to_fetch(spark: SparkSession, sf: str) -> DataFrame:

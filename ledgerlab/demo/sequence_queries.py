@@ -11,6 +11,7 @@ from ledgerlab.demo import ledgers as D
 from ledgerlab.demo.ledger_queries import shown
 from ledgerlab.operators import fx as X
 from ledgerlab.operators import sequence as S
+from ledgerlab.operators.reports import cuts_sheet
 from ledgerlab.operators.reports import duplicates_sheet as sheet_of
 
 QUERIES, SQL = {}, {}
@@ -132,12 +133,12 @@ def fx_differences(spark: SparkSession, sf: str) -> DataFrame:
     return shown(out.select("cuo", "fecha_emi", "fecha_doc_mod", "tipo_label", "num_documento", "tc_ple", "tc_sunat", "v_igv", "dif_igv"))
 
 
-@query(_FX + f""", l AS (SELECT * FROM ({D.as_sql(D.LINES_CURRENT, 'lineitem')}))
+@query("SELECT a.*, b.dif_igv FROM (" + _FX + f""", l AS (SELECT * FROM ({D.as_sql(D.LINES_CURRENT, 'lineitem')}))
 SELECT count(*) AS lineas, cast(sum(igv) as double) AS v_igv, cast(sum(total) as double) AS v_total FROM l
-JOIN tc ON tc.fecha = coalesce(CASE WHEN tipo IN ('07','08') THEN fecha_doc_mod END, fecha_emi) WHERE upper(moneda) NOT IN ('', 'PEN') AND l.tc <> tc.venta""")
+JOIN tc ON tc.fecha = coalesce(CASE WHEN tipo IN ('07','08') THEN fecha_doc_mod END, fecha_emi) WHERE upper(moneda) NOT IN ('', 'PEN') AND l.tc <> tc.venta""" + f") a, (SELECT round(sum(dif_igv), 2) AS dif_igv FROM ({SQL['fx_differences']})) b")
 def fx_totals(spark: SparkSession, sf: str) -> DataFrame:
     rates = X.fx_calendar(D.quotes(spark, sf), SINCE, UNTIL)
-    return shown(X.fx_totals(X.fx_differences(lines(spark, sf), rates, SINCE, UNTIL)).drop("dif_igv"))
+    return shown(X.fx_totals(X.fx_differences(lines(spark, sf), rates, SINCE, UNTIL)))
 
 
 @query(f"""SELECT cast(min(f) as varchar) AS desde, cast(max(f) as varchar) AS hasta, count(*) AS dias FROM
@@ -182,3 +183,27 @@ WHERE fecha IN (SELECT cast(l_shipdate as date) FROM lineitem WHERE l_linenumber
 def rates_on(spark: SparkSession, sf: str) -> DataFrame:
     days = D.table(spark, sf, "lineitem").filter("l_linenumber = 7").select(F.col("l_shipdate").cast("date").alias("fecha"))
     return shown(X.rates_on(D.quotes(spark, sf), days).select("fecha", "venta"))
+
+
+_CUTS = """, a AS (SELECT tipo, serie, min(cast(k as bigint)) AS primero, max(cast(k as bigint) % 3 + 1) AS ultimo FROM c WHERE tipo IN ('03','07') GROUP BY ALL),
+t AS (SELECT *, primero - 1 - ultimo AS n FROM a WHERE primero > ultimo + 1)
+SELECT tipo, serie, cast(ultimo as double) AS ultimo_anterior, cast(primero as double) AS primero_actual,
+CASE WHEN n > 30 THEN 'numeración irregular (del ' || format('{:,}', ultimo + 1) || ' al ' || format('{:,}', primero - 1) || ') — revisar manualmente'
+WHEN n = 1 THEN cast(ultimo + 1 as varchar) ELSE (ultimo + 1) || '-' || (primero - 1) END AS faltantes, cast(n as double) AS cantidad FROM t"""
+
+
+def _low_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """A period before whose numbers all lie at the start of each series, so that series are cut."""
+    low = (F.col("numero").cast("decimal(38,0)") % 3 + 1).cast("string")
+    return lines(spark, sf).withColumn("numero", low).withColumn("numero_final", F.lit(""))
+
+
+@query(_LINES + _CUTS)
+def series_cuts_found(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(S.series_cuts(lines(spark, sf), _low_numbers(spark, sf)))
+
+
+@query("SELECT tipo, serie, serie || '-' || cast(ultimo_anterior as bigint) AS ultimo_anterior, serie || '-' || cast(primero_actual as bigint) AS primero_actual, "
+       "faltantes, cantidad FROM (" + _LINES + _CUTS + ")")
+def cuts_report(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(cuts_sheet(S.series_cuts(lines(spark, sf), _low_numbers(spark, sf))))
