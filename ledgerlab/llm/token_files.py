@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerlab.llm.bpe import byte_letters
 from ledgerlab.llm.tables import ids_and_texts
 from ledgerlab.session import shared_folder
 
@@ -40,9 +41,13 @@ REMEMBERED, REMEMBERED_LENGTH = 500_000, 48
 # Controls that Python parts words at though the tokenizer's white space does not hold them.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[ \t\n\r]+")
-# Marks that end a word: the tokenizer parts them from a letter or digit anyway, so they can be looked up alone. Letters of
-# Latin-1 only: those have no normal form that ends in a combining mark, which would belong with the marks.
-_ENDS = re.compile(r"(?<=[A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF])[.,;:!?]+(?=\s|$)")
+# Marks that end a word. The tokenizer parts them from a letter or digit before them; letters of Latin-1 only, as those
+# have no normal form that ends in a combining mark, which would belong with the marks.
+_ENDS = ".,;:!?"
+_BEFORE_ENDS = re.compile("[A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]\\Z")
+# Words that the normalizer leaves alone and the split keeps whole: small letters of Latin-1.
+_PLAIN = re.compile("[a-z\u00DF-\u00F6\u00F8-\u00FF]+\\Z")
+_LETTERS = {byte: letter for byte, letter in byte_letters().items()}
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -73,37 +78,35 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        """A word too long to be remembered."""
+        ids = self.older.get(word)
+        if ids is None:
+            bare = word.rstrip(_ENDS)
+            parted = bare and len(bare) < len(word) and _BEFORE_ENDS.search(bare)
+            ids = (self.get(bare) or self._asked(bare)) + self[word[len(bare):]] if parted else self._asked(word)
+        if len(word) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:  # words still in use come back from the older generation
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _asked(self, word: str) -> bytes:
+        """Ids by the library; for a plain word its model alone, on the letters that stand for the word's bytes."""
+        if _PLAIN.match(word):
+            letters = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(_LETTERS)
+            return _packed([token.id for token in self.model.tokenize(letters)])
         return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
-    @staticmethod
-    def split(text: str) -> list[str]:
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text."""
         if _latin(text):
             text = text.lower()  # the same as the tokenizer's own lower case there, and fewer words to remember
-        text = _ENDS.sub(r" \g<0>", text)
-        return _BLANKS.split(text) if _SEPARATORS.search(text) else text.split()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; words that are new to this task go to the library in one call."""
-        split = [self.split(text) for text in texts]
-        new = [word for word in set().union(*split) if word not in self and len(word) <= REMEMBERED_LENGTH]
-        if len(self) + len(new) > REMEMBERED:  # words still in use come back from the older generation
-            new += [word for word in set().union(*split) if word in self]
-            self.older = dict(self)
-            self.clear()
-        asked = []
-        for word in new:
-            known = self.older.get(word)
-            if known is None:
-                asked.append(word)
-            else:
-                self[word] = known
-        for word, found in zip(asked, self.tokenizer.encode_batch(asked, add_special_tokens=False), strict=True):
-            self[word] = _packed(found.ids)
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        words = _BLANKS.split(text) if _SEPARATORS.search(text) else text.split()
+        return b"".join(map(self.__getitem__, words))
 
 
 def _latin(text: str) -> bool:
@@ -122,7 +125,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         words = _Words.load(tokenizer)
         for batch in batches:
             for part in _parts(batch):
-                lists = [ids + end for ids in words.encode(part.column("text").to_pylist())]
+                lists = [words.encode(value.as_py()) + end for value in part.column("text")]
                 counts = np.fromiter((len(ids) // 4 for ids in lists), np.int64, len(lists))
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 values = np.frombuffer(b"".join(lists), "<i4")
