@@ -86,8 +86,9 @@ def write_scenarios(result: Reconciliation, path: str) -> DataFrame:
 
 
 def write_records_csv(report: DataFrame, path: str) -> None:
-    """The records report with its labels, separated by semicolons."""
+    """The records report with its labels, separated by semicolons; each file begins with a byte-order mark."""
     named = report.select([F.col(n).alias(label) for n, label in REPORT_COLUMNS.items()])
+    named = named.withColumnRenamed(named.columns[0], "\ufeff" + named.columns[0])
     named.write.option("header", True).option("sep", ";").csv(path)
 
 

@@ -17,7 +17,21 @@ RATES = "fecha DATE, compra DECIMAL(7,3), venta DECIMAL(7,3), fuente STRING, upd
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def _first_byte():
+    """A hash's first byte as the name of a partition."""
+    return F.concat(F.lit("h"), F.substring("sha256", 1, 2))
+
+
+def stored_hashes(spark: SparkSession, store: str, batch: DataFrame) -> DataFrame:
+    """(company_id, sha256, lote) stored so far under the companies and first bytes that a batch has."""
+    hashes = _stored(spark, f"{store}/huellas", "sha256 STRING, lote BIGINT, company_id INT, inicio STRING")
+    found = batch.select("company_id", _first_byte().alias("inicio")).distinct()
+    wanted = found.agg(F.collect_set("company_id"), F.collect_set("inicio")).first()  # 256 first bytes at most
+    hashes = hashes.filter(F.col("company_id").isin(list(wanted[0])) & F.col("inicio").isin(list(wanted[1])))
+    return hashes.select("company_id", "sha256", "lote")
 
 
 def ingest_attachments_stream(
@@ -25,20 +39,21 @@ def ingest_attachments_stream(
 ) -> StreamingQuery:
     """Validate and hash new files; keep those whose (company, sha256) is not stored, log the rest.
 
-    Hashes stay unique for ever, so they are compared with the stored table in each batch instead
-    of growing stream state. The store is partitioned by batch: a replayed batch overwrites its own
-    part only, and compares itself with the other batches.
+    Hashes stay unique for ever, so they are compared with stored ones in each batch instead of growing
+    stream state. They are kept apart from the contents, partitioned by batch, company and first byte, and a batch
+    reads the partitions of its own companies and first bytes only. A replayed batch overwrites its own
+    part, and compares itself with the other batches.
     """
     files = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(inbox)
     named = files.select("path", F.element_at(F.split("path", "/"), -1).alias("nombre"), "length", "content")
     checked = validate_attachment(named, max_bytes).withColumn("company_id", F.lit(company_id))
-    schema = "company_id INT, path STRING, nombre STRING, length BIGINT, content BINARY, sha256 STRING, mime STRING, motivo STRING, ok BOOLEAN, lote BIGINT"
-
     def store_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        earlier = _stored(session, f"{store}/adjuntos", schema).filter(F.col("lote") != batch_id)
+        earlier = stored_hashes(session, store, batch).filter(F.col("lote") != batch_id)
         fresh = new_attachments(batch, earlier)
         fresh.write.mode("overwrite").parquet(f"{store}/adjuntos/lote={batch_id}")
+        kept = session.read.parquet(f"{store}/adjuntos/lote={batch_id}").select("company_id", "sha256", _first_byte().alias("inicio"))
+        kept.write.mode("overwrite").partitionBy("company_id", "inicio").parquet(f"{store}/huellas/lote={batch_id}")
         batch.filter("not ok").drop("content").write.mode("overwrite").parquet(f"{store}/rechazados/lote={batch_id}")
 
     return (checked.writeStream.foreachBatch(store_batch).option("checkpointLocation", checkpoint)
