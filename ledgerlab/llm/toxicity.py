@@ -38,6 +38,8 @@ ORDINARY_WORDS, TOXIC_WORDS, LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3_000, 2_000
 THRESHOLD = 0.7
 # Bytes of a word's beginning that count as terms too: forms that the sample lacks share it.
 BEGINS = (4, 5)
+# A beginning is kept if it is in so many times as many toxic documents as the best word with it.
+SHARED_BEGINNING = 1.5
 TAIL = b" ~tail~of~every~window~that~keeps~it~compressible~ "
 STEPS = (1, 2, 3, 4, 5)
 _EDGES = b".,;:!?\"'()"
@@ -140,7 +142,12 @@ def dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
     least = max(LEAST_DOCS, LEAST_SHARE * totals[1])
     typical = found.filter((F.col("bad") >= least) & (ratio > LEAST_RATIO)).orderBy(F.desc("bad"), "word").limit(TOXIC_WORDS)
     plain = b" ".join(bytes(row["word"]) for row in often.collect()[::-1]) + TAIL  # the most frequent come last, nearest
-    bad = b" ".join(bytes(row["word"]) for row in typical.collect()[::-1])
+    terms = typical.collect()
+    # A beginning that one word has alone says no more than that word, and shorter matches mislead.
+    whole = [row for row in terms if row["whole"]]
+    best = {row["word"]: max((w["bad"] for w in whole if w["word"].startswith(row["word"])), default=0) for row in terms}
+    terms = [row for row in terms if row["whole"] or row["bad"] > SHARED_BEGINNING * best[row["word"]]]
+    bad = b" ".join(bytes(row["word"]) for row in terms[::-1])
     return b" " + plain, b" " + bad + b" " + plain
 
 
