@@ -152,3 +152,21 @@ def test_pipeline(spark, make_docs):
     assert pipeline.tokens(spark, docs, SF).count() == docs.count()
     bad = labels.filter("quality = 0").count()
     assert docs.select("doc_id").distinct().join(labels.filter("quality = 0"), "doc_id").count() <= 0.05 * bad
+
+
+def test_stages_on_odd_tables(spark, make_docs, clashing):
+    from ledgerlab.session import cut_lineage
+
+    pipeline = importlib.import_module("corpus_pipeline")
+    odd = [(1, None, None), (2, "", ""), (None, "no id at all", "a"), (4, "x" * 20000, "b"), (5, "one two three " * 4000, "b"),
+           (6, "mail a@b.co or +1 (555) 010-1234", "a"), (6, "mail a@b.co or +1 (555) 010-1234", "a")]
+    for rows in (odd, []):
+        docs = make_docs(rows, clashing)
+        for name, stage in pipeline.STAGES[1:]:
+            before = docs.columns
+            docs = cut_lineage(stage(spark, docs, SF), f"test-{name}")
+            if name != pipeline.STAGES[-1][0]:
+                assert docs.columns == before, name
+                assert (docs.count() > 0) == bool(rows), name
+        assert (docs.count() > 0) == bool(rows)
+        assert pipeline.quality_classifier(spark, make_docs(rows, clashing), SF).columns == before
