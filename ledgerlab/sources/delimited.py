@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlab.errors import EmptyDataset, InvalidSpec
 from ledgerlab.operators.tables import schema_of
 from ledgerlab.session import path_exists
-from ledgerlab.sources.lines import after_first, fields_of, first_lines, line_position, text_lines
+from ledgerlab.sources.lines import WINDOWS, after_first, fields_of, first_lines, line_position, text_lines, windows_text
 
 # How badly formed a file may be, from strict to everything as text without quotes.
 LADDER = ["normal", "padded", "raw"]
@@ -50,6 +50,16 @@ def _reader(spark: SparkSession, sep: str, encoding: str, line_end: str | None,
 
 
 def _parsed(spark: SparkSession, files: list[str], sep: str, encoding: str, line_end: str | None, header: bool, mode: str) -> DataFrame:
+    if encoding.lower() not in ("windows-1252", "cp1252"):
+        return _read(spark, files, sep, encoding, line_end, header, mode)
+    # Spark's reader has no such charset: read as Latin-1, then put its letters right.
+    df = _read(spark, files, sep, "ISO-8859-1", line_end, header, mode)
+    texts = [field.name for field in df.schema if field.dataType.simpleString() == "string"]
+    df = df.withColumns({name: windows_text(F.col(f"`{name}`")) for name in texts})
+    return df.toDF(*[name.translate(str.maketrans(WINDOWS)) for name in df.columns])
+
+
+def _read(spark: SparkSession, files: list[str], sep: str, encoding: str, line_end: str | None, header: bool, mode: str) -> DataFrame:
     """Files of one encoding with inferred types; `padded` has the lines that were no whole rows in a column of their own."""
     reader = _reader(spark, sep, encoding, line_end, header)
     if mode == "normal":

@@ -19,11 +19,19 @@ def line_position() -> Column:
     return F.shiftleft(block, _ROW_BITS) + row
 
 
+# What Windows-1252 has in place of Latin-1's second row of controls.
+WINDOWS = {chr(byte): bytes([byte]).decode("cp1252") for byte in range(0x80, 0xA0) if byte not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def windows_text(latin: Column) -> Column:
+    """Text of Windows-1252 that was read as Latin-1."""
+    return F.translate(latin, "".join(WINDOWS), "".join(WINDOWS.values()))
+
+
 def decoded(value: Column) -> Column:
     """The line as UTF-8 when its bytes are valid, else as Windows-1252 or, without its extra letters, Latin-1."""
     latin = F.decode(value.cast("binary"), "ISO-8859-1")
-    windows = F.when(latin.rlike("[\\x{80}-\\x{9f}]"), F.decode(value.cast("binary"), "windows-1252"))
-    return F.when(F.is_valid_utf8(value), value).otherwise(F.coalesce(windows, latin))
+    return F.when(F.is_valid_utf8(value), value).otherwise(windows_text(latin))
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:

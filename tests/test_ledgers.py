@@ -145,6 +145,18 @@ def test_duplicates(spark):
     assert [(r.serie, r.numero) for r in sequence.duplicates_vs_previous(current, previous).collect()] == [("F001", "5")]
 
 
+def test_duplicates_of_two_current_periods(spark):
+    previous = lines(spark, ("20260800", "01", "F001", "5"), ("20261000", "01", "F001", "6"))
+    current = lines(spark, ("20260900", "01", "F001", "5"), ("20261000", "01", "F001", "5"), ("20260900", "01", "F001", "6"))
+    found = sorted((r.periodo, r.numero) for r in sequence.duplicates_vs_previous(current, previous).collect())
+    assert found == [("20260900", "5"), ("20261000", "5")]  # number 6 is declared later only
+
+
+def test_gap_rows(spark):
+    found = gap_list(spark, [("1", ""), ("200", "205"), ("300", "")])
+    assert found == [(2, 199, 198), (206, 299, 94)]
+
+
 def test_previous_periods(spark):
     previous = lines(spark, ("20260700", "01", "FA10", "1"), ("20260800", "01", "FA10", "1"), ("20260800", "01", "FA57", "2"))
     current = lines(spark, ("20260900", "01", "FA10", "1"), ("20260900", "01", "FA57", "2"))
@@ -222,3 +234,8 @@ def test_matrix(spark):
     matrix = {r.serie: r for r in reports.difference_matrix(rows).collect()}
     assert float(matrix["B1"]["2026-07-01"]) == 4.0 and float(matrix["B2"]["2026-07-02"]) == -0.5
     assert [r.serie for r in reports.series_ranking(rows).collect()] == ["B2", "B1"]
+
+
+def gap_list(spark, numbers):
+    rows = spark.createDataFrame([("03", "B001", a, b) for a, b in numbers], "tipo_cdp STRING, serie STRING, numero STRING, numero_final STRING")
+    return sorted((int(r.desde), int(r.hasta), int(r.cantidad)) for r in sequence.gap_rows(rows, bucket=50).collect())

@@ -57,6 +57,47 @@ def test_ladder_pads_short_rows(spark, tmp_path):
     assert rows == 2 and stored[1].c is None
 
 
+def test_ladder_keeps_surplus_fields(spark, tmp_path):
+    source = put(tmp_path / "a.csv", "id,v\n1,2\n2,3,4\n5\n")
+    schema, rows = delimited.ingest(spark, source, str(tmp_path / "d"))
+    stored = delimited.open_dataset(spark, str(tmp_path / "d"))
+    assert delimited.rung(spark, str(tmp_path / "d")) == "raw" and rows == 3
+    assert [c["name"] for c in schema] == ["id", "v", "_c2"]
+    assert sorted(map(tuple, stored.collect())) == [("1", "2", None), ("2", "3", "4"), ("5", None, None)]
+
+
+def test_an_empty_file_blocks_no_retry(spark, tmp_path):
+    source = put(tmp_path / "a.csv", "id,v\n")
+    with pytest.raises(EmptyDataset):
+        delimited.ingest(spark, source, str(tmp_path / "d"))
+    put(tmp_path / "a.csv", "id,v\n1,2\n")
+    assert delimited.ingest(spark, source, str(tmp_path / "d"))[1] == 1
+    with pytest.raises(EmptyDataset):
+        writers.materialize(spark.range(0), str(tmp_path / "m"))
+    assert writers.materialize(spark.range(3), str(tmp_path / "m"))[1] == 3
+
+
+def test_a_folder_of_several_encodings(spark, tmp_path):
+    put(tmp_path / "in/a.csv", "id,v\n1,café\n".encode("latin-1"))
+    put(tmp_path / "in/b.csv", "id,v\n2,niño\n".encode())
+    put(tmp_path / "in/c.csv", "id,v\n3,5 €\n".encode("cp1252"))
+    put(tmp_path / "in/d.csv", "id,v\n4,ÿþ\n".encode("utf-16"))
+    put(tmp_path / "in/e.csv", "id,v\n5,ÿþ no mark\n6,x\n".encode("latin-1"))
+    for mode in ("normal", "raw"):
+        df = delimited.read_delimited(spark, str(tmp_path / "in"), sep=",", mode=mode)
+        rows = {int(r.id): r.v for r in df.collect()}
+        assert rows == {1: "café", 2: "niño", 3: "5 €", 4: "ÿþ", 5: "ÿþ no mark", 6: "x"}
+
+
+def test_a_book_is_judged_by_all_its_lines(spark, tmp_path):
+    good, bad = sales_row("1", "A"), sales_row("2", "B", "999.00")
+    source = put(tmp_path / "a.txt", "\n".join([good] * 2500 + [bad] * 400))
+    with pytest.raises(InvalidSpec):
+        ledgers.read_ledger_sales(spark, source)
+    put(tmp_path / "a.txt", "\n".join([good] * 2500 + [bad] * 100))
+    assert ledgers.read_ledger_sales(spark, source).count() == 2600
+
+
 @pytest.mark.parametrize("encoding", ["utf-8", "cp1252", "utf-16"])
 def test_encodings(spark, tmp_path, encoding):
     for name, end in (("a", "\n"), ("b", "\r\n")):
@@ -199,6 +240,21 @@ def test_attachment_stream(spark, tmp_path):
     assert [r.motivo for r in spark.read.parquet(f"{store}/rechazados").collect()] == ["tipo_no_reconocido"]
 
 
+def test_attachment_stream_of_two_companies(spark, tmp_path):
+    pdf = b"%PDF-1.4\n1 0 obj\n" + b" " * 100
+    store = str(tmp_path / "store")
+    for company in (1, 2, 1):
+        put(tmp_path / f"in{company}/{len(list(tmp_path.rglob('*.pdf')))}.pdf", pdf)
+        jobs.ingest_attachments_stream(
+            spark, str(tmp_path / f"in{company}"), f"{store}/{company}", company, 10_000, str(tmp_path / f"ck{company}")).awaitTermination()
+    for company in (1, 2):
+        assert spark.read.parquet(f"{store}/{company}/adjuntos").count() == 1
+    batch = spark.read.parquet(f"{store}/1/adjuntos")
+    plan = jobs.stored_hashes(spark, f"{store}/1", batch)._jdf.queryExecution().executedPlan().toString()
+    pruned = plan.split("PushedFilters")[0]
+    assert "(company_id#" in pruned and "(inicio#" in pruned and "ReadSchema: struct<sha256:string>" in plan
+
+
 def test_rate_stream(spark, tmp_path):
     inbox, table = tmp_path / "in", str(tmp_path / "tc")
     put(inbox / "1.txt", "07/09/2026|3.418|3.421|\n08/09/2026|3.4|3.5|\n")

@@ -174,3 +174,29 @@ def test_filter_reaches_the_scan(spark, tmp_path):
     plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan and "t:string" not in plan
     assert out.count() == 2
+
+
+def test_crosstab_value_named_like_the_total(spark):
+    from ledgerlab.operators import pivot
+
+    df = spark.createDataFrame([("a", "Total", 1), ("a", "x", 2)], "g STRING, v STRING, n INT")
+    spec = PivotSpec(["g"], [Measure("sum", "n")], pivot_column="v")
+    with pytest.raises(InvalidSpec):
+        pivot.pivot(df, spec)
+    assert sorted(map(tuple, pivot.pivot_long(df, spec).collect())) == [("a", "Total", 1), ("a", "x", 2)]
+
+
+def test_arithmetic_without_overflow(spark):
+    df = spark.createDataFrame([(2**62, 4)], "a BIGINT, b BIGINT")
+    out = T.with_computed(df, [("c", {"kind": "function", "fn": "mul", "args": [{"kind": "column", "name": "a"}, {"kind": "column", "name": "b"}]})])
+    assert out.first().c is None
+
+
+def test_pages_by_key(spark):
+    df = spark.createDataFrame([(k % 3 or None, k) for k in range(20)], "a INT, b INT")
+    sort = [("a", "desc")]
+    whole, last, got = [tuple(r) for r in T.page(df, 100, 0, sort).collect()], None, []
+    while rows := T.page_after(df, sort, last, 7).collect():
+        got += [tuple(r) for r in rows]
+        last = rows[-1].asDict()
+    assert got == whole

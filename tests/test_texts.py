@@ -189,6 +189,14 @@ def test_corrections(spark):
     assert [(r.record_id, r.campo, r.motivo) for r in rejected.collect()] == [(2, "periodo", "valor_no_valido")]
 
 
+def test_the_last_correction_of_a_field_counts(spark):
+    df = spark.createDataFrame([(1, RENT)], "record_id INT, texto STRING")
+    built = records.build_record(records.best_field(records.extract_profile_fields(df, "record_id"), "record_id"), "record_id")
+    fixes = spark.createDataFrame([(1, "nombre_inquilino", "ZOE", 1), (1, "nombre_inquilino", "ANA", 2)], "record_id INT, campo STRING, valor STRING, paso INT")
+    fixed, _ = records.apply_corrections(built, fixes, order="paso")
+    assert fixed.first().nombre_inquilino == "ANA"
+
+
 def test_names_and_codes(spark):
     assert one(spark, I.clean_name, "JUAN PEREZ RUC 10", "ANA   X", "LIMA SAC;:", None) == ["JUAN PEREZ", "ANA", "LIMA SAC", ""]
     assert one(spark, I.normalize_code, "R. U.C", None) == ["RUC", ""]
