@@ -180,7 +180,8 @@ def read_authority_proposal(spark: SparkSession, path: str, book: str) -> DataFr
     return rows.filter("not (tipo_cdp = '' and serie = '' and numero = '')")
 
 
-def _adds_up(positions: dict[str, int], parts: list[str]) -> Column:
+def adds_up(positions: dict[str, int], parts: list[str]) -> Column:
+    """Whether the parts of a line of fields add up to its total."""
     added = sum((N.plain_amount(field(positions[p])) for p in parts[1:]), N.plain_amount(field(positions[parts[0]])))
     return F.abs(added - N.plain_amount(field(positions["importe_total"]))) <= F.lit(GATE_TOLERANCE).cast(N.MONEY)
 
@@ -193,8 +194,8 @@ def detect_ledger_format(spark: SparkSession, path: str, book: str = "ventas") -
     platform = F.lit(True)
     for heading in PLATFORM_HEADINGS:
         platform = platform & lowered.contains(heading)
-    sales = is_book & (F.size("c") >= MIN_SALES_FIELDS) & _adds_up(SALES_BOOK, SALES_PARTS)
-    purchases = is_book & _adds_up(PURCHASE_BOOK, PURCHASE_PARTS)
+    sales = is_book & (F.size("c") >= MIN_SALES_FIELDS) & adds_up(SALES_BOOK, SALES_PARTS)
+    purchases = is_book & adds_up(PURCHASE_BOOK, PURCHASE_PARTS)
     books = {"ple_ventas": sales, "ple_compras": purchases}
     first, second = ("ple_compras", "ple_ventas") if book == "compras" else ("ple_ventas", "ple_compras")
     kind = (F.when(platform, "plataforma").when(books[first], first).when(books[second], second)

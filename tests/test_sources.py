@@ -271,3 +271,18 @@ def test_cut_lineage_and_files(spark, tmp_path):
     assert cut_lineage(df, "t").count() == 5
     writers.write_documents(df, str(tmp_path / "docs"), by_file=True)
     assert sorted(p.name for p in (tmp_path / "docs").iterdir() if p.is_dir()) == ["archivo=a.pdf", "archivo=b.pdf"]
+
+
+def test_mapping_levels(spark):
+    book = spark.createDataFrame([tuple(sales_row(str(k), "A").split("|")) for k in range(1, 30)], [f"c{k}" for k in range(30)])
+    level, mapping = profile.propose_mapping(book)
+    assert level == "estandar" and (mapping["numero"], mapping["importe_total"]) == ("c7", "c24")
+    names = ["Type Description", "Number", "Issued Date", "Amount Net", "Amount Tax", "Amount Total"]
+    rows = spark.createDataFrame([("BOLETA", f"B001-{k}", "05/01/2026", "10", "1.8", "11.8") for k in range(9)], names)
+    assert profile.propose_mapping(rows, named=True) == ("plataforma", {
+        "fecha_emision": "Issued Date", "tipo_cdp": "Type Description", "numero": "Number", "base_imponible": "Amount Net",
+        "igv": "Amount Tax", "importe_total": "Amount Total"})
+    own = rows.toDF("Tipo Doc", "Nro", "Fecha Emision", "Valor", "Impuesto", "Importe")
+    mapping, combined = profile.suggest_mapping(own, named=True)
+    assert combined and mapping == {"fecha_emision": "Fecha Emision", "tipo_cdp": "Tipo Doc", "numero": "Nro", "base_imponible": "Valor",
+                                    "igv": "Impuesto", "importe_total": "Importe"}
