@@ -4,10 +4,11 @@ A document's set holds its distinct windows of `width` words (A-Z lower-cased).
 of `BITS` bits each; the distance of two signatures is the number of values that differ.
 
 1. Sets that are equal are one node (least doc_id); copies never meet each other again.
-2. Signatures are split into `CHUNKS` chunks. By pigeonhole, signatures at a distance below 2 * CHUNKS agree in some chunk
+2. Signatures are split into chunks. By pigeonhole, signatures at a distance below twice their number agree in some chunk
    but for one value, so all patterns with one value of a chunk left out are enumerated as keys (70 per node), and every
    such pair shares a key. At a similarity of 0.85 that is 99.6 % of pairs by guarantee; as any chunk may be the one,
-   a pair is missed with a probability of about 3e-6, and less the more alike it is.
+   a pair is missed with a probability of about 3e-6, and less the more alike it is. `scheme` derives chunks and distance
+   from the percentage asked for, so that this holds at any (10 chunks of 7 at 85, 12 of 6 at 80).
 3. Nodes that share a key are compared by signature distance, within the task and never as rows; what remains is one
    spanning forest per key. Keys with many nodes are split into blocks, and blocks meet in pairs.
 4. The forests' components are candidate groups: each node's whole set is shipped once, to its group, and all pairs of
@@ -22,7 +23,10 @@ result; further columns are ignored by `groups` and kept by `kept_documents`.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +42,51 @@ from ledgerlab.session import cut_lineage
 WIDTH, PERCENT = 5, 85
 CHUNKS, CHUNK = 10, 7
 VALUES, BITS = CHUNKS * CHUNK, 16
-# Distance up to which nodes of one key are candidates: five deviations beyond the mean at a similarity of 0.85.
-DISTANCE = 26
+# Chance at most to miss a pair at the percentage itself, by its chunks and by its distance.
+MISSED = 3.5e-6
 # Nodes of one key, or of one group, in a block; two blocks meet in a task.
 KEY_BLOCK, GROUP_BLOCK = 1024, 384
 # Cells of a 0/1 matrix in memory at most.
 CELLS = 8 << 20
 
-_random = np.random.default_rng(20240501)
-_FACTORS = _random.integers(0, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SPREAD = _random.integers(0, 2**63, (CHUNKS, CHUNK), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACES = _random.integers(0, 2**63, (CHUNKS, CHUNK), dtype=np.uint64)
+
+@dataclass(frozen=True)
+class Scheme:
+    """Signatures of chunks * chunk values; nodes of one key are candidates up to the distance."""
+
+    chunks: int
+    chunk: int
+    distance: int
+
+    @property
+    def values(self) -> int:
+        return self.chunks * self.chunk
+
+    @functools.cached_property
+    def numbers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Factors of the values, and spread and places of the keys."""
+        random = np.random.default_rng(20240501)
+        odd = [random.integers(0, 2**63, shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+               for shape in (self.values, (self.chunks, self.chunk))]
+        return *odd, random.integers(0, 2**63, (self.chunks, self.chunk), dtype=np.uint64)
+
+
+@functools.cache
+def scheme(percent: int) -> Scheme:
+    """The longest chunks, some `VALUES` values in all, that miss few enough pairs at a percentage; a chunk of one value misses none."""
+    alike = percent / 100
+    for chunk in range(CHUNK, 0, -1):
+        chunks = math.ceil(VALUES / chunk)
+        shared = alike**chunk + chunk * (1 - alike) * alike**(chunk - 1)
+        if (1 - shared)**chunks <= MISSED:
+            break
+    values, beyond, distance = chunks * chunk, 0.0, chunks * chunk
+    while distance:  # how many values of a pair differ is a binomial number: its upper tail stays below the chance
+        beyond += math.comb(values, distance) * (1 - alike)**distance * alike**(values - distance)
+        if beyond > MISSED:
+            break
+        distance -= 1
+    return Scheme(chunks, chunk, distance)
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
@@ -59,19 +97,21 @@ def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     return np.unique(window_hashes(hashes, width))
 
 
-def signature(members: np.ndarray) -> np.ndarray:
+def signature(members: np.ndarray, by: Scheme = scheme(PERCENT)) -> np.ndarray:
     """MinHash values: bits of the least product of any shingle with each factor."""
-    least = np.full(VALUES, np.iinfo(np.uint64).max)
+    factors, _, _ = by.numbers
+    least = np.full(by.values, np.iinfo(np.uint64).max)
     for start in range(0, len(members), 2048):
-        np.minimum(least, (members[start:start + 2048, None] * _FACTORS).min(0), out=least)
+        np.minimum(least, (members[start:start + 2048, None] * factors).min(0), out=least)
     return (mix(least) & np.uint64((1 << BITS) - 1)).astype("<u2")
 
 
-def chunk_keys(values: np.ndarray) -> np.ndarray:
+def chunk_keys(values: np.ndarray, by: Scheme = scheme(PERCENT)) -> np.ndarray:
     """Keys of signatures (rows): for every chunk and place in it, a hash of the chunk without that place."""
-    parts = values.reshape(-1, CHUNKS, CHUNK).astype(np.uint64) + np.uint64(1)
-    parts = mix(parts * _SPREAD + _SPREAD)
-    return mix(parts.sum(2, dtype=np.uint64)[:, :, None] - parts + _PLACES).reshape(len(values), -1)
+    _, spread, places = by.numbers
+    parts = values.reshape(-1, by.chunks, by.chunk).astype(np.uint64) + np.uint64(1)
+    parts = mix(parts * spread + spread)
+    return mix(parts.sum(2, dtype=np.uint64)[:, :, None] - parts + places).reshape(len(values), -1)
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -94,8 +134,9 @@ _SIGNED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()),
 _LINK_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def signed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def signed(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, same, signature) of every row; `same` is a 128-bit hash of the set, null if it is empty."""
+    by = scheme(percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +145,7 @@ def signed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 members = shingles(text.as_py(), width)
                 counts.append(len(members))
                 same.append(xxhash.xxh3_128_digest(members.tobytes()) if len(members) else None)
-                signatures.append(signature(members).tobytes() if len(members) else None)
+                signatures.append(signature(members, by).tobytes() if len(members) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(same, pa.binary()),
                  pa.array(signatures, pa.binary())], schema=_SIGNED_SCHEMA)
@@ -120,16 +161,16 @@ def _in_blocks(rows: DataFrame, group: str, size: int, *carried: str) -> DataFra
     return rows.select(group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *carried)
 
 
-def candidate_links(nodes: DataFrame, distance: int = DISTANCE, block: int = KEY_BLOCK) -> DataFrame:
+def candidate_links(nodes: DataFrame, by: Scheme = scheme(PERCENT), block: int = KEY_BLOCK) -> DataFrame:
     """(a, b): a forest of pairs within the signature distance, for every key that several of (node, signature) share."""
     key_schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
 
     def enumerate_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, VALUES)
-                keys = chunk_keys(values).view(np.int64).ravel()
-                owners = np.repeat(batch.column("node").to_numpy(), VALUES)
+                values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, by.values)
+                keys = chunk_keys(values, by).view(np.int64).ravel()
+                owners = np.repeat(batch.column("node").to_numpy(), by.values)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners)], schema=key_schema)
 
     keys = nodes.select("node", "signature").mapInArrow(enumerate_keys, "key long, node long")
@@ -150,10 +191,10 @@ def candidate_links(nodes: DataFrame, distance: int = DISTANCE, block: int = KEY
                 ids = row.field("node").to_numpy()
                 order = ids.argsort()  # the least node is a root wherever it is, so forests share their links
                 ids = ids[order]
-                values = np.frombuffer(b"".join(row.field("signature").to_pylist()), "<u2").reshape(-1, VALUES)[order]
+                values = np.frombuffer(b"".join(row.field("signature").to_pylist()), "<u2").reshape(-1, by.values)[order]
                 near = np.empty((len(ids), len(ids)), bool)
                 for start in range(0, len(ids), 64):
-                    near[start:start + 64] = (values[start:start + 64, None] != values[None]).sum(2) <= distance
+                    near[start:start + 64] = (values[start:start + 64, None] != values[None]).sum(2) <= by.distance
                 for i, root in forest(near):
                     a.append(int(ids[i]))
                     b.append(int(ids[root]))
@@ -233,11 +274,12 @@ def verified_links(docs: DataFrame, groups: DataFrame, width: int = WIDTH, perce
 
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
-    rows = cut_lineage(signed(docs, width), "signatures")
+    rows = cut_lineage(signed(docs, width, percent), "signatures")
     usable = rows.filter("same is not null and doc_id is not null")
     nodes = cut_lineage(usable.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")),
                         "signature-nodes")
-    near = components(candidate_links(nodes.select("node", "signature")))
+    link = candidate_links if percent == PERCENT else functools.partial(candidate_links, by=scheme(percent))
+    near = components(link(nodes.select("node", "signature")))
     links = verified_links(docs, near, width, percent)
     # Sets that share a node id are one document already; a doc_id with several sets links them.
     several = usable.select(F.col("doc_id").alias("a"), "same").join(nodes.select("same", F.col("node").alias("b")), "same")

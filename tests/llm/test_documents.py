@@ -233,6 +233,30 @@ def test_near_duplicates_in_blocks(make_docs, monkeypatch):
     assert sorted(map(tuple, minhash.groups(make_docs(rows)).collect())) == sorted(brute_groups(rows))
 
 
+def test_the_pipeline_links_at_80_percent(spark, make_docs):
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(60)]  # 56 shingles; another word amid them takes five: 51 / 61 = 0.836
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:30], "other", *base[31:]])),
+            (3, " ".join([*base[:15], "x", *base[16:40], "y", *base[41:]])), *[(100 + k, t) for k, t in near_copies(7, 150)]]
+    want = brute_groups(rows, percent=80)
+    assert want != brute_groups(rows, percent=85)
+    assert sorted(map(tuple, minhash.groups(make_docs(rows), percent=80).collect())) == sorted(want)
+    kept = corpus_pipeline.near_dedup(spark, make_docs(rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in want if r[3])
+
+
+def test_schemes_cover_their_percentage():
+    assert minhash.scheme(85) == minhash.Scheme(minhash.CHUNKS, minhash.CHUNK, 26)
+    random_ = np.random.default_rng(8)
+    for percent in (50, 70, 80, 85, 90):
+        by = minhash.scheme(percent)
+        a = random_.integers(0, 2**16, (20_000, by.values)).astype("<u2")
+        b = a + (random_.random(a.shape) >= percent / 100)
+        keys = [minhash.chunk_keys(x.astype("<u2"), by) for x in (a, b)]
+        assert ((keys[0] == keys[1]).any(1) & ((a != b).sum(1) <= by.distance)).mean() > 0.9999
+
+
 def test_chunk_keys_find_every_pair_below_the_guaranteed_distance():
     random_ = np.random.default_rng(6)
     for _ in range(300):
