@@ -2,8 +2,9 @@
 
 1. Dictionaries are built from a bounded sample of labelled rows (never held-out ones): the ordinary one holds the words
    that most ordinary documents have, the toxic one the same words and, before them, those which toxic documents have
-   many times as often. Copies of a document count once: a document stands for its least word hash. As both end alike,
-   an ordinary window compresses to about the same length with either, and what remains is due to toxic passages.
+   many times as often. Copies of a document count once, in frequencies and in totals: a document stands for its group of
+   near-duplicates, confirmed on whole shingle sets (`minhash`). As both end alike, an ordinary window compresses to
+   about the same length with either, and what remains is due to toxic passages.
 2. A text is cut into windows of `WINDOW` words; each is compressed with both dictionaries, with a fixed tail that keeps
    even the shortest window compressible. The gain of a window is the difference of the two lengths in bytes.
 3. The gains of a document (largest, how many windows reach 1, 2, 3, 4 and 5 bytes, mean, windows) are calibrated to a
@@ -21,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlab.llm import minhash
 from ledgerlab.llm.tables import ids_and_texts, is_held_out
 from ledgerlab.session import cut_lineage
 
@@ -38,6 +39,8 @@ ORDINARY_WORDS, TOXIC_WORDS, LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3_000, 2_000
 THRESHOLD = 0.7
 # Bytes of a word's beginning that count as terms too: forms that the sample lacks share it.
 BEGINS = (4, 5)
+# Percentage of common shingles at which documents of the sample are copies.
+COPIES = 80
 # A beginning is kept if it is in so many times as many toxic documents as the best word with it.
 SHARED_BEGINNING = 1.5
 TAIL = b" ~tail~of~every~window~that~keeps~it~compressible~ "
@@ -107,36 +110,40 @@ def _sample(labels: DataFrame, label: str, limits: dict[int, int]) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _document_words(sample: DataFrame) -> DataFrame:
-    """(label, word, whole, stands_for): distinct words of each document, and how they begin.
+def _units(sample: DataFrame) -> DataFrame:
+    """(doc_id, label, text, stands_for) of the sample: near copies stand for the least doc_id of their group."""
+    groups = minhash.groups(sample, percent=COPIES).groupBy("doc_id").agg(F.min("component_id").alias("stands_for"))
+    return sample.join(groups, "doc_id")
+
 
-    Near copies stand for the same least word hash.
-    """
+def _document_words(sample: DataFrame) -> DataFrame:
+    """(label, word, whole, stands_for): distinct words of each document, and how they begin."""
     schema = pa.schema([("label", pa.int32()), ("word", pa.binary()), ("whole", pa.bool_()), ("stands_for", pa.int64())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for label, text in zip(batch.column("label").to_pylist(), batch.column("text"), strict=True):
+            for label, text, unit in zip(*map(batch.column, ("label", "text", "stands_for")), strict=True):
                 words = {bare for word in _words(text.as_py()) if (bare := word.strip(_EDGES))}
                 if words:
-                    least = min(map(xxhash.xxh3_64_intdigest, words)) >> 1
                     begins = {word[:size] for word in words for size in BEGINS if len(word) > size} - words
                     count = len(words) + len(begins)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([label] * count, pa.int32()), pa.array([*words, *begins], pa.binary()),
+                        [pa.array([label.as_py()] * count, pa.int32()), pa.array([*words, *begins], pa.binary()),
                          pa.array([True] * len(words) + [False] * len(begins)),
-                         pa.array([least] * count, pa.int64())], schema=schema)
+                         pa.array([unit.as_py()] * count, pa.int64())], schema=schema)
 
-    return sample.select("label", "text").mapInArrow(split, "label int, word binary, whole boolean, stands_for long")
+    return sample.select("label", "text", "stands_for").mapInArrow(split, "label int, word binary, whole boolean, stands_for long")
 
 
 def dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
-    """The ordinary and the toxic dictionary from (label, text) of a bounded sample."""
-    found = _document_words(sample).groupBy("word").agg(
+    """The ordinary and the toxic dictionary from (doc_id, label, text) of a bounded sample."""
+    units = cut_lineage(_units(sample), "toxicity-units")
+    found = _document_words(units).groupBy("word").agg(
         *[F.count_distinct(F.when(F.col("label") == value, F.col("stands_for"))).alias(name)
           for name, value in (("plain", 0), ("bad", 1))], F.max("whole").alias("whole"))
     found = cut_lineage(found, "toxicity-words")
-    totals = {row["label"]: row["count"] for row in sample.groupBy("label").count().collect()}
+    totals = {row["label"]: row["many"] for row in units.groupBy("label").agg(
+        F.count_distinct("stands_for").alias("many")).collect()}
     often = found.filter("whole and plain > 0").orderBy(F.desc("plain"), "word").limit(ORDINARY_WORDS)
     ratio = (F.col("bad") / totals[1]) / ((F.col("plain") + 1) / totals[0])
     least = max(LEAST_DOCS, LEAST_SHARE * totals[1])

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +49,19 @@ def test_classifiers_on_odd_tables(make_docs, labels, module):
     assert module.scored(make_docs([]), labels([(1, 1, 1)])).collect() == []
 
 
+def test_toxic_words_of_documents_that_share_a_common_word(spark, make_docs):
+    """Documents of their own count each, though all share the word with the least hash; copies count once."""
+    random = np.random.default_rng(4)
+    vocabulary = [f"w{k}" for k in range(500)] + ["vileword", "copiedword"]
+    common = min(vocabulary, key=lambda word: xxhash.xxh3_64_intdigest(word.encode()))
+    texts = [" ".join([common, *random.choice(vocabulary[:500], 20), *["vileword"] * (k % 2)]) for k in range(80)]
+    copied = " ".join([*vocabulary[:40], "copiedword"])
+    rows = [(k, k % 2, text) for k, text in enumerate(texts)] + [(1000 + k, 1, f"{copied} x{k}") for k in range(50)]
+    plain, bad = toxicity.dictionaries(spark.createDataFrame(rows, "doc_id long, label int, text string"))
+    learnt = bad[:len(bad) - len(plain)].split()
+    assert b"vileword" in learnt and b"copiedword" not in learnt
+
+
 def test_accepted_drops_rejects_only(spark, make_docs, clashing, labels):
     docs = [(k, "Plain words make a plain sentence, here and there." if k % 2 else "BUY!!! NOW!!! " * 9) for k in range(400)]
     out = quality.accepted(make_docs(docs, clashing), labels([(k, k % 2, 0) for k in range(400)]))
