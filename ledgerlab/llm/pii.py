@@ -6,8 +6,10 @@ digit or an @ as a candidate, each with its left contexts: the one and the two w
 `patterns` bootstraps from the base entities as seeds. Contexts and distinct entity strings form a graph. A context's
 confidence for a kind is the sum of its strings' scores for that kind over all strings seen with it (smoothed); a
 candidate string's score is the noisy-or of its contexts' confidences. Both are computed by Spark joins and
-aggregations over the whole graph, round after round, so an unknown string can vouch for further contexts. Contexts
-with enough distinct seeds and confidence are patterns; `discovered` marks the candidates behind them.
+aggregations over the whole graph, round after round until no context gains, so an unknown string can vouch for further
+contexts, also for those without any seed. What a context itself, or the same place in one word more or less, says of a
+string counts for that context by seeds alone: no context raises itself. Contexts with enough support
+(distinct seeds and scores of strings) and confidence are patterns; `discovered` marks the candidates behind them.
 
 Distinct strings count, so a line copied into a third of all documents is one vote. The graph's joins are inner joins on
 strings and contexts of tables that were aggregated before, which adaptive execution splits where a context is hot.
@@ -35,8 +37,9 @@ from ledgerlab.llm.tables import ids_and_texts
 from ledgerlab.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 2
-# A pattern has so many distinct seeds and this confidence; a candidate has this score and so many digits (or an @).
+# Rounds go on while a context gains more confidence than this.
+GAIN = 0.001
+# A pattern has so much support by distinct strings and this confidence; a candidate has this score and so many digits (or an @).
 LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SCORE, LEAST_DIGITS = 12, 0.85, 0.85, 6
 # Longer tokens are no candidates for an identifier.
 LONGEST_TOKEN = 64
@@ -168,34 +171,51 @@ def scan(docs: DataFrame) -> DataFrame:
     return ids_and_texts(docs).select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(read, SCAN)
 
 
-def patterns(scanned: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS,
+def patterns(scanned: DataFrame, rounds: int | None = None, least_seeds: int = LEAST_SEEDS,
              least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
-    """(context, kind, confidence) of high-confidence contexts, from the graph of contexts and strings."""
+    """(context, kind, confidence) of high-confidence contexts, from the graph of contexts and strings; `rounds` at most."""
     each = scanned.select(F.explode("mentions").alias("m")).select("m.kind", "m.string", F.explode("m.contexts").alias("context"))
     edges = cut_lineage(each.groupBy("context", "string", "kind").agg(F.lit(1).alias("one")).drop("one"), "pii-graph")
-    seeds = edges.filter("kind >= 0").groupBy("context", "kind").agg(F.count(F.lit(1)).alias("seeds"))
+    seeds = edges.filter("kind >= 0").groupBy("context", "kind").agg(F.count(F.lit(1)).cast("double").alias("seeds"))
     degree = edges.groupBy("context").agg(F.count(F.lit(1)).alias("degree"))
-    # A context without enough seeds of one kind never becomes a pattern, whatever the rounds add.
-    open_contexts = seeds.filter(F.col("seeds") >= least_seeds)
     unknown = edges.filter("kind < 0").select("context", "string")
-    confident = None
-    for _ in range(rounds):
-        votes = open_contexts.join(degree, "context").withColumn("votes", F.col("seeds").cast("double"))
-        if confident is not None:
-            scores = _string_scores(unknown, confident)
-            more = unknown.join(scores, "string").groupBy("context", "kind").agg(F.sum("score").alias("more"))
-            votes = votes.join(more, ["context", "kind"], "left").withColumn(
-                "votes", F.col("votes") + F.coalesce(F.col("more"), F.lit(0.0)))
-        confidence = F.col("votes") / (F.col("degree") + 1)
-        confident = cut_lineage(votes.select("context", "kind", confidence.alias("confidence")), "pii-patterns")
-    return confident.filter(F.col("confidence") >= least_confidence)
-
-
-def _string_scores(unknown: DataFrame, confident: DataFrame) -> DataFrame:
-    """(string, kind, score): noisy-or over the contexts of a string."""
-    miss = F.log1p(-F.least(F.col("confidence"), F.lit(0.999999)))
-    return (unknown.join(confident.filter("confidence >= 0.5"), "context").groupBy("string", "kind")
-            .agg((1 - F.exp(F.sum(miss))).alias("score")))
+    votes, before, done = seeds.withColumn("more", F.lit(0.0)), None, 0
+    while True:
+        # Any context may qualify: by its seeds, by the strings that others vouch for, or by both.
+        support = F.coalesce("seeds", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))
+        alone = F.when(F.col("seeds") >= least_seeds, F.col("seeds") / (F.col("degree") + 1))
+        confident = votes.withColumn("support", support).filter(F.col("support") >= least_seeds).join(degree, "context").select(
+            "context", "kind", (F.col("support") / (F.col("degree") + 1)).alias("confidence"),
+            F.when(alone >= 0.5, alone).otherwise(0.0).alias("alone"))
+        confident = cut_lineage(confident, "pii-patterns")
+        done += 1
+        gained = confident.filter("confidence >= 0.5")
+        if before is not None:
+            gained = gained.join(before, ["context", "kind"], "left").filter(
+                F.col("confidence") > F.coalesce("old", F.lit(0.0)) + GAIN)
+        if done == rounds or not gained.limit(1).count():
+            return confident.filter(F.col("confidence") >= least_confidence).select("context", "kind", "confidence")
+        before = confident.select("context", "kind", F.col("confidence").alias("old"))
+        votes = seeds.join(_votes(unknown, confident), ["context", "kind"], "full")
+
+
+def _votes(unknown: DataFrame, confident: DataFrame) -> DataFrame:
+    """(context, kind, more): scores of a context's unknown strings, each the noisy-or over the string's contexts."""
+    miss = lambda name: F.log1p(-F.least(F.col(name), F.lit(0.999999)))
+    last = F.substring_index("context", " ", -1)
+    given = unknown.join(confident.filter("confidence >= 0.5"), "context").select(
+        "string", "kind", "context", last.alias("last"), miss("confidence").alias("now"),
+        (miss("alone") - miss("confidence")).alias("back"))
+    total = given.groupBy("string", "kind").agg(F.sum("now").alias("total"))
+    # Contexts of one and two words that end alike are the same place: what they gained is taken back for each other.
+    own = given.select("string", "kind", F.explode(F.array_distinct(F.array("context", "last"))).alias("context"), "back")
+    own = own.groupBy("string", "kind", "context").agg(F.sum("back").alias("back"))
+    shorter = given.filter("context = last").select("string", "kind", "last", F.col("back").alias("back_last"))
+    asked = unknown.withColumn("last", last).join(total, "string").join(own, ["string", "kind", "context"], "left").join(
+        shorter, ["string", "kind", "last"], "left")
+    left = F.col("total") + F.coalesce("back", F.lit(0.0)) + F.when(
+        F.col("context") != F.col("last"), F.coalesce("back_last", F.lit(0.0))).otherwise(0.0)
+    return asked.groupBy("context", "kind").agg(F.sum(1 - F.exp(F.least(left, F.lit(0.0)))).alias("more"))
 
 
 def discovered(scanned: DataFrame, confident: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:

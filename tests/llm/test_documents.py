@@ -319,3 +319,20 @@ def test_personal_data(make_docs, clashing):
     assert clean[500].text == "please dial hotline: <phone> today" and clean[501].text == rows[-1][1]
     assert clean[1].text is None and clean[5].text == "a b c d e f g"
     assert pii.found(make_docs([])).collect() == []
+
+
+def test_personal_data_behind_contexts_that_only_discoveries_vouch_for(make_docs):
+    rows = [(k, f"please dial hotline: +1 555 010-{1000 + k} today") for k in range(200)]
+    for k in range(20):  # the first round finds these behind the hotline; they alone vouch for the desk, and those for the front
+        rows += [(300 + k, f"please dial hotline: 555-020-{1000 + k} today"), (400 + k, f"or reach desk: 555-020-{1000 + k} now"),
+                 (500 + k, f"or reach desk: 555-030-{1000 + k} now" if k < 2 else f"order number 777-{1000 + k} shipped")]
+    rows += [(600 + k, f"a guest number: 555-040-{1000 + k} here") for k in range(20)]
+    out = {r.doc_id: r.spans for r in pii.found(make_docs(rows)).collect()}
+    assert out[300] == "phone:21:33" and out[400] == "phone:15:27" and out[500] == "phone:15:27"
+    assert out[510] == "" and out[600] == ""
+
+
+def test_no_context_raises_itself(make_docs):
+    """Half of what is behind a context are seeds: rounds without end add nothing that two rounds did not."""
+    rows = [(k, f"{'abcde'[k % 5]} ticket +1 555 010-{1000 + k}") for k in range(13)] + [(100 + k, f"call y{k} ticket 777-{1000 + k}") for k in range(11)]
+    assert pii.patterns(pii.scan(make_docs(rows))).collect() == []
