@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlab.llm import bpe, embedding_dedup, minhash, mixing, pii, quality, substring, token_files, topk, toxicity
+from ledgerlab.llm import (bpe, embedding_dedup, minhash, mixing, packing, pii, quality, ranked, substring, token_files, topk, toxicity,
+                           vector_codes)
 from ledgerlab.llm.tables import read
 
 
@@ -51,6 +52,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(read(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.places(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -62,8 +75,34 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_best_fit": op13_best_fit,
 }
 
+# Terms of the ranked search: other characters than the first 128 that are neither letters nor digits, A-Z made small.
+TERMS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+         r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+
+def _code_rounds(rounds: int = 4) -> str:
+    """The rounds of `op11_vector_codes`, each a pair of tables."""
+    nearest = """
+near{n} as (
+  select vec_id, part, p, min(struct_pack(d := d, entry := entry)) as best
+  from (select a.vec_id, a.part, a.p, b.entry, list_sum(list_transform(list_zip(a.p, b.p), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d
+        from parts a join book{n} b using (part))
+  group by vec_id, part, p),"""
+    update = """
+sums{n} as (
+  select part, entry, place, sum(p[place]) as total, count(*) as many
+  from (select part, best.entry as entry, p, unnest(range(1, len(p) + 1)) as place from near{n}) group by part, entry, place),
+moved{n} as (
+  select part, entry, list(floor(total / many)::bigint order by place) as p from sums{n} group by part, entry),
+book{m} as (select part, entry, coalesce(m.p, b.p) as p from book{n} b left join moved{n} m using (part, entry)),"""
+    return "".join(nearest.format(n=n) + update.format(n=n, m=n + 1) for n in range(rounds)) + nearest.format(n=rounds)
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 SQL = {
@@ -119,4 +158,38 @@ scored as (
 ranked as (
   select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 20""",
+    "op11_vector_codes": f"""
+with kept as (
+  select vec_id, label, list_transform(embedding::double[], lambda c: floor(1024 * c)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding::double[], lambda c: c is null or not isfinite(c))) = 0),
+parts as materialized (
+  select vec_id, label, part, v[len(v) // 4 * part + 1:len(v) // 4 * (part + 1)] as p from kept, (select unnest(range(0, 4)) as part)),
+book0 as (
+  select part, (row_number() over (partition by part order by vec_id) - 1)::int as entry, p from parts
+  where vec_id in (select vec_id from kept order by vec_id limit 256)),{_code_rounds()}
+codes as (
+  select vec_id, lower(string_agg(printf('%02x', best.entry), '' order by part)) as code, sum(best.d)::bigint as error
+  from near4 group by vec_id),
+digest as (
+  select sha256(string_agg(c::varchar, ',' order by part, entry, place)) as codebooks_sha256
+  from (select part, entry, unnest(p) as c, unnest(range(1, len(p) + 1)) as place from book4))
+select c.vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+from codes c join kept using (vec_id), digest""",
+    "op12_ranked_search": rf"""
+with words as (
+  select doc_id, unnest(t) as term, len(t) as n from (select doc_id, {TERMS} as t from documents)),
+docs as (select doc_id, any_value(n)::bigint as n from words group by doc_id),
+totals as (select count(*)::bigint as cnt, sum(n)::bigint as lng from docs),
+asked as (select distinct item_id, unnest({TERMS}) as term from benchmark),
+held as (select doc_id, term, count(*)::bigint as tf from words where term in (select term from asked) group by doc_id, term),
+weights as (
+  select term, floor(1000 * ln((2 * cnt + 2)::double / (2 * df + 1)::double))::bigint as w
+  from (select term, count(*)::bigint as df from held group by term), totals),
+scored as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * cnt) // lng)))))::bigint as score
+  from asked join weights using (term) join held using (term) join docs using (doc_id), totals group by item_id, doc_id),
+best as (
+  select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+  from scored where score > 0)
+select item_id, rank, doc_id, score from best where rank <= 10""",
 }
