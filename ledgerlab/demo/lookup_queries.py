@@ -55,20 +55,22 @@ def _mails(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_mktsegment").alias("subject"), F.col("c_nationkey").alias("received_at"))
 
 
-def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return _files(spark, sf).filter("id % 5 < 3").select(F.col("id").alias("attachment_id"), "company_id")
+def _records(files: DataFrame) -> DataFrame:
+    return files.select(F.col("id").alias("attachment_id"), "company_id")
 
 
 @query("""SELECT o_orderkey AS attachment_id, o_orderkey % 3 AS company_id, o_orderpriority || '.pdf' AS nombre_adjunto, c_name AS remitente, c_mktsegment AS asunto,
-c_nationkey AS recibido_en FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 5 < 3""")
+c_nationkey AS recibido_en FROM orders LEFT JOIN customer ON c_custkey = o_custkey""")
 def origin_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return C.origin_lookup(_records(spark, sf), _files(spark, sf).drop("company_id"), _mails(spark, sf))
+    return C.origin_lookup(_records(_files(spark, sf)), _files(spark, sf).drop("company_id"), _mails(spark, sf))
 
 
 @query("""SELECT o_orderkey AS id, o_custkey AS message_id, o_orderpriority || '.pdf' AS original_name FROM orders
-JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 5 >= 3 AND c_custkey % 4 = 1""")
+JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND c_custkey % 4 = 1""")
 def pending_extraction(spark: SparkSession, sf: str) -> DataFrame:
-    return C.pending_extraction(_files(spark, sf), _mails(spark, sf), _records(spark, sf), job_id=1).select("id", "message_id", "original_name")
+    files = _files(spark, sf)
+    done = _records(files.filter(~F.col("original_name").isin("1-URGENT.pdf", "2-HIGH.pdf")))
+    return C.pending_extraction(files, _mails(spark, sf), done, job_id=1).select("id", "message_id", "original_name")
 
 
 @query("""SELECT l_orderkey, l_linenumber, precio AS ingles, precio AS europeo, precio AS autoridad, precio AS libro, 0.0 AS basura, dia AS fecha, dia AS fecha_libro,

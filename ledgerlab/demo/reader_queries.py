@@ -6,6 +6,7 @@ A query writes the lines to a new folder below the shared one and reads them bac
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerlab.demo import ledgers as D
 from ledgerlab.demo.ledger_queries import shown
 from ledgerlab.session import shared_folder
-from ledgerlab.sources import delimited, ledgers
+from ledgerlab.sources import delimited, feeds, ledgers
 
 QUERIES, SQL = {}, {}
 
@@ -133,3 +134,74 @@ def delimited_surplus(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws(";", "o_orderkey", "o_custkey", "o_orderstatus", longer))
     rows.select(line.alias("value")).write.text(folder)
     return delimited.read_delimited(spark, folder, sep=";", header=False, mode="raw")
+
+
+# Orders as three folders of lines under a heading: whole rows; some short, others with separators in quotes; some with a field too many.
+_ORDER = """o_orderkey AS clave, {0} round(o_totalprice, 2) {1} AS precio, {0} cast(cast(o_orderdate as date) as varchar) {1} AS fecha, {0} {2} {1} AS texto"""
+
+
+@query(f"""SELECT 'normal' AS escalon, 'int,double,date,string' AS tipos, {_ORDER.format("", "", "o_orderpriority")}, NULL AS sobra FROM orders
+UNION ALL SELECT 'padded', 'int,double,date,string', {_ORDER.format("CASE WHEN o_orderkey % 5 <> 0 THEN", "END", "'a;b;' || o_orderpriority")}, NULL FROM orders
+UNION ALL SELECT 'raw', 'string,string,string,string,string', {_ORDER.format("", "", "chr(34) || o_orderpriority || chr(34)")}, CASE WHEN o_orderkey % 7 = 0 THEN 'sobra' END FROM orders""")
+def delimited_ladder(spark: SparkSession, sf: str) -> DataFrame:
+    """Each folder ends on the rung it needs, with its types, and no field is lost."""
+    rows = D.table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS clave", "cast(o_totalprice as decimal(18,2)) AS precio", "cast(o_orderdate as date) AS fecha", "o_orderpriority AS texto")
+    line = lambda text: F.concat_ws(";", "clave", "precio", "fecha", text)
+    quoted = lambda *parts: F.concat(F.lit('"'), *parts, F.lit('"'))
+    lines = {
+        "normal": line("texto"), "padded": F.when(F.col("clave") % 5 == 0, F.col("clave").cast("string")).otherwise(line(quoted(F.lit("a;b;"), F.col("texto")))),
+        "raw": F.when(F.col("clave") % 7 == 0, F.concat(line(quoted(F.col("texto"))), F.lit(";sobra"))).otherwise(line(quoted(F.col("texto"))))}
+    parts = []
+    for one in lines.values():
+        source, dest = _folder(spark), _folder(spark)
+        # One column whose name is the heading, without quotes: every file begins with the heading.
+        rows.select(one.alias("clave;precio;fecha;texto")).write.option("header", True).option("sep", "\u0001").option("quote", "").csv(source)
+        delimited.ingest(spark, source, dest, sep=";")
+        stored = delimited.open_dataset(spark, dest)
+        kinds = ",".join(field.dataType.simpleString() for field in stored.schema)
+        extra = F.col("_c4") if "_c4" in stored.columns else F.lit(None).cast("string")
+        parts.append(stored.select(
+            F.lit(delimited.rung(spark, dest)).alias("escalon"), F.lit(kinds).alias("tipos"), F.col("clave").cast("long").alias("clave"),
+            F.col("precio").cast("double").alias("precio"), F.col("fecha").cast("string").alias("fecha"), "texto", extra.alias("sobra")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+# An invoice, a credit note or a debit note for every order, an item for each of its lines; some in Latin-1.
+_ROOTS = "CASE o_orderkey % 3 WHEN 0 THEN 'Invoice' WHEN 1 THEN 'CreditNote' ELSE 'DebitNote' END"
+_ITEM = "concat('Artículo ', cast(l_partkey as string), ' & Cía')"
+
+
+@query(f"""WITH i AS (SELECT l_orderkey, string_agg({_ITEM}, '; ' ORDER BY l_linenumber, l_partkey) AS concepto FROM lineitem GROUP BY l_orderkey)
+SELECT 'F001-' || o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'Comercial ' ELSE 'Peñón ' END || o_custkey AS emisor, '20' || lpad(cast(o_custkey as varchar), 9, '0') AS ruc,
+CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN '03' ELSE '01' END WHEN 1 THEN '07' ELSE '08' END AS tipo,
+cast(cast(o_totalprice as decimal(18,2)) as varchar) AS monto, CASE WHEN o_orderkey % 5 = 0 THEN 'USD' ELSE 'PEN' END AS moneda, cast(cast(o_orderdate as date) as varchar) AS fecha, coalesce(concepto, '') AS concepto
+FROM orders LEFT JOIN i ON l_orderkey = o_orderkey""")
+def invoices_xml(spark: SparkSession, sf: str) -> DataFrame:
+    """Vouchers read from XML with name spaces and repeated items, all descriptions shown."""
+    items = D.table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", f"replace({_ITEM}, '&', '&amp;') AS item")
+    items = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "item"))).alias("items"))  # an order's lines
+    orders = D.table(spark, sf, "orders").withColumn("root", F.expr(_ROOTS)).join(items, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    latin = F.col("o_orderkey") % 2 == 0
+
+    def tag(name: str, *parts: Column | str) -> Column:
+        return F.concat(F.lit(f"<{name}>"), *[F.lit(part) if isinstance(part, str) else part for part in parts], F.lit(f"</{name.split(' ')[0]}>"))
+
+    line = F.concat(F.lit("cac:"), F.col("root"), F.lit("Line"))
+    lines = F.transform(F.coalesce("items", F.array().cast("array<struct<l_linenumber:int,l_partkey:bigint,item:string>>")), lambda i: F.concat(
+        F.lit("<"), line, F.lit(">"), tag("cac:Item", F.lit("<cbc:Description>"), i["item"], F.lit("</cbc:Description>")), F.lit("</"), line, F.lit(">")))
+    customer = F.col("o_custkey").cast("string")
+    # One name form or the other; the registered name wins where both are there.
+    issuer = F.when(F.col("o_orderkey") % 4 == 0, tag("cac:PartyName", tag("cbc:Name", "Comercial ", customer))).otherwise(F.concat(
+        tag("cac:PartyName", tag("cbc:Name", "otro")), tag("cac:PartyLegalEntity", tag("cbc:RegistrationName", "Peñón ", customer))))
+    kind = F.when(F.col("root") == "Invoice", tag("cbc:InvoiceTypeCode", F.when(latin, "03").otherwise("01"))).otherwise("")
+    total = F.concat(F.lit('<cbc:PayableAmount currencyID="'), F.when(F.col("o_orderkey") % 5 == 0, "USD").otherwise("PEN"), F.lit('">'),
+                     F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("</cbc:PayableAmount>"))
+    text = F.concat(
+        F.lit('<?xml version="1.0" encoding="'), F.when(latin, "ISO-8859-1").otherwise("UTF-8"), F.lit('"?><'), F.col("root"),
+        F.lit(' xmlns="urn:oasis:doc" xmlns:cac="urn:oasis:cac" xmlns:cbc="urn:oasis:cbc">'), tag("cbc:ID", "F001-", F.col("o_orderkey").cast("string")),
+        tag("cbc:IssueDate", F.date_format("o_orderdate", "yyyy-MM-dd")), kind,
+        tag("cac:AccountingSupplierParty", tag("cac:Party", tag("cac:PartyIdentification", tag("cbc:ID", "20", F.lpad(customer, 9, "0"))), issuer)),
+        tag("cac:LegalMonetaryTotal", total), F.array_join(lines, ""), F.lit("</"), F.col("root"), F.lit(">"))
+    content = F.when(latin, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    return feeds.parse_invoices(orders.select(content.alias("content"))).drop("descripcion")

@@ -257,3 +257,24 @@ FROM (SELECT *, {_PRICED} FROM lineitem) GROUP BY l_suppkey, l_returnflag""")
 def pivot_long(spark: SparkSession, sf: str) -> DataFrame:
     spec = PivotSpec(["l_suppkey"], [Measure("sum", "precio"), Measure("count_distinct", "l_partkey")], pivot_column="l_returnflag")
     return _doubles(P.pivot_long(_items(spark, sf), spec))
+
+
+def _distinct_cells() -> str:
+    flags = [(f"{flag} · ", f"CASE WHEN l_returnflag = '{flag}' THEN {{0}} END") for flag in "ANR"] + [("Total · ", "{0}")]
+    return ", ".join(f'count(DISTINCT {form.format(column)}) AS "{head}unicos_{column}"' for head, form in flags for column in ("l_partkey", "l_orderkey")) + \
+        ", " + ", ".join(f'cast(coalesce(sum({form.format("precio")}), 0) as double) AS "{head}suma_precio"' for head, form in flags)
+
+
+@query(f"""SELECT l_suppkey, l_linestatus, {_distinct_cells()} FROM (SELECT *, {_PRICED} FROM lineitem) GROUP BY l_suppkey, l_linestatus""")
+def crosstab_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """A cross-tab of two distinct counts beside a sum: no row is expanded for them."""
+    return _doubles(P.pivot(_items(spark, sf), _DISTINCT))
+
+
+@query(f"""SELECT {_distinct_cells()} FROM (SELECT *, {_PRICED} FROM lineitem)""")
+def crosstab_distinct_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return _doubles(P.pivot_totals(_items(spark, sf), _DISTINCT))
+
+
+_DISTINCT = PivotSpec(["l_suppkey", "l_linestatus"], [Measure("count_distinct", "l_partkey"), Measure("count_distinct", "l_orderkey"), Measure("sum", "precio")],
+                      pivot_column="l_returnflag")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,9 +73,7 @@ def pivot(df: DataFrame, spec: PivotSpec, values: list | None = None) -> DataFra
         values = crosstab_values(df, spec)
     rows = where(df, spec.filter)
     cells = _cells(rows, spec, values)
-    grouped = rows.groupBy([column_of(rows, n) for n in spec.group_by]).agg(
-        *[_cell(rows, spec, m, c, percent=False).alias(f"_c{i}") for i, (_, m, c) in enumerate(cells)]
-    )
+    grouped = _grouped(rows, spec, cells, spec.group_by, percent=False)
     outputs = [F.col(f"_c{i}") for i in range(len(cells))]
     if spec.percent_of_total:
         # The grand totals are one row: a scalar subquery, no window over all groups in one task.
@@ -86,6 +86,34 @@ def pivot(df: DataFrame, spec: PivotSpec, values: list | None = None) -> DataFra
     return _ordered(grouped.select(*[column_of(grouped, n) for n in spec.group_by], *named), spec)
 
 
+def _grouped(rows: DataFrame, spec: PivotSpec, cells: list, groups: list[str], percent: bool) -> DataFrame:
+    """The groups with every cell as `_c0`, `_c1`, ...; without groups one row.
+
+    Several distinct counts would make Spark expand every row once for each of them. Instead a counted column is made
+    distinct within the groups first, each of its values with a flag for every cell it is counted in: two aggregations
+    of partial results, and as many rows as there are values.
+    """
+    distinct = [i for i, (_, m, _) in enumerate(cells) if m.aggregation == "count_distinct"]
+    if len(distinct) <= 1:
+        return rows.groupBy([column_of(rows, n) for n in groups]).agg(
+            *[_cell(rows, spec, m, c, percent).alias(f"_c{i}") for i, (_, m, c) in enumerate(cells)])
+    keys = [column_of(rows, n).alias(f"_g{k}") for k, n in enumerate(groups)]
+    plain = [_cell(rows, spec, m, c, percent).alias(f"_c{i}") for i, (_, m, c) in enumerate(cells) if i not in distinct]
+    out = rows.groupBy(keys).agg(*(plain or [F.count(F.lit(1)).alias("_n")]))
+    for name in dict.fromkeys(cells[i][1].column for i in distinct):
+        mine = [i for i in distinct if cells[i][1].column == name]
+        value = column_of(rows, name)
+        flags = [F.lit(True) if cells[i][2] is None else cells[i][2] for i in mine]
+        values = rows.filter(value.isNotNull()).groupBy(*keys, value.alias("_v")).agg(
+            *[F.bool_or(flag).alias(f"_f{i}") for i, flag in zip(mine, flags)])
+        counts = values.groupBy([F.col(f"_g{k}").alias(f"_h{k}") for k in range(len(groups))]).agg(
+            *[F.count_if(F.col(f"_f{i}")).alias(f"_c{i}") for i in mine])
+        same = reduce(lambda a, b: a & b, [F.col(f"_g{k}").eqNullSafe(F.col(f"_h{k}")) for k in range(len(groups))], F.lit(True))
+        out = out.join(counts, same, "left").drop(*[f"_h{k}" for k in range(len(groups))])
+    out = out.na.fill(0, [f"_c{i}" for i in distinct])
+    return out.select(*[F.col(f"_g{k}").alias(n) for k, n in enumerate(groups)], *[f"_c{i}" for i in range(len(cells))])
+
+
 def pivot_long(df: DataFrame, spec: PivotSpec) -> DataFrame:
     """The cross-tab as rows (groups, `valor`, measures): any number of values, any names, one aggregation.
 
@@ -132,10 +160,9 @@ def pivot_totals(df: DataFrame, spec: PivotSpec, values: list | None = None) ->
     if values is None:
         values = crosstab_values(df, spec)
     rows = where(df, spec.filter)
-    return rows.agg(*[
-        _zero(values, m, c, _cell(rows, spec, m, c, percent=True)).alias(name)
-        for name, m, c in _cells(rows, spec, values)
-    ])
+    cells = _cells(rows, spec, values)
+    row = _grouped(rows, spec, cells, [], percent=True)
+    return row.select(*[_zero(values, m, c, F.col(f"_c{i}")).alias(name) for i, (name, m, c) in enumerate(cells)])
 
 
 def pivot_count(df: DataFrame, spec: PivotSpec) -> DataFrame:

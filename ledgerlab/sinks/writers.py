@@ -11,6 +11,7 @@ from ledgerlab.errors import EmptyDataset, ExportTooLarge, InvalidSpec
 from ledgerlab.operators.reconcile import Reconciliation, difference_text
 from ledgerlab.operators.records import REPORT_COLUMNS
 from ledgerlab.operators.tables import schema_of
+from ledgerlab.sinks import versions
 
 # Text separators, and the rows that a sheet holds.
 SEPARATORS = {"tab": "\t", "pipe": "|", "semicolon": ";", "comma": ","}
@@ -85,6 +86,41 @@ def write_scenarios(result: Reconciliation, path: str) -> DataFrame:
     return stored.groupBy("escenario").agg(F.count(F.lit(1)).alias("filas")).withColumn("desborda_hoja", F.col("filas") > MAX_SHEET_ROWS)
 
 
+def store_scenarios(rows: DataFrame, path: str, load: str, sheet_rows: int = MAX_SHEET_ROWS) -> DataFrame:
+    """Store the scenario rows of some periods as a load, and return the manifest: (periodo, escenario, carga, filas, desborda_hoja).
+
+    Partitions are named by period, scenario and load, so a load that is repeated overwrites its own and nothing else; a
+    load's rows are the same each time. The manifest is a table of versions: readers see a period as it was before the load
+    or after it, never between, and partitions that an earlier load of the same period left are not named any more.
+    """
+    spark, base = rows.sparkSession, path.rstrip("/")
+    loaded = rows.withColumn("carga", F.lit(load))
+    (loaded.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("periodo", "escenario", "carga")
+        .parquet(f"{base}/tabla"))
+    counts = _table(spark, base).filter(F.col("carga") == load).groupBy("periodo", "escenario", "carga").agg(F.count(F.lit(1)).alias("filas"))
+    counts = counts.withColumn("desborda_hoja", F.col("filas") > sheet_rows)
+    earlier = versions.base_of(spark, f"{base}/manifiesto", load)
+    if earlier is not None:
+        counts = counts.unionByName(earlier.join(counts.select("periodo").distinct(), "periodo", "left_anti"))
+    versions.commit(counts, f"{base}/manifiesto", load)
+    return versions.read_version(spark, f"{base}/manifiesto")
+
+
+def _table(spark: SparkSession, base: str) -> DataFrame:
+    """Stored rows of all loads; partition names are text."""
+    stored = spark.read.parquet(f"{base}/tabla")
+    return stored.withColumns({name: F.col(name).cast("string") for name in ("periodo", "escenario", "carga")})
+
+
+def read_scenarios(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The rows that the manifest names, of its newest version or of an earlier one."""
+    base = path.rstrip("/")
+    manifest = versions.read_version(spark, f"{base}/manifiesto", version)
+    if manifest is None:
+        raise EmptyDataset(f"nothing has been stored at {path}")
+    return _table(spark, base).join(manifest.select("periodo", "escenario", "carga"), ["periodo", "escenario", "carga"], "left_semi")
+
+
 def write_records_csv(report: DataFrame, path: str) -> None:
     """The records report with its labels, separated by semicolons; each file begins with a byte-order mark."""
     named = report.select([F.col(n).alias(label) for n, label in REPORT_COLUMNS.items()])

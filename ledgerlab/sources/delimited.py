@@ -6,7 +6,7 @@ from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlab.errors import EmptyDataset, InvalidSpec
@@ -17,6 +17,8 @@ from ledgerlab.sources.lines import WINDOWS, after_first, fields_of, first_lines
 # How badly formed a file may be, from strict to everything as text without quotes.
 LADDER = ["normal", "padded", "raw"]
 CORRUPT = "_corrupt_record"
+# Columns of lines read as text.
+RAW_COLUMNS = 1000
 
 
 def encodings_of(spark: SparkSession, path: str) -> list[tuple[str, str | None, list[str]]]:
@@ -38,9 +40,13 @@ def encodings_of(spark: SparkSession, path: str) -> list[tuple[str, str | None,
             .when(F.col("extra"), "windows-1252").otherwise("ISO-8859-1"))
     wide = name.startswith("UTF-16")
     end = F.when(wide & F.col("crlf"), "\r\n").when(wide, "\n")
-    groups = files.groupBy(name.alias("encoding"), end.alias("fin")).agg(F.sort_array(F.collect_list("archivo")).alias("archivos"))
-    found = [(g.encoding, g.fin, list(g.archivos)) for g in groups.orderBy("encoding", "fin").collect()]  # paths, no contents
-    return found or [("UTF-8", None, [path])]
+    named = files.select(name.alias("encoding"), end.alias("fin"), "archivo")
+    groups = named.groupBy("encoding", "fin").count().orderBy(F.desc("count"), "encoding", "fin").collect()  # six at most
+    if len(groups) <= 1:  # the folder as it is: no names are gathered
+        return [(g.encoding, g.fin, [path]) for g in groups] or [("UTF-8", None, [path])]
+    # A reader of some files of a folder is given their names, as many as its own list of files holds.
+    same = lambda g: (F.col("encoding") == g.encoding) & F.col("fin").eqNullSafe(g.fin)
+    return [(g.encoding, g.fin, [row.archivo for row in named.filter(same(g)).orderBy("archivo").toLocalIterator()]) for g in groups]
 
 
 def _reader(spark: SparkSession, sep: str, encoding: str, line_end: str | None, header: bool):
@@ -82,10 +88,13 @@ def _as_text_lines(spark: SparkSession, files: list[str], encoding: str, line_en
 
 
 def _raw(spark: SparkSession, files: list[str], sep: str, encoding: str, line_end: str | None, header: bool) -> DataFrame:
-    """Everything as text without quoting; the longest line decides how many columns there are, so none is lost."""
+    """Everything as text without quoting; the longest line decides how many columns there are, so none is lost.
+
+    A table holds only so many columns: what a line has beyond them stays, unsplit, in the last one.
+    """
     lines = _as_text_lines(spark, files, encoding, line_end)
-    head = fields_of(first_lines(lines, 1), sep).orderBy("archivo").first() if header else None
-    rows = fields_of(after_first(lines, 1) if header else lines, sep)
+    head = fields_of(first_lines(lines, 1), sep, RAW_COLUMNS).orderBy("archivo").first() if header else None
+    rows = fields_of(after_first(lines, 1) if header else lines, sep, RAW_COLUMNS)
     width = max(rows.agg(F.max(F.size("c"))).first()[0] or 0, len(head.c) if head else 0)
     names, seen = [], set()
     for k in range(width):
@@ -130,10 +139,29 @@ def _malformed(failed: Exception) -> bool:
     return "MALFORMED" in str(failed) or "CSV header does not conform" in str(failed)
 
 
+def field_count(line: Column, sep: str) -> Column:
+    """How many fields a line has, separators within quotes aside.
+
+    A scan with two states, as a fold over the pieces between quotes: every quote turns from outside to inside and back
+    (a doubled quote does so twice), and only pieces outside count. Linear in the line, however long a quoted field is.
+    What follows a quote that is never closed counts as outside, so no field is overlooked.
+    """
+    pieces = F.split(line, '"')
+    separators = lambda piece: ((F.length(piece) - F.length(F.replace(piece, F.lit(sep), F.lit("")))) / len(sep)).cast("int")
+
+    def step(state: Column, piece: Column) -> Column:
+        here = separators(piece)
+        return F.struct((~state["inside"]).alias("inside"), F.when(state["inside"], state["n"]).otherwise(state["n"] + here).alias("n"),
+                        F.when(state["inside"], here).otherwise(F.lit(0)).alias("unclosed"))
+
+    start = F.struct(F.lit(False).alias("inside"), F.lit(1).alias("n"), F.lit(0).alias("unclosed"))
+    # The last piece lies inside quotes where their number is odd: then the quote was never closed.
+    return F.aggregate(pieces, start, step, lambda state: state["n"] + state["unclosed"])
+
+
 def _has_surplus(stored: DataFrame, sep: str) -> bool:
     """Whether a padded line held more fields than there are columns: those would be lost."""
-    unquoted = F.regexp_replace(CORRUPT, '"([^"]|"")*"', "")
-    fields = F.regexp_count(unquoted, F.lit("\\Q" + sep + "\\E")) + 1
+    fields = field_count(F.col(CORRUPT), sep)
     return not stored.filter(fields > len(stored.columns) - 1).isEmpty()
 
 

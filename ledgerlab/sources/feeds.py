@@ -49,10 +49,11 @@ def read_fx_daily(spark: SparkSession, path: str) -> DataFrame:
     return fx_daily_rows(spark.read.text(path))
 
 
-def parse_invoices(files: DataFrame, content: str = "content") -> DataFrame:
+def parse_invoices(files: DataFrame, content: str = "content", descriptions: int | None = None) -> DataFrame:
     """UBL Invoice, CreditNote and DebitNote documents (one per row of bytes) to voucher rows.
 
-    Documents that are not such XML are dropped.
+    `concepto` joins the descriptions of all items, or of the first `descriptions` with an ellipsis for the rest. Documents
+    that are not such XML are dropped.
     """
     declared = F.regexp_extract(F.decode(F.substring(content, 1, 200), "ISO-8859-1"), r"(?i)encoding=[\"']([\w-]+)", 1)
     text = F.when(F.lower(declared).isin("iso-8859-1", "windows-1252", "latin-1"), F.decode(content, "ISO-8859-1")).otherwise(F.decode(content, "UTF-8"))
@@ -70,8 +71,9 @@ def parse_invoices(files: DataFrame, content: str = "content") -> DataFrame:
     lines = F.concat(*[F.coalesce(f"d.{n}", F.array().cast("array<struct<Item:struct<Description:array<string>>>>"))
                        for n in ("InvoiceLine", "CreditNoteLine", "DebitNoteLine")])
     items = F.filter(F.flatten(F.transform(lines, lambda x: F.coalesce(x["Item"]["Description"], F.array().cast("array<string>")))), lambda t: strip(t) != "")
-    first = F.array_join(F.transform(F.slice(items, 1, 2), strip), "; ")
-    concept = F.when(F.size(items) > 2, F.concat(first, F.lit("…"))).otherwise(first)
+    shown = items if descriptions is None else F.slice(items, 1, descriptions)
+    first = F.array_join(F.transform(shown, strip), "; ")
+    concept = first if descriptions is None else F.when(F.size(items) > descriptions, F.concat(first, F.lit("…"))).otherwise(first)
     kept = [c for c in files.columns if c != content]
     out = read.select(
         *kept, value("ID").alias("id"), issuer.alias("emisor"), value(f"{party}.PartyIdentification.ID").alias("ruc"), kind.alias("tipo"),
@@ -84,13 +86,33 @@ def parse_invoices(files: DataFrame, content: str = "content") -> DataFrame:
     return out.withColumn("descripcion", F.concat_ws(" — ", head, F.nullif(F.col("concepto"), F.lit("")), money))
 
 
-def read_invoices_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Invoice files of a folder (recursive), one voucher per file."""
+# Fixed value: item descriptions that a voucher shows.
+SHOWN_ITEMS = 2
+
+
+def read_invoices_xml(spark: SparkSession, path: str, descriptions: int | None = SHOWN_ITEMS) -> DataFrame:
+    """Invoice files of a folder (recursive), one voucher per file; None shows the descriptions of all items."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(path)
-    return parse_invoices(files.select(F.col("path").alias("archivo"), "content"))
+    return parse_invoices(files.select(F.col("path").alias("archivo"), "content"), descriptions=descriptions)
+
 
+def named_files(files: DataFrame, name: Column | None = None) -> DataFrame:
+    """path, nombre, length, content of binary files; `name` where a path does not end in the file's name."""
+    shown = F.element_at(F.split("path", "/"), -1) if name is None else name
+    return files.select("path", shown.alias("nombre"), "length", "content")
 
-def read_attachments(spark: SparkSession, path: str) -> DataFrame:
-    """Files as bytes: path, nombre, length, content."""
+
+def read_attachments(
+    spark: SparkSession, path: str, lengths: tuple[int, int] | None = None, changed: tuple[str, str] | None = None, name: Column | None = None,
+) -> DataFrame:
+    """Files as bytes: path, nombre, length, content.
+
+    Bounds on the length and the time of the last change reach the source: other files are listed and never opened.
+    Contents are read only where they are asked for.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("nombre"), "length", "content")
+    if lengths is not None:
+        files = files.filter(F.col("length").between(*lengths))
+    if changed is not None:
+        files = files.filter((F.col("modificationTime") >= changed[0]) & (F.col("modificationTime") < changed[1]))
+    return named_files(files, name)

@@ -34,9 +34,12 @@ def decoded(value: Column) -> Column:
     return F.when(F.is_valid_utf8(value), value).otherwise(windows_text(latin))
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines: archivo, line_no, value."""
-    raw = spark.read.text(path).select(
+def text_lines(spark: SparkSession, path: str, head: bool = False) -> DataFrame:
+    """Non-blank lines: archivo, line_no, value; with `head` those of each file's first block only."""
+    source = spark.read.text(path)
+    if head:
+        source = source.filter(F.col("_metadata.file_block_start") == 0)
+    raw = source.select(
         F.col("_metadata.file_path").alias("archivo"), line_position().alias("line_no"), decoded(F.col("value")).alias("value"))
     clean = F.regexp_replace("value", "^﻿|\r$", "")
     return raw.withColumn("value", clean).filter(F.trim("value") != "")
@@ -57,9 +60,9 @@ def after_first(lines: DataFrame, count: int) -> DataFrame:
     return lines.join(heads, "archivo").filter(F.col("line_no") > F.col("_corte")).drop("_corte")
 
 
-def fields_of(lines: DataFrame, separator: str) -> DataFrame:
-    """Lines with their fields `c`, split literally (a quote is just a character)."""
-    return lines.withColumn("c", F.split("value", "\\Q" + separator + "\\E", -1))
+def fields_of(lines: DataFrame, separator: str, most: int = -1) -> DataFrame:
+    """Lines with their fields `c`, split literally (a quote is just a character); with `most`, the last holds the rest."""
+    return lines.withColumn("c", F.split("value", "\\Q" + separator + "\\E", most))
 
 
 def field(index: int) -> Column:

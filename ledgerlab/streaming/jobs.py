@@ -2,75 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerlab.operators.attachments import new_attachments, validate_attachment
+from ledgerlab.operators.attachments import validate_attachment
 from ledgerlab.operators.fx import upsert_fx
-from ledgerlab.session import path_exists
-from ledgerlab.sinks.writers import latest_snapshot, next_snapshot
-from ledgerlab.sources.feeds import fx_daily_rows
+from ledgerlab.sinks import versions
+from ledgerlab.sources.feeds import fx_daily_rows, named_files
+from ledgerlab.streaming import hashes
 
 BINARY = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 RATES = "fecha DATE, compra DECIMAL(7,3), venta DECIMAL(7,3), fuente STRING, updated_at TIMESTAMP"
 
 
-def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
-
+def checked(files: DataFrame, company_id: int, max_bytes: int) -> DataFrame:
+    """Files (path, nombre, length, content) of a company with their hash and what is wrong with them."""
+    return validate_attachment(files, max_bytes).withColumn("company_id", F.lit(company_id))
 
-def _first_byte():
-    """A hash's first byte as the name of a partition."""
-    return F.concat(F.lit("h"), F.substring("sha256", 1, 2))
 
+def store_attachments(store: str, buckets: int = hashes.BUCKETS, merge_after: int = hashes.MERGE_AFTER) -> Callable[[DataFrame, int], None]:
+    """What a batch does, `(checked files, batch id)`: it may be replayed.
 
-def stored_hashes(spark: SparkSession, store: str, batch: DataFrame) -> DataFrame:
-    """(company_id, sha256, lote) stored so far under the companies and first bytes that a batch has."""
-    hashes = _stored(spark, f"{store}/huellas", "sha256 STRING, lote BIGINT, company_id INT, inicio STRING")
-    found = batch.select("company_id", _first_byte().alias("inicio")).distinct()
-    wanted = found.agg(F.collect_set("company_id"), F.collect_set("inicio")).first()  # 256 first bytes at most
-    hashes = hashes.filter(F.col("company_id").isin(list(wanted[0])) & F.col("inicio").isin(list(wanted[1])))
-    return hashes.select("company_id", "sha256", "lote")
+    The batch is written once as it comes, which reads and hashes every file once; all further steps read what was
+    written, contents only where they are kept. Files whose (company, sha256) another batch stored, or a lesser path of
+    the same batch has, are duplicates. Parts are named by the batch, so a replay overwrites its own.
+    """
+    def store_batch(batch: DataFrame, batch_id: int) -> None:
+        session, part, key = batch.sparkSession, f"lote={batch_id}", ["company_id", "sha256"]
+        accepted = batch.withColumn("content", F.when(F.col("ok"), F.col("content")))
+        accepted.write.mode("overwrite").parquet(f"{store}/entrada")
+        entered = session.read.parquet(f"{store}/entrada")
+        valid = entered.filter("ok")
+        wanted = hashes.buckets_of(valid, buckets)
+        known = hashes.known_hashes(session, f"{store}/huellas", wanted).filter(F.col("lote") != batch_id)
+        first = valid.groupBy(key).agg(F.min(F.struct("path", "nombre")).alias("f")).join(known.select(key), key, "left_anti")
+        state = F.when(~F.col("ok"), "rechazado").when(F.col("nuevo"), "guardado").otherwise("duplicado")
+        log = entered.drop("content").join(first.select("f.path", F.lit(True).alias("nuevo")), "path", "left")
+        log.withColumn("estado", state).drop("nuevo").write.mode("overwrite").parquet(f"{store}/registro/{part}")
+        done = session.read.parquet(f"{store}/registro/{part}")
+        new = done.filter("estado = 'guardado'")
+        entered.join(new.select("path"), "path", "left_semi").write.mode("overwrite").parquet(f"{store}/adjuntos/{part}")
+        done.filter("estado = 'rechazado'").drop("estado").write.mode("overwrite").parquet(f"{store}/rechazados/{part}")
+        hashes.add(session, f"{store}/huellas", new, batch_id, buckets, merge_after)
+
+    return store_batch
+
+
+def attachment_log(spark: SparkSession, store: str) -> DataFrame:
+    """(lote, nombre, sha256, estado, motivo) of every file that came in: guardado, duplicado or rechazado."""
+    log = spark.read.parquet(f"{store}/registro")
+    return log.select(F.col("lote").cast("bigint").alias("lote"), "nombre", "sha256", "estado", F.coalesce("motivo", F.lit("")).alias("motivo"))
 
 
 def ingest_attachments_stream(
-    spark: SparkSession, inbox: str, store: str, company_id: int, max_bytes: int, checkpoint: str,
+    spark: SparkSession, inbox: str, store: str, company_id: int, max_bytes: int, checkpoint: str, name: Column | None = None,
 ) -> StreamingQuery:
     """Validate and hash new files; keep those whose (company, sha256) is not stored, log the rest.
 
-    Hashes stay unique for ever, so they are compared with stored ones in each batch instead of growing
-    stream state. They are kept apart from the contents, partitioned by batch, company and first byte, and a batch
-    reads the partitions of its own companies and first bytes only. A replayed batch overwrites its own
-    part, and compares itself with the other batches.
+    Hashes stay unique for ever, so they are compared with a store of hashes in each batch instead of growing
+    stream state. `name` is a file's name where its path does not end in it.
     """
     files = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(inbox)
-    named = files.select("path", F.element_at(F.split("path", "/"), -1).alias("nombre"), "length", "content")
-    checked = validate_attachment(named, max_bytes).withColumn("company_id", F.lit(company_id))
-    def store_batch(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        earlier = stored_hashes(session, store, batch).filter(F.col("lote") != batch_id)
-        fresh = new_attachments(batch, earlier)
-        fresh.write.mode("overwrite").parquet(f"{store}/adjuntos/lote={batch_id}")
-        kept = session.read.parquet(f"{store}/adjuntos/lote={batch_id}").select("company_id", "sha256", _first_byte().alias("inicio"))
-        kept.write.mode("overwrite").partitionBy("company_id", "inicio").parquet(f"{store}/huellas/lote={batch_id}")
-        batch.filter("not ok").drop("content").write.mode("overwrite").parquet(f"{store}/rechazados/lote={batch_id}")
-
-    return (checked.writeStream.foreachBatch(store_batch).option("checkpointLocation", checkpoint)
+    return (checked(named_files(files, name), company_id, max_bytes).writeStream.foreachBatch(store_attachments(store)).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def fx_daily_stream(spark: SparkSession, inbox: str, table: str, checkpoint: str, source: str = "sunat") -> StreamingQuery:
-    """Upsert daily rate lines by date into snapshots of the rate table; manual days are kept.
-
-    A replayed batch gives the same table again, so a lost executor or driver does no harm.
-    """
-    rates = fx_daily_rows(spark.readStream.text(inbox))
-
+def upsert_rates(table: str, source: str = "sunat") -> Callable[[DataFrame, int], None]:
+    """What a batch of rates does: the table's next version; a replayed batch replaces the version it wrote."""
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        current = latest_snapshot(session, table)
+        session, origin = batch.sparkSession, f"{source}-{batch_id}"
+        current = versions.base_of(session, table, origin)
         old = session.createDataFrame([], RATES) if current is None else current
-        next_snapshot(upsert_fx(old, batch, source), table)
+        versions.commit(upsert_fx(old, batch, source), table, origin)
+
+    return upsert
 
-    return rates.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def fx_daily_stream(spark: SparkSession, inbox: str, table: str, checkpoint: str, source: str = "sunat") -> StreamingQuery:
+    """Upsert daily rate lines by date into versions of the rate table; manual days are kept."""
+    rates = fx_daily_rows(spark.readStream.option("recursiveFileLookup", "true").text(inbox))
+    return (rates.writeStream.foreachBatch(upsert_rates(table, source)).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())

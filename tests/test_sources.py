@@ -3,6 +3,7 @@
 import json
 from datetime import date
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from ledgerlab.errors import EmptyDataset, InvalidSpec
 from ledgerlab.operators import profile
 from ledgerlab.session import cut_lineage
-from ledgerlab.sinks import writers
+from ledgerlab.sinks import versions, writers
 from ledgerlab.sources import delimited, feeds, ledgers, lines
-from ledgerlab.streaming import jobs
+from ledgerlab.streaming import hashes, jobs
 
 
 def put(path, data):
@@ -194,6 +195,8 @@ def test_invoice_xml(spark, tmp_path):
     assert (rows["01"].id, rows["01"].ruc, rows["01"].monto, rows["01"].moneda, rows["01"].fecha) == ("F001-7", "20131312955", "118.00", "PEN", "2026-08-04")
     assert rows["01"].descripcion == "Factura de FERRETERIA SAC — Cemento; Arena… — PEN 118.00"
     assert rows["07"].concepto == "Devolucion"
+    every = {r.tipo: r.concepto for r in feeds.read_invoices_xml(spark, str(tmp_path / "x"), descriptions=None).collect()}
+    assert every["01"] == "Cemento; Arena; Cal"
 
 
 def test_roles(spark):
@@ -206,6 +209,19 @@ def test_roles(spark):
     assert profile.profile_voucher_roles(ruc).columns == {"ruc": "r", "tipo": "t", "serie": "b", "numero": "c"}
 
 
+def test_roles_with_ties_and_clashes(spark):
+    rows = [(1, "x", "b", 0.9, 2), (1, "x", "a", 0.9, 1), (2, "y", "a", 1.0, 1), (2, "y", "c", 0.4, 3), (0, "z", "h", None, 4), (3, "z", "c", 0.8, 3), (3, "w", "h", 0.8, 4)]
+    found = profile.assign_roles(spark.createDataFrame(rows, "turno INT, rol STRING, columna STRING, puntos DOUBLE, lugar INT"))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("z", "h", None), ("x", "a", 0.9), ("y", "c", 0.4)], key=str)
+    assert profile.assign_roles(spark.createDataFrame([], "turno INT, rol STRING, columna STRING, puntos DOUBLE, lugar INT")).collect() == []
+
+
+def test_amount_roles_without_a_pair(spark):
+    df = spark.createDataFrame([(f"{i}.25", f"{i * 3}.75") for i in range(1, 50)], "a STRING, b STRING")
+    assert [(r.rol, r.columna) for r in profile.amount_roles(df, ["a", "b"]).collect()] == [("importe_total", "b")]
+    assert profile.amount_roles(df.select(F.lit("x").alias("a")), ["a"]).collect() == []
+
+
 def test_amount_columns(spark):
     df = spark.createDataFrame([(str(i), f"{i}.25", f"{i * 0.18 + 0.045:.2f}", f"{i * 1.18 + 0.295:.2f}") for i in range(1, 100)], "id STRING, base STRING, igv STRING, total STRING")
     assert profile.detect_amount_columns(df, df.columns) == {"base_imponible": "base", "igv": "igv", "importe_total": "total"}
@@ -249,10 +265,89 @@ def test_attachment_stream_of_two_companies(spark, tmp_path):
             spark, str(tmp_path / f"in{company}"), f"{store}/{company}", company, 10_000, str(tmp_path / f"ck{company}")).awaitTermination()
     for company in (1, 2):
         assert spark.read.parquet(f"{store}/{company}/adjuntos").count() == 1
-    batch = spark.read.parquet(f"{store}/1/adjuntos")
-    plan = jobs.stored_hashes(spark, f"{store}/1", batch)._jdf.queryExecution().executedPlan().toString()
-    pruned = plan.split("PushedFilters")[0]
-    assert "(company_id#" in pruned and "(inicio#" in pruned and "ReadSchema: struct<sha256:string>" in plan
+
+
+def test_stored_hashes_are_few_files_and_read_by_bucket(spark, tmp_path):
+    store, sha = str(tmp_path / "h"), F.sha2(F.col("id").cast("string"), 256)
+    for lote in range(7):
+        fresh = spark.range(lote * 50, lote * 50 + 50).select(F.lit(1).alias("company_id"), sha.alias("sha256"), F.lit("a.pdf").alias("nombre"))
+        hashes.add(spark, store, fresh, lote, buckets=4, merge_after=3)
+        if lote in (2, 6):
+            hashes.add(spark, store, fresh, lote, buckets=4, merge_after=3)  # a replay, once right behind a merge
+    known = hashes.known_hashes(spark, store)
+    assert known.select("sha256").distinct().count() == 350 and hashes.state(spark, store)["base"]
+    assert known.groupBy("lote").agg(F.count_distinct("sha256").alias("n")).filter("n <> 50").isEmpty()
+    assert len(list((tmp_path / "h").glob("base-*"))) <= 2 and len(list((tmp_path / "h").glob("delta-*"))) <= 6
+    base = hashes.state(spark, store)["base"]
+    assert len(list(Path(base).rglob("part-*.parquet"))) == 4
+    plan = hashes.known_hashes(spark, store, [1])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+
+
+def test_versions(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    assert versions.read_version(spark, folder) is None and versions.base_of(spark, folder, "x") is None
+    assert versions.commit(spark.range(1), folder, "a") == 1
+    assert versions.commit(spark.range(2), folder, "b") == 2
+    assert versions.base_of(spark, folder, "b").count() == 1
+    assert versions.commit(spark.range(3), folder, "b") == 2  # the same writer again
+    assert [versions.read_version(spark, folder, v).count() for v in (None, -1, 1, 2)] == [3, 1, 1, 3]
+    spark.range(9).write.parquet(f"{folder}/v00000009-lost")  # a writer that never came to move the pointer
+    assert versions.read_version(spark, folder).count() == 3
+    assert versions.commit(spark.range(4), folder, keep=1) == 3
+    with pytest.raises(InvalidSpec):
+        versions.read_version(spark, folder, 1)
+    with pytest.raises(InvalidSpec):
+        versions.read_version(spark, folder, -1)
+
+
+def test_a_scenario_that_a_load_empties_is_read_no_more(spark, tmp_path):
+    rows = spark.createDataFrame([("202401", "A", 1), ("202401", "B", 2), ("202402", "A", 3), ("202402", "A", 4)], "periodo STRING, escenario STRING, n INT")
+    path = str(tmp_path / "s")
+    with pytest.raises(EmptyDataset):
+        writers.read_scenarios(spark, path)
+    manifest = writers.store_scenarios(rows, path, "uno", sheet_rows=1)
+    assert {(r.periodo, r.escenario): (r.filas, r.desborda_hoja) for r in manifest.collect()} == {
+        ("202401", "A"): (1, False), ("202401", "B"): (1, False), ("202402", "A"): (2, True)}
+    for _ in range(2):
+        writers.store_scenarios(rows.filter("n = 1").withColumn("n", F.lit(9)), path, "dos")
+    assert sorted((r.periodo, r.escenario, r.n) for r in writers.read_scenarios(spark, path).collect()) == [("202401", "A", 9), ("202402", "A", 3), ("202402", "A", 4)]
+    assert writers.read_scenarios(spark, path, version=1).count() == 4
+
+
+def test_files_are_opened_only_where_they_are_asked_for(spark, tmp_path):
+    put(tmp_path / "f/a.bin", b"x" * 10), put(tmp_path / "f/b.bin", b"y" * 200)
+    found = feeds.read_attachments(spark, str(tmp_path / "f"), lengths=(100, 1000), changed=("2000-01-01", "2100-01-01"))
+    assert [(r.nombre, bytes(r.content)) for r in found.collect()] == [("b.bin", b"y" * 200)]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = found.select("nombre", "length")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "content" not in plan.split("ReadSchema")[-1] and "LessThanOrEqual(length,1000)" in plan and "modificationTime" in plan.split("PushedFilters")[-1]
+
+
+def test_fields_of_badly_formed_lines(spark):
+    lines = ["a;b;c", 'a;"b;c";d', '"a ""b;"" c";d', "", ";;", 'a;"never closed;b', '"x"', 'a;"b"";"";c";d;e']
+    got = spark.createDataFrame([(k, line) for k, line in enumerate(lines)], "k INT, v STRING").select("k", delimited.field_count(F.col("v"), ";").alias("n"))
+    assert [r.n for r in got.orderBy("k").collect()] == [3, 3, 2, 1, 3, 3, 1, 4]
+    wide = spark.createDataFrame([("a||b||\"c||d\"",)], "v STRING").select(delimited.field_count(F.col("v"), "||").alias("n"))
+    assert wide.first().n == 3
+
+
+def test_a_field_of_a_megabyte(spark, tmp_path):
+    long = "x;" * 500_000
+    padded = put(tmp_path / "a.csv", f'a;b;c\n1;2;3\n4;"{long}"\n')
+    assert delimited.ingest(spark, padded, str(tmp_path / "d"), sep=";")[1] == 2 and delimited.rung(spark, str(tmp_path / "d")) == "padded"
+    assert {len(r.b) for r in delimited.open_dataset(spark, str(tmp_path / "d")).collect()} == {1, len(long)}
+    surplus = put(tmp_path / "b.csv", f'a;b;c\n1;2;3\n4;"{long}";5;6\n')
+    assert delimited.ingest(spark, surplus, str(tmp_path / "e"), sep=";")[1] == 2 and delimited.rung(spark, str(tmp_path / "e")) == "raw"
+    stored = delimited.open_dataset(spark, str(tmp_path / "e"))
+    wide = stored.filter("a = '4'").first()
+    assert len(stored.columns) == delimited.RAW_COLUMNS and ";".join(wide) == f'4;"{long}";5;6'
+
+
+def test_a_folder_of_one_encoding_is_read_by_its_name(spark, tmp_path):
+    put(tmp_path / "in/a.csv", "id,v\n1,niño\n"), put(tmp_path / "in/b.csv", "id,v\n2,x\n")
+    assert delimited.encodings_of(spark, str(tmp_path / "in")) == [("UTF-8", None, [str(tmp_path / "in")])]
 
 
 def test_rate_stream(spark, tmp_path):

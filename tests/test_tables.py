@@ -200,3 +200,16 @@ def test_pages_by_key(spark):
         got += [tuple(r) for r in rows]
         last = rows[-1].asDict()
     assert got == whole
+
+
+def test_distinct_counts_of_a_crosstab_expand_no_row(spark):
+    rows = [(g, v, x, y) for g in ("a", None) for v in ("p", "q", None) for x, y in ((1, 1), (1, 2), (2, None), (None, 3))]
+    df = spark.createDataFrame(rows, "g STRING, v STRING, x INT, y INT")
+    spec = PivotSpec(["g"], [Measure("count_distinct", "x"), Measure("count_distinct", "y"), Measure("count")], pivot_column="v")
+    out = P.pivot(df, spec)
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in out.collect()] == [("a", 2, 3, 4, 2, 3, 4, 2, 3, 12), (None, 2, 3, 4, 2, 3, 4, 2, 3, 12)]
+    totals = P.pivot_totals(df, spec)
+    assert [tuple(r) for r in totals.collect()] == [(2, 3, 8, 2, 3, 8, 2, 3, 24)]
+    assert [tuple(r) for r in P.pivot_totals(df.limit(0), spec, values=["p"]).collect()] == [(0, 0, 0, 0, 0, 0)]
+    assert [tuple(r) for r in P.pivot(df.select("g", "x", "y"), PivotSpec(["g"], spec.measures[:2])).collect()] == [("a", 2, 3), (None, 2, 3)]
