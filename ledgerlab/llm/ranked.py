@@ -39,6 +39,8 @@ K = 10
 BLOCK_TERMS, BLOCK_ITEMS = 16_384, 256
 # Documents of a tree, and of a node that is not divided further. They decide speed and memory alone.
 TREE_DOCS, LEAF_DOCS = 512, 12
+# Terms that decide in which partition a document lies.
+RANGE_TERMS = 12
 NO_ID = np.iinfo(np.int64).max
 # Letters, digits and every byte of other characters are parts of terms; the other bytes part them; A-Z become small.
 _BYTES = bytes(byte if byte >= 0x80 or chr(byte).isalnum() else 0x20 for byte in range(256)).lower()
@@ -239,7 +241,9 @@ def _block(docs: DataFrame, held: list, k: int) -> DataFrame:
         asked[[rank[vocabulary[bytes(term)]] for term in row["terms"]], column] = 1
     vectors = _ranked_vectors(vectors, rank, documents, max(length, 1))
     # Equal vectors may be many: doc_id is part of the range, so that they are dealt out too.
-    ordered = vectors.repartitionByRange("ranks", "doc_id").sortWithinPartitions("ranks", "doc_id")
+    # The range looks at the first terms only, as the driver takes a sample of it.
+    begin = F.slice("ranks", 1, RANGE_TERMS)
+    ordered = vectors.repartitionByRange(begin, "doc_id").sortWithinPartitions("ranks", "doc_id")
     return ordered.mapInArrow(_search([row["item"] for row in held], asked, weights, k), "item string, doc_id long, score long")
 
 
