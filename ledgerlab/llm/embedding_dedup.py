@@ -11,8 +11,9 @@
    visitor; it counts for the resident too unless the resident visits the visitor's cell and counts it there: every link
    found from either side is counted once for each of its ends, and no pair leaves the task. Links leave as forests.
 
-Defined cases: vectors that are null, zero, hold null or non-finite components or have another length than most link
-with nothing and stand for themselves; a null vec_id links with nothing, its component is null; rows that repeat a
+Vectors of different lengths have no cosine: each length has an index of its own and links among its own.
+
+Defined cases: vectors that are null, zero or hold null or non-finite components link with nothing and stand for themselves; a null vec_id links with nothing, its component is null; rows that repeat a
 vec_id and vector link like any copies; ties have no effect; an empty table gives an empty result; further columns
 are ignored.
 """
@@ -22,6 +23,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -103,8 +105,8 @@ def fit(sample: np.ndarray, words: int, threshold: float = THRESHOLD, recall: fl
     reach = a[np.arange(len(some)), own // len(right)] + b[np.arange(len(some)), own % len(right)]
     # Cells that come no later than the turned vector's: counted in a sorted list of the grid's sums.
     ranks = [int(((x[:, None] + y[None]) <= far + 1e-12).sum()) for x, y, far in zip(a, b, reach, strict=True)]
-    # A link is found from either end, so an end may miss with the root of the miss that is allowed.
-    return Index(left, right, int(np.quantile(ranks, 1 - np.sqrt(1 - recall))))
+    # A link is found from either end, but what one end misses the other misses often too: each is to find it by itself.
+    return Index(left, right, int(np.quantile(ranks, recall, method="higher")))
 
 
 def nodes_of(vectors: DataFrame) -> DataFrame:
@@ -112,8 +114,6 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("v"))
     rows = rows.filter("vec_id is not null and size(v) > 0")
     rows = rows.filter(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0))
-    width = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    rows = rows.filter(F.size("v") == (width["width"] if width else 0))
     return rows.groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("many")).select("node", "many", "v")
 
 
@@ -210,18 +210,25 @@ def _forest(linked: np.ndarray, v_at: np.ndarray, r_at: np.ndarray, ids: np.ndar
     return [(int(ids[used[i]]), int(ids[used[root]])) for i, root in forest(square | square.T)]
 
 
+def _links_of(nodes: DataFrame, total: int, threshold: float, recall: float) -> DataFrame:
+    """What `_met` finds among nodes of one length."""
+    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    words = int(np.clip(np.sqrt(total / NODES_PER_CELL), LEAST_CODEWORDS, CODEWORDS))
+    index = fit(_matrix(sample), words, threshold, recall)
+    return cut_lineage(_met(cut_lineage(_placed(nodes, index), "vector-cells"), threshold), "vector-links")
+
+
 def linked(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     nodes = cut_lineage(nodes_of(vectors), "vectors")
-    total = nodes.count()
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("v"))
-    if total:
-        sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
-        words = int(np.clip(np.sqrt(total / NODES_PER_CELL), LEAST_CODEWORDS, CODEWORDS))
-        index = fit(_matrix(sample), words, threshold, recall)
-        met = cut_lineage(_met(cut_lineage(_placed(nodes, index), "vector-cells"), threshold), "vector-links")
-        counts = met.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-        found = components(met.filter("b is not null").select("a", "b"))
+    lengths = nodes.groupBy(F.size("v").alias("width")).count().filter("count > 1").collect()  # a row a length
+    met = [_links_of(nodes.filter(F.size("v") == row["width"]), row["count"], threshold, recall) for row in sorted(lengths)]
+    if met:
+        links = reduce(DataFrame.unionByName, met)
+        counts = links.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+        found = components(links.filter("b is not null").select("a", "b"))
+        # Vectors of two lengths may share a vec_id: their links and components are its own.
         nodes = nodes.join(counts, "node", "left").join(found, "node", "left")
     else:
         nodes = nodes.withColumn("n", F.lit(0)).withColumn("component", F.col("node"))

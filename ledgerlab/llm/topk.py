@@ -14,8 +14,10 @@ that holds the pair, and only counts leave it.
 Scores are recomputed in each round instead of stored: a product costs less than a shuffle of all scores. The blocks of
 queries are dealt to all candidate blocks; that is the stated query set against all rows, in blocks.
 
-Defined cases: vectors that are null, hold null or non-finite components, or have no vec_id take no part, nor do
-vectors of another length than the table's most common one; zero vectors score 0 and take part; a query never meets
+Vectors of different lengths have no inner product: each length is searched among its own, blocks hold one length.
+
+Defined cases: vectors that are null, empty, hold null or non-finite components, or have no vec_id take no part; zero vectors
+score 0 and take part; a query never meets
 its own vec_id (rows that repeat it included); repeated rows are candidates of their own, and of rows that repeat a query's
 vec_id the one with the least vector asks; with fewer than k candidates all are returned; an empty table gives an empty result; further columns are ignored.
 """
@@ -42,25 +44,26 @@ def whole_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("x"))
     finite = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0)).filter(finite)
-    width = rows.groupBy(F.size("x").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    rows = rows.filter(F.size("x") == (width["width"] if width else 0))
     return rows.select("vec_id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
 
 
-def _blocks(rows: DataFrame, blocks: int) -> DataFrame:
-    """(block, ids, data, lows): vectors packed into blocks, as little-endian 64-bit integers."""
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
-    schema = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("data", pa.binary()), ("lows", pa.binary())])
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """(width, block, blocks, ids, data, lows): vectors of one length packed into blocks, as little-endian 64-bit integers."""
+    rows = rows.withColumn("width", F.size("v"))
+    many = rows.groupBy("width").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))  # a row a length
+    dealt = rows.join(many, "width").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int"))
+    schema = pa.schema([("width", pa.int32()), ("block", pa.int32()), ("blocks", pa.int32()), ("ids", pa.binary()), ("data", pa.binary()),
+                        ("lows", pa.binary())])
 
     def pack(table: pa.Table) -> pa.Table:
         order = np.argsort(table["vec_id"].to_numpy(), kind="stable")
         values = table["v"].combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
         packed = [table["vec_id"].to_numpy()[order], values, table["low"].to_numpy()[order]]
-        return pa.Table.from_arrays([pa.array([table["block"][0].as_py()], pa.int32()),
-                                     *[pa.array([part.astype("<i8").tobytes()], pa.binary()) for part in packed]], schema=schema)
+        keys = [pa.array([table[name][0].as_py()], pa.int32()) for name in ("width", "block", "blocks")]
+        return pa.Table.from_arrays([*keys, *[pa.array([part.astype("<i8").tobytes()], pa.binary()) for part in packed]], schema=schema)
 
-    return dealt.select("block", "vec_id", "v", "low").groupBy("block").applyInArrow(
-        pack, "block int, ids binary, data binary, lows binary")
+    return dealt.select("width", "block", "blocks", "vec_id", "v", "low").groupBy("width", "block").applyInArrow(
+        pack, "width int, block int, blocks int, ids binary, data binary, lows binary")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -127,20 +130,20 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY
     """(query_id, rank, vec_id, score): the k best candidates of every row whose vec_id is divisible by `every`."""
     rows = cut_lineage(whole_vectors(vectors, scale), "topk-vectors")
     square = F.aggregate("v", F.lit(0.0), lambda total, c: total + c.cast("double") * c)
-    total, largest = rows.agg(F.count(F.lit(1)), F.max(square)).first()
+    largest = rows.agg(F.max(square)).first()[0]
     spread = int(largest or 0) + 1  # no inner product is larger: Cauchy-Schwarz
     queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     queries = cut_lineage(queries.withColumn("low", F.lit(-spread).cast("long")), "topk-queries")
-    c_blocks, q_blocks = max(1, -(-total // CANDIDATE_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
-    candidates = cut_lineage(_blocks(rows.withColumn("low", F.lit(0).cast("long")), c_blocks).select(
-        F.col("block").alias("c_block"), F.col("ids").alias("c_ids"), F.col("data").alias("c_data")), "topk-candidates")
+    candidates = cut_lineage(_blocks(rows.withColumn("low", F.lit(0).cast("long")), CANDIDATE_BLOCK).select(
+        "width", F.col("block").alias("c_block"), "blocks", F.col("ids").alias("c_ids"), F.col("data").alias("c_data")), "topk-candidates")
+    c_blocks = candidates.groupBy("width").agg(F.max("blocks").alias("c_blocks"))
 
     def pairs() -> DataFrame:
         """Each block of queries beside each block of candidates."""
-        asked = _blocks(queries, q_blocks).select(
-            F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "lows",
-            F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("c_block"))
-        return asked.join(candidates, "c_block").drop("c_block")
+        asked = _blocks(queries, QUERY_BLOCK).join(c_blocks, "width").select(
+            "width", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "lows",
+            F.explode(F.sequence(F.lit(0), F.col("c_blocks") - 1)).alias("c_block"))
+        return asked.join(candidates.drop("blocks"), ["width", "c_block"]).drop("width", "c_block")
 
     width = 2 * spread + 1
     while width > 1:

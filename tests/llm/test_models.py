@@ -1,6 +1,8 @@
 """Classifiers by held-out accuracy, searches on embeddings against brute force, and the pipeline."""
 
 import importlib
+import math
+import random
 import zlib
 
 import numpy as np
@@ -184,3 +186,39 @@ def test_stages_on_odd_tables(spark, make_docs, clashing):
                 assert (docs.count() > 0) == bool(rows), name
         assert (docs.count() > 0) == bool(rows)
         assert pipeline.quality_classifier(spark, make_docs(rows, clashing), SF).columns == before
+
+
+def test_vectors_of_every_length_take_part(spark):
+    random.seed(21)
+    long = [(k, [1.0, 0.01 * (k % 3), 0.0]) for k in range(0, 60)]
+    short = [(100 + k, [0.5, 0.5]) for k in range(21)] + [(200, [0.5, -0.5]), (201, [7.0])]
+    links = {r.vec_id: r for r in embedding_dedup.linked(table(spark, long + short)).collect()}
+    assert {links[k].n_links for k, _ in long} == {59} and {links[k].component_id for k, _ in long} == {0}
+    assert {links[100 + k].n_links for k in range(21)} == {20} and {links[100 + k].component_id for k in range(21)} == {100}
+    assert (links[200].n_links, links[200].component_id, links[201].n_links) == (0, 200, 0)
+    found = {}
+    for row in topk.top_k(table(spark, long + short)).collect():
+        found.setdefault(row.query_id, []).append((row["rank"], row.vec_id, row.score))
+    assert sorted(found) == [0, 20, 40, 100, 120, 200]
+    whole = {k: [math.floor(64 * c) for c in v] for k, v in long + short}
+    for query, rows in found.items():
+        best = sorted((-sum(a * b for a, b in zip(whole[query], v)), k) for k, v in whole.items() if k != query and len(v) == len(whole[query]))[:20]
+        assert sorted(rows) == [(place, k, -score) for place, (score, k) in enumerate(best, 1)]
+
+
+def test_recall_of_links_at_the_threshold(spark):
+    random_ = np.random.default_rng(4)
+    base = random_.standard_normal((1500, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    noise = random_.standard_normal(base.shape)
+    noise -= (noise * base).sum(1)[:, None] * base
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    turned = 0.903 * base + np.sqrt(1 - 0.903 ** 2) * noise
+    every = np.concatenate([base, turned]).astype(np.float32)
+    unit = every.astype(float) / np.linalg.norm(every.astype(float), axis=1)[:, None]
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.linked(table(spark, list(enumerate(every.tolist())))).collect()}
+    want = linked.sum(1)
+    assert want.sum() >= 2900 and all(got[k] <= want[k] for k in got)
+    assert sum(got.values()) >= 0.99 * want.sum()
