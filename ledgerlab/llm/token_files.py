@@ -15,6 +15,7 @@ are left out of the files.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -47,6 +48,12 @@ _ENDS = ".,;:!?"
 _BEFORE_ENDS = re.compile("[A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]\\Z")
 # Words that the normalizer leaves alone and the split keeps whole: small letters of Latin-1.
 _PLAIN = re.compile("[a-z\u00DF-\u00F6\u00F8-\u00FF]+\\Z")
+# The normalizer and the split that words are taken apart by.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 _LETTERS = {byte: letter for byte, letter in byte_letters().items()}
 
 
@@ -79,6 +86,11 @@ class _Words(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        if (spec["normalizer"], spec["pre_tokenizer"]) != (NORMALIZER, SPLIT) or any(token["normalized"] for token in spec["added_tokens"]):
+            raise ValueError(f"words of {path} can't be encoded one by one: its normalizer or split is another")
+        self.added = [token["content"].lower() for token in spec["added_tokens"]]
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
@@ -104,7 +116,9 @@ class _Words(dict):
     def encode(self, text: str) -> bytes:
         """Ids of a whole text."""
         if _latin(text):
-            text = text.lower()  # the same as the tokenizer's own lower case there, and fewer words to remember
+            low = text.lower()  # the same as the tokenizer's own lower case there, and fewer words to remember
+            # Added tokens are cut out of the text as it is written: beside one, or what lower case makes one, words stay.
+            text = text if any(token in low for token in self.added) else low
         words = _BLANKS.split(text) if _SEPARATORS.search(text) else text.split()
         return b"".join(map(self.__getitem__, words))
 
@@ -161,7 +175,8 @@ def token_starts(spark: SparkSession, path: str) -> DataFrame:
     counts = spark.read.parquet(path).select(
         F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), "n_tokens")
     files = counts.groupBy("file").agg(F.sum("n_tokens").alias("held"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")  # names ascend as text only up to five digits
+    earlier = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     files = files.select("file", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("offset"))
     within = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return (counts.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
