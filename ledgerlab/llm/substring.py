@@ -4,7 +4,8 @@
    (with the least doc_id of the batch), and dealt out by the hash's first bits to `parts`: a row holds all hashes of
    one batch for one part, packed seven bytes each, so a window costs some eight bytes of shuffle instead of a row.
 2. Spark groups by part. Within one the least doc_id of every window over the whole table is found, and each document
-   with a greater id gets its repeated hashes back. A passage in a third of all documents is one entry per batch.
+   with a greater id gets its repeated hashes back. A passage in a third of all documents is one entry per batch; its
+   other places in the batch are answers at once and are grouped with nothing.
 3. Documents meet their repeated hashes by doc_id, the windows become maximal intervals of words, and those go.
 
 The number of parts follows from the input's bytes, so that a part holds some three million windows at any scale.
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +56,8 @@ LOW = np.uint64((1 << 56) - 1)
 def _dealt(ids: np.ndarray, hashes: np.ndarray, shift: int) -> Iterator[tuple]:
     """Rows (part, ids, counts, hashes) of a batch: the least id of each hash, by part.
 
-    A hash that a smaller id of the batch has is known to be repeated; it goes to part -1 - part, which is not judged.
+    A hash that a smaller id of the batch has is known to be repeated: it is an answer already. All of a batch's answers are
+    one row whose part is a negative number of the batch's own, so they meet no other batch's.
     """
     order = np.lexsort((ids, hashes))
     ids, hashes = ids[order], hashes[order]
@@ -66,8 +69,10 @@ def _dealt(ids: np.ndarray, hashes: np.ndarray, shift: int) -> Iterator[tuple]:
         own, held = ids[pick], hashes[pick]
         if not len(own):
             continue
-        part = (held >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(own), np.int64)
-        part = -1 - part if known else part
+        if known:
+            part = np.full(len(own), -1 - (xxhash.xxh32_intdigest(own.tobytes() + held.tobytes()) >> 1))
+        else:
+            part = (held >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(own), np.int64)
         order = np.lexsort((own, part))
         own, held, part = own[order], held[order], part[order]
         edges = np.flatnonzero(np.diff(part, prepend=part[0] - 1))

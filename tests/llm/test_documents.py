@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on small texts with the odd cases in."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -84,6 +85,35 @@ def test_token_files(spark, make_docs, sample):
     assert sorted(r.doc_id for r in few) == [r for r in range(100, 104) if r in got]
 
 
+def test_words_equal_the_library_beside_added_tokens():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, words = Tokenizer.from_file(path), token_files._Words.load(path)
+    texts = ["a <|ENDOFTEXT|> b", "<|StartOfText|>", "X<|endoftext|>Y <|ENDOFTEXT|>z", "É <|ENDOFTEXT|>. Ok", "<|endoftext|><|ENDOFTEXT|>!", "a<|STARTOFTEXT|>"]
+    random.seed(6)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|STARTOFTEXT|>", "<|", "|>", "Word", "é", "Ñ", ".", " ", "\n", "ß", "1", "'S"]
+    for text in texts + ["".join(random.choices(parts, k=random.randint(1, 9))) for _ in range(3000)]:
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == ids_of(library, text), text
+
+
+def test_a_tokenizer_file_with_another_split_is_refused(tmp_path):
+    spec = json.loads(Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8"))
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "x"
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError):
+        token_files._Words(str(tmp_path / "t.json"))
+
+
+def test_starts_follow_the_numbers_of_files(spark, tmp_path):
+    for number, count in ((99_998, 3), (100_000, 5), (99_999, 4)):
+        row = spark.createDataFrame([(number, count, [1] * count)], "doc_id long, n_tokens long, ids array<int>").coalesce(1)
+        row.write.parquet(str(tmp_path / str(number)))
+        (tmp_path / "all").mkdir(exist_ok=True)
+        file = next((tmp_path / str(number)).glob("part-*.parquet"))
+        (tmp_path / "all" / f"part-{number:05d}-x.parquet").write_bytes(file.read_bytes())
+    got = {r.doc_id: r.start for r in token_files.checked(spark, str(tmp_path / "all")).collect()}
+    assert got == {99_998: 0, 99_999: 3, 100_000: 7}
+
+
 def test_token_files_are_written_as_documented(spark, make_docs):
     import pyarrow.parquet as pq
 
@@ -213,6 +243,19 @@ def near_copies(seed, count):
     return rows
 
 
+def test_a_window_of_most_documents_stays_in_small_groups(make_docs, monkeypatch):
+    monkeypatch.setattr(substring, "BATCH_WINDOWS", 400)
+    same = " ".join(f"s{k}" for k in range(13))
+    docs = make_docs([(k, f"{same} own{k}") for k in range(4000)]).repartition(4)
+    packed = substring.windows_by_part(substring.ids_and_texts(docs), 13, 58).collect()
+    entries = {}
+    for row in packed:
+        entries[row.part] = entries.get(row.part, 0) + len(row.hashes) // 7
+    assert sum(n for part, n in entries.items() if part < 0) > 3900 and max(entries.values()) < 1000
+    got = {r.doc_id: r.n_removed for r in substring.digest(substring.without_repeats(docs)).collect()}
+    assert got == {k: 13 if k else 0 for k in range(4000)}
+
+
 def test_near_duplicates(make_docs, clashing):
     rows = [row for row in ODD if row[0] not in (7, 8)] + near_copies(3, 150) + [(3000, "One"), (3001, "a B c d e f g")]
     got = minhash.groups(make_docs(rows, ("node", "same", "key", "signature"))).collect()
