@@ -30,6 +30,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,9 @@ KINDS = ("email", "ip", "card", "phone")
 GAIN = 0.001
 # A pattern has so much support by distinct strings and this confidence; a candidate has this score and so many digits (or an @).
 LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SCORE, LEAST_DIGITS = 12, 0.85, 0.85, 6
-# Longer tokens are no candidates for an identifier.
-LONGEST_TOKEN = 64
+# Words and strings that are longer stand in the graph by a 128-bit hash: it only asks whether two are equal. Of the token that an
+# entity begins within, so many characters before it are its context.
+LONG = 64
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -106,8 +108,13 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for kind, start, end in sorted(spans))
 
 
+def _name(text: str) -> str:
+    """A string as a node of the graph."""
+    return text if len(text) <= LONG else "#" + xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
 def _context(words: list[str]) -> str:
-    return " ".join(re.sub("[0-9]+", "0", word.lower()) for word in words)
+    return " ".join(_name(re.sub("[0-9]+", "0", word.lower())) for word in words)
 
 
 def mentions(text: str, spans: list[list[tuple[int, int]]]) -> list[tuple[int, str, list[str], int, int]]:
@@ -119,25 +126,25 @@ def mentions(text: str, spans: list[list[tuple[int, int]]]) -> list[tuple[int, s
 
     def contexts(start: int) -> list[str]:
         index = bisect.bisect_left(starts, start)
-        before = [text[max(a, b - LONGEST_TOKEN):b] for a, b in tokens[max(0, index - 2):index]]
+        before = [text[a:b] for a, b in tokens[max(0, index - 2):index]]
         if index and tokens[index - 1][1] > start:  # the entity begins within a token: what leads up to it is context
-            before[-1] = text[max(tokens[index - 1][0], start - LONGEST_TOKEN):start]
+            before[-1] = text[max(tokens[index - 1][0], start - LONG):start]
         return [_context(before[-n:]) for n in (1, 2) if len(before) >= n]
 
     taken = sorted((a, b, kind) for kind, own in enumerate(spans) for a, b in own)
-    out = [(kind, text[a:b], contexts(a), a, b) for a, b, kind in taken]
+    out = [(kind, _name(text[a:b]), contexts(a), a, b) for a, b, kind in taken]
     covered, reach = 0, -1
     for a, b in tokens:
         while covered < len(taken) and taken[covered][0] < b:
             reach = max(reach, taken[covered][1])
             covered += 1
-        if reach > a or b - a > LONGEST_TOKEN:
+        if reach > a:
             continue
         token = text[a:b]
         bare = token.strip(".,;:!?\"'()[]{}<>")
         if bare and ("@" in bare or len(_digits(bare)) >= LEAST_DIGITS):
             start = a + token.index(bare)
-            out.append((-1, bare, contexts(start), start, start + len(bare)))
+            out.append((-1, _name(bare), contexts(start), start, start + len(bare)))
     return out
 
 

@@ -364,6 +364,16 @@ def test_personal_data(make_docs, clashing):
     assert pii.found(make_docs([])).collect() == []
 
 
+def test_identifiers_of_any_length_are_found(make_docs):
+    rows = [(k, f"please reach hotline: +1 (55{k % 10}) 010-{1000 + k} today") for k in range(40)]
+    long = "K" * 50 + "-" + "0123456789" * 3
+    text = f"please reach hotline: {long} today"
+    rows += [(500, text), (501, f"elsewhere {long[:-1]} is no identifier")]
+    out = {r.doc_id: r for r in pii.found(make_docs(rows)).collect()}
+    start = text.index(long)
+    assert out[500].spans == f"phone:{start}:{start + len(long)}" and out[501].spans == ""
+
+
 def test_personal_data_behind_contexts_that_only_discoveries_vouch_for(make_docs):
     rows = [(k, f"please dial hotline: +1 555 010-{1000 + k} today") for k in range(200)]
     for k in range(20):  # the first round finds these behind the hotline; they alone vouch for the desk, and those for the front
