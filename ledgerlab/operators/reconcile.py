@@ -105,9 +105,9 @@ class Reconciliation:
     @cached_property
     def pairs(self) -> DataFrame:
         """One row per key with the company side `e` and the authority side `s`."""
-        theirs_once = _packed(self.theirs, KEYS, "s")
-        pairs = _packed(self.ours, KEYS, "e").join(theirs_once, KEYS, "full_outer").withColumn("periodo_hallazgo", F.lit(""))
-        return _rescue(pairs, theirs_once) if self.late else pairs
+        ours_once, theirs_once = _packed(self.ours, KEYS, "e"), _packed(self.theirs, KEYS, "s")
+        pairs = ours_once.join(theirs_once, KEYS, "full_outer").withColumn("periodo_hallazgo", F.lit(""))
+        return _rescue(pairs, ours_once, theirs_once) if self.late else pairs
 
     def _alone(self, letter: str) -> DataFrame:
         """`pairs` of a scenario that only one side has: of the other side the keys are enough."""
@@ -246,22 +246,26 @@ def _within_coverage(pairs: DataFrame, days: DataFrame) -> DataFrame:
     return out.filter(keep).select(pairs.columns)
 
 
-def _rescue(pairs: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Fill the authority side of company-only rows from the proposal of their issue month."""
+def _rescue(pairs: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Fill the authority side of company-only rows from the proposal of their issue month.
+
+    Only rows that ask for another month, those issued within the twelve months before their period and not matched in it,
+    are joined again; all other pairs stay where they are.
+    """
     issued = F.date_format(F.col("e.fecha_emision"), "yyyyMM")
     first = F.to_date(F.concat("periodo", F.lit("01")), "yyyyMMdd")
     oldest = F.date_format(F.add_months(first, -LATE_MONTHS), "yyyyMM")
-    lost = F.col("s").isNull() & (issued < F.col("periodo")) & (issued >= oldest)
+    late = F.coalesce((issued < F.col("periodo")) & (issued >= oldest), F.lit(False))
+    settled = pairs.filter(F.col("s").isNotNull() | ~late)
+    asking = ours.filter(late).join(theirs.select(KEYS), KEYS, "left_anti").withColumn("mes_buscado", issued)
     found = theirs.select(
-        F.col("periodo").alias("f_mes"), *[F.col(k).alias(f"f_{k}") for k in L.KEY], F.col("s").alias("f_s"))
-    asked = pairs.withColumn("mes_buscado", F.when(lost, issued))
-    match = asked["mes_buscado"] == found["f_mes"]
+        F.col("periodo").alias("mes_buscado"), *[F.col(k).alias(f"f_{k}") for k in L.KEY], F.col("s"))
+    match = asking["mes_buscado"] == found["mes_buscado"]
     for k in L.KEY:
-        match = match & (asked[k] == found[f"f_{k}"])
-    # Rows that ask nothing match nothing; the join is dealt by the voucher's key too, so they stay spread.
-    return asked.join(found, match, "left").select(
-        "periodo", *L.KEY, "e", F.coalesce("s", "f_s").alias("s"),
-        F.when(F.col("f_s").isNotNull(), F.col("mes_buscado")).otherwise("").alias("periodo_hallazgo"))
+        match = match & (asking[k] == found[f"f_{k}"])
+    month = F.when(F.col("s").isNotNull(), asking["mes_buscado"]).otherwise("")
+    rescued = asking.join(found, match, "left").select("periodo", *L.KEY, "e", "s", month.alias("periodo_hallazgo"))
+    return settled.unionByName(rescued)
 
 
 def _scenarios(pairs: DataFrame, book: str) -> DataFrame:
