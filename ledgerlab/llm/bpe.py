@@ -167,25 +167,42 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
+# Ids that leave a task at once where they are asked for.
+IDS_AT_ONCE = 1 << 20
+
+
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, then decoded from the ids alone.
 
-    Ids live only inside the task, a text at a time, so memory is bounded by the longest text of a batch.
+    Ids live only inside the task, a text at a time, so memory is bounded by the longest text of a batch. With `with_ids` a
+    further column `ids` has them, in small batches.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
-                        ("decoded_sha256", pa.string())])
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    schema = pa.schema(fields + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(path)
         for batch in batches:
-            counts, shas, texts = [], [], []
-            for value in batch.column("text"):
+            rows, held = [], 0
+            for doc_id, value in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 ids = codec.encode(value.as_py())
-                counts.append(len(ids) // 4)
-                shas.append(hashlib.sha256(ids).hexdigest())
-                texts.append(hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(shas, pa.string()),
-                 pa.array(texts, pa.string())], schema=schema)
-
-    return ids_and_texts(docs).mapInArrow(digest, DIGESTS)
+                decoded = hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest()
+                rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), decoded, *([ids] if with_ids else [])))
+                held += len(ids) // 4 if with_ids else 0
+                if held >= IDS_AT_ONCE:
+                    yield _rows(rows, schema)
+                    rows, held = [], 0
+            if rows:
+                yield _rows(rows, schema)
+
+    return ids_and_texts(docs).mapInArrow(digest, DIGESTS + (", ids array<int>" if with_ids else ""))
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    arrays = [pa.array([value.as_py() for value in columns[0]], pa.int64())]
+    arrays += [pa.array(column, field.type) for column, field in zip(columns[1:4], list(schema)[1:4], strict=True)]
+    if len(columns) > 4:
+        offsets = np.concatenate([[0], np.cumsum(columns[1])]).astype(np.int32)
+        arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(columns[4]), "<i4"), pa.int32())))
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)

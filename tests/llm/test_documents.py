@@ -58,6 +58,16 @@ def test_bpe_columns_round_trip(make_docs):
     assert all(r.decoded == r.text for r in out) and out[0].ids
 
 
+def test_bpe_rows_with_ids(make_docs, monkeypatch):
+    monkeypatch.setattr(bpe, "IDS_AT_ONCE", 50)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = bpe.round_trip(make_docs(ODD), path, with_ids=True).collect()
+    plain = bpe.round_trip(make_docs(ODD), path).collect()
+    assert [tuple(r)[:4] for r in out] == [tuple(r) for r in plain]
+    assert all(r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(np.asarray(r.ids, "<u4").tobytes()).hexdigest() for r in out)
+    assert bpe.round_trip(make_docs([]), path, with_ids=True).collect() == []
+
+
 def test_merge_skips_stale_entries():
     codec = bpe.Codec.load(public_tokenizers.path("byte_bpe_50k.json"))
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
