@@ -34,7 +34,7 @@ from ledgerlab.llm.graph import components
 from ledgerlab.llm.minhash import forest
 from ledgerlab.session import cut_lineage
 
-THRESHOLD, RECALL = 0.9, 0.995
+THRESHOLD, RECALL = 0.9, 0.99
 # Vectors that codebooks and the number of visits are fitted on at most, and codewords of a half at most.
 SAMPLE, CODEWORDS = 20_000, 256
 NODES_PER_CELL = 50
@@ -105,8 +105,8 @@ def fit(sample: np.ndarray, words: int, threshold: float = THRESHOLD, recall: fl
     reach = a[np.arange(len(some)), own // len(right)] + b[np.arange(len(some)), own % len(right)]
     # Cells that come no later than the turned vector's: counted in a sorted list of the grid's sums.
     ranks = [int(((x[:, None] + y[None]) <= far + 1e-12).sum()) for x, y, far in zip(a, b, reach, strict=True)]
-    # A link is found from either end, but what one end misses the other misses often too: each is to find it by itself.
-    return Index(left, right, int(np.quantile(ranks, recall, method="higher")))
+    # A link is found from either end; measured on vectors turned at random, half of what one end misses the other finds.
+    return Index(left, right, int(np.quantile(ranks, 1 - 2 * (1 - recall), method="higher")))
 
 
 def nodes_of(vectors: DataFrame) -> DataFrame:
@@ -120,34 +120,51 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
 def _matrix(column) -> np.ndarray:
     """Unit vectors of a list column, in doubles."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    values = flat.reshape(len(column), -1)
+    return _units(flat.reshape(len(column), -1))
+
+
+def _units(values: np.ndarray) -> np.ndarray:
     values = values / np.abs(values).max(1, initial=1e-300)[:, None]  # else squares of tiny or huge ones are lost
     return values / np.linalg.norm(values, axis=1)[:, None]
 
 
-_PLACE = pa.struct([("node", pa.int64()), ("many", pa.int64()), ("unit", pa.binary()), ("cell", pa.int32()),
+def _packed(values: np.ndarray) -> list[bytes]:
+    """Vectors as bytes: of single precision where that loses nothing, else of double."""
+    short = values.astype("<f4")
+    exact = (short.astype(float) == values).all(1)
+    return [(a if whole else b).tobytes() for whole, a, b in zip(exact, short, values.astype("<f8"), strict=True)]
+
+
+def _unpacked(held: list[bytes], width: int) -> np.ndarray:
+    """Unit vectors, in doubles, of what `_packed` gave."""
+    if all(len(value) == 4 * width for value in held):
+        return _units(np.frombuffer(b"".join(held), "<f4").reshape(-1, width).astype(float))
+    return _units(np.stack([np.frombuffer(value, "<f4" if len(value) == 4 * width else "<f8").astype(float) for value in held]))
+
+
+_PLACE = pa.struct([("node", pa.int64()), ("many", pa.int64()), ("vector", pa.binary()), ("cell", pa.int32()),
                     ("visits", pa.list_(pa.int32()))])
 
 
 def _placed(nodes: DataFrame, index: Index) -> DataFrame:
-    """(node, many, unit, cell, visits) of every node."""
+    """(node, many, vector, cell, visits) of every node."""
     schema = pa.schema(list(_PLACE))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            units = _matrix(batch.column("v"))
+            units, raw = _matrix(batch.column("v")), batch.column("v").flatten().to_numpy(zero_copy_only=False)
             a, b = index.distances(units)
             visits = [nearest_cells(x, y, index.visits) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("many"), pa.array([unit.tobytes() for unit in units], pa.binary()),
+                [batch.column("node"), batch.column("many"), pa.array(_packed(raw.reshape(len(units), -1)), pa.binary()),
                  pa.array(index.cells(units), pa.int32()), pa.array(visits, pa.list_(pa.int32()))], schema=schema)
 
-    return nodes.mapInArrow(place, "node long, many long, unit binary, cell int, visits array<int>")
+    return nodes.mapInArrow(place, "node long, many long, vector binary, cell int, visits array<int>")
 
 
-def _met(placed: DataFrame, threshold: float) -> DataFrame:
+def _met(placed: DataFrame, threshold: float, width: int) -> DataFrame:
     """(a, b, n): links of forests with n null, and what a block adds to the links of node a with b null."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
@@ -157,7 +174,7 @@ def _met(placed: DataFrame, threshold: float) -> DataFrame:
                 sides = []
                 for name in ("residents", "visitors"):
                     side = batch.column(name).slice(at, 1).flatten()
-                    units = np.frombuffer(b"".join(side.field("unit").to_pylist()), "<f8").reshape(len(side), -1)
+                    units = _unpacked(side.field("vector").to_pylist(), width)
                     sides.append((side, units, side.field("node").to_numpy(), side.field("many").to_numpy()))
                 (residents, r_units, r_ids, r_many), (visitors, v_units, v_ids, v_many) = sides
                 linked = v_units @ r_units.T >= threshold
@@ -184,9 +201,8 @@ def _met(placed: DataFrame, threshold: float) -> DataFrame:
                      pa.array([b for _, b in links] + [None] * len(counts), pa.int64()),
                      pa.array([None] * len(links) + list(counts.values()), pa.int64())], schema=schema)
 
-    one = F.struct("node", "many", "unit", "cell", "visits")
-    residents = placed.select("cell", "node", one.alias("held"))
-    visitors = placed.select(F.explode("visits").alias("at"), "node", one.alias("held"))
+    residents = placed.select("cell", "node", F.struct("node", "many", "vector", "visits").alias("held"))
+    visitors = placed.select(F.explode("visits").alias("at"), "node", F.struct("node", "many", "vector", "cell").alias("held"))
     full = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("r_blocks"))
     busy = visitors.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("v_blocks"))
     sizes = full.join(busy, full["cell"] == busy["at"]).drop("at")
@@ -210,12 +226,12 @@ def _forest(linked: np.ndarray, v_at: np.ndarray, r_at: np.ndarray, ids: np.ndar
     return [(int(ids[used[i]]), int(ids[used[root]])) for i, root in forest(square | square.T)]
 
 
-def _links_of(nodes: DataFrame, total: int, threshold: float, recall: float) -> DataFrame:
+def _links_of(nodes: DataFrame, width: int, total: int, threshold: float, recall: float) -> DataFrame:
     """What `_met` finds among nodes of one length."""
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     words = int(np.clip(np.sqrt(total / NODES_PER_CELL), LEAST_CODEWORDS, CODEWORDS))
     index = fit(_matrix(sample), words, threshold, recall)
-    return cut_lineage(_met(cut_lineage(_placed(nodes, index), "vector-cells"), threshold), "vector-links")
+    return cut_lineage(_met(cut_lineage(_placed(nodes, index), "vector-cells"), threshold, width), "vector-links")
 
 
 def linked(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -223,7 +239,7 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = REC
     nodes = cut_lineage(nodes_of(vectors), "vectors")
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("v"))
     lengths = nodes.groupBy(F.size("v").alias("width")).count().filter("count > 1").collect()  # a row a length
-    met = [_links_of(nodes.filter(F.size("v") == row["width"]), row["count"], threshold, recall) for row in sorted(lengths)]
+    met = [_links_of(nodes.filter(F.size("v") == row["width"]), row["width"], row["count"], threshold, recall) for row in sorted(lengths)]
     if met:
         links = reduce(DataFrame.unionByName, met)
         counts = links.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
