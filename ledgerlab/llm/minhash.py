@@ -11,9 +11,9 @@ of `BITS` bits each; the distance of two signatures is the number of values that
    from the percentage asked for, so that this holds at any (10 chunks of 7 at 85, 12 of 6 at 80).
 3. Nodes that share a key are compared by signature distance, within the task and never as rows; what remains is one
    spanning forest per key. Keys with many nodes are split into blocks, and blocks meet in pairs.
-4. The forests' components are candidate groups: each node's whole set is shipped once, to its group, and all pairs of
-   the group are verified exactly (by products of 0/1 matrices for larger groups, in blocks). Links leave as forests, and their
-   components are the result.
+4. The forests' components are candidate groups: each node's whole set is compared exactly with that of its group's least
+   node. What links there is settled, as only components are asked for; the others are verified against all of the group (by
+   products of 0/1 matrices for larger groups, in pairs of blocks). Links leave as forests, and their components are the result.
 
 Defined cases: texts with fewer words than `width` are one shingle, the whole sequence; null and empty texts have an
 empty set, link with nothing and stand for themselves; rows without doc_id link with nothing, their component is null

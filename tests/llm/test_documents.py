@@ -286,6 +286,22 @@ def test_near_duplicates_in_blocks(make_docs, monkeypatch):
     assert sorted(map(tuple, minhash.groups(make_docs(rows)).collect())) == sorted(brute_groups(rows))
 
 
+def test_what_links_with_the_least_of_a_group_meets_only_the_others(spark, make_docs):
+    """Sixty texts that all link with the first, and a chain that hangs on one of them without linking with the first."""
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join([*base[:3 * k], f"own{k}", *base[3 * k + 1:]])) for k in range(60)]
+    chained = rows[59][1].split()
+    for step in range(3):
+        chained = [*chained[:20 + 40 * step], *(f"far{step}{k}" for k in range(4)), *chained[24 + 40 * step:]]
+        rows.append((100 + step, " ".join(chained)))
+    docs = make_docs(rows)
+    groups = spark.createDataFrame([(k, 0) for k, _ in rows], "node long, component long")
+    links = [tuple(r) for r in minhash.verified_links(docs, groups).collect()]
+    assert len(links) <= 3 * len(rows)  # no forest over the settled ones among themselves
+    assert {min(a, b) for a, b in links if max(a, b) < 60} == {0}
+    assert sorted(map(tuple, minhash.groups(docs).collect())) == sorted(brute_groups(rows))
+
+
 def test_the_pipeline_links_at_80_percent(spark, make_docs):
     import corpus_pipeline
 
