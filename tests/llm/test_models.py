@@ -222,3 +222,30 @@ def test_recall_of_links_at_the_threshold(spark):
     want = linked.sum(1)
     assert want.sum() >= 2900 and all(got[k] <= want[k] for k in got)
     assert sum(got.values()) >= 0.99 * want.sum()
+
+
+def test_toxicity_scores_of_a_fixed_model_by_a_plain_loop(make_docs):
+    """Odd texts too: each score from the compressed lengths of every window, counted one by one."""
+    from ledgerlab.llm.tables import ids_and_texts
+
+    ordinary, toxic = b" the of and to in that it was for on are with as they at ", b" vileword badword uglything the of and to in that it was for on are with as they at "
+    model = toxicity.Model(ordinary, toxic, (-1.0, 0.5, 0.1, 2.0, -0.2, 0.3, 0.2, 0.1, 0.1, 0.4), (0.0,) * 9, (1.0,) * 9)
+    texts = [None, "", "   ", "the cat sat on the mat with vileword and badword in that place", "VileWord! badword? uglything", "x" * 30000, "word " * 9000,
+             "one two three vileword five six seven", "one two three vileword five six seven"]
+    got = toxicity.gains(ids_and_texts(make_docs(list(enumerate(texts)))), ordinary, toxic).collect()
+    scores = model.score(np.asarray([row.gains for row in got]))
+    for row, score in zip(got, scores, strict=True):
+        words = (texts[row.doc_id] or "").lower().encode().split()
+        saved = []
+        for at in range(0, max(len(words), 1), 6):
+            window = (b" " + b" ".join(words[at:at + 6]) if words else b"") + toxicity.TAIL
+            saved.append(len(toxicity._compressor(ordinary).compress(window)) - len(toxicity._compressor(toxic).compress(window)))
+            if len(saved) > 200 and set(words) == {b"word"}:  # all whole windows of one repeated word are alike
+                saved += [saved[0]] * (len(range(0, len(words), 6)) - len(saved))
+                break
+        numbers = [max(saved), min(saved), sum(saved) / len(saved), math.log1p(len(saved)), *[math.log1p(sum(s >= step for s in saved)) for step in range(1, 6)]]
+        assert np.allclose(row.gains, numbers), row.doc_id
+        want = 1 / (1 + math.exp(-(model.weights[0] + sum(w * n for w, n in zip(model.weights[1:], numbers)))))
+        assert abs(score - want) < 1e-9, row.doc_id
+    by_id = {row.doc_id: score for row, score in zip(got, scores, strict=True)}
+    assert by_id[4] > by_id[0] == by_id[1] == by_id[2] and by_id[7] == by_id[8]
