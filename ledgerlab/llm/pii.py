@@ -1,7 +1,8 @@
 """Personal data: four fixed kinds, and identifiers that contexts learnt from them point at.
 
-`scan` reads each whole text once and gives the base spans (email, ip, card, phone), and every other token that holds a
-digit or an @ as a candidate, each with its left contexts: the one and the two words before it.
+`scan` reads each whole text once and gives the base spans (email, ip, card, phone), and as candidates every other token
+that holds an @ or six digits, and every run of shorter digit groups with six digits in all ('020 7946 0958', '(555) 123
+4567'; one space apart, of any number of groups). Each has its left contexts: the one and the two words before it.
 
 `patterns` bootstraps from the base entities as seeds. Contexts and distinct entity strings form a graph. A context's
 confidence for a kind is the sum of its strings' scores for that kind over all strings seen with it (smoothed); a
@@ -54,6 +55,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
 _DIGIT = re.compile(r"[0-9]")
+# Characters of a digit group, how a further one begins, and what ends a run of them.
+_GROUP, _OPENS, _ENDS = frozenset("0123456789().-+"), tuple("0123456789("), ".,;:!?\"'[]{}<>"
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -117,8 +120,20 @@ def _context(words: list[str]) -> str:
     return " ".join(_name(re.sub("[0-9]+", "0", word.lower())) for word in words)
 
 
+def _groups(text: str, run: list[tuple[int, int]]) -> tuple[int, int] | None:
+    """The span of neighbouring digit groups, if they are several and have enough digits."""
+    if len(run) < 2:
+        return None
+    start, end = run[0][0], run[-1][1]
+    if text[start] == "(" and text.find(")", start, end) in (-1, end - 1):  # brackets around the whole run
+        start += 1
+    if text[end - 1] == ")" and text.count(")", start, end) > text.count("(", start, end):
+        end -= 1
+    return (start, end) if len(_digits(text[start:end])) >= LEAST_DIGITS else None
+
+
 def mentions(text: str, spans: list[list[tuple[int, int]]]) -> list[tuple[int, str, list[str], int, int]]:
-    """(kind or -1, string, contexts, start, end) of base entities and of other tokens that may be identifiers."""
+    """(kind or -1, string, contexts, start, end) of base entities and of other tokens or digit groups that may be identifiers."""
     if not _ANY.search(text):
         return []
     tokens = [m.span() for m in _TOKEN.finditer(text)]
@@ -134,17 +149,37 @@ def mentions(text: str, spans: list[list[tuple[int, int]]]) -> list[tuple[int, s
     taken = sorted((a, b, kind) for kind, own in enumerate(spans) for a, b in own)
     out = [(kind, _name(text[a:b]), contexts(a), a, b) for a, b, kind in taken]
     covered, reach = 0, -1
+    run: list[tuple[int, int]] = []  # digit groups one space apart, each too short to be a candidate
+
+    def close() -> None:
+        whole = _groups(text, run)
+        if whole:
+            out.append((-1, _name(text[slice(*whole)]), contexts(whole[0]), *whole))
+        run.clear()
+
     for a, b in tokens:
+        if run and text[run[-1][1]:a] != " ":  # more than a space apart, or punctuation behind the last group
+            close()
         while covered < len(taken) and taken[covered][0] < b:
             reach = max(reach, taken[covered][1])
             covered += 1
         if reach > a:
+            close()
             continue
         token = text[a:b]
         bare = token.strip(".,;:!?\"'()[]{}<>")
         if bare and ("@" in bare or len(_digits(bare)) >= LEAST_DIGITS):
             start = a + token.index(bare)
             out.append((-1, _name(bare), contexts(start), start, start + len(bare)))
+        group = token.lstrip("\"'[{<").rstrip(_ENDS)
+        if not _GROUP.issuperset(group) or not 0 < len(_digits(group)) < LEAST_DIGITS:
+            close()
+            continue
+        if run and not token.startswith(_OPENS):
+            close()
+        start = b - len(token.lstrip("\"'[{<"))
+        run.append((start, start + len(group)))
+    close()
     return out
 
 

@@ -400,6 +400,28 @@ def test_identifiers_of_any_length_are_found(make_docs):
     assert out[500].spans == f"phone:{start}:{start + len(long)}" and out[501].spans == ""
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("dial hotline: 020 7946 0958 today", ["020 7946 0958"]), ("dial (555) 123 4567.", ["(555) 123 4567"]),
+    ("see (12 345 678) now", ["12 345 678"]), ("12 34 (56) 7)", ["12 34 (56) 7"]), ("a 12, 345 678 b", ["345 678"]),
+    ("x 1 2 3 4 5 6", ["1 2 3 4 5 6"]), ("y 12 345", []), ("a 123456 12 b", ["123456"]), ("12  345 678", ["345 678"]),
+    ("tel 55 01-07 77, 99 88 77 66!", ["55 01-07 77", "99 88 77 66"]), ('"12 34 56"', ["12 34 56"]), ("12 - 3456", []),
+    ("+1 23 45 67 8", ["+1 23 45 67 8"]), ("12 34 56@x 78 90 12", ["56@x", "78 90 12"]), ("", []), ("1 " * 50, [("1 " * 50).strip()]),
+    ("1 2 10.0.0.1 3 4 5 6 7 8", ["3 4 5 6 7 8"]), ("( ) . - + ()", []), ("1 2 3 4 5 6\n7", ["1 2 3 4 5 6"]),
+])
+def test_runs_of_digit_groups_are_candidates(text, want):
+    assert [text[a:b] for kind, _, _, a, b in pii.mentions(text, pii.base_spans(text)) if kind < 0] == want
+
+
+def test_identifiers_in_groups_are_found(make_docs):
+    rows = [(k, f"please dial hotline: +1 (55{k % 10}) 010-{1000 + k} today") for k in range(80)]
+    rows += [(500, "please dial hotline: 020 7946 0958 today"), (501, "please dial hotline: (555) 123 4567."),
+             (502, "order number 020 7946 0958 shipped"), (503, "please dial hotline: 12 345 today"), (503, "please dial hotline: 12 34 56")]
+    out = sorted((r.doc_id, r.spans) for r in pii.found(make_docs(rows)).collect() if r.doc_id >= 500)
+    assert out == [(500, "phone:21:34"), (501, "phone:21:35"), (502, ""), (503, ""), (503, "phone:21:29")]
+    clean = {r.doc_id: r.text for r in pii.redacted(make_docs(rows)).collect()}
+    assert clean[500] == "please dial hotline: <phone> today" and clean[501] == "please dial hotline: <phone>."
+
+
 def test_personal_data_behind_contexts_that_only_discoveries_vouch_for(make_docs):
     rows = [(k, f"please dial hotline: +1 555 010-{1000 + k} today") for k in range(200)]
     for k in range(20):  # the first round finds these behind the hotline; they alone vouch for the desk, and those for the front
