@@ -6,10 +6,15 @@ A query renders its files in drops below the shared folder, runs the stream over
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 from datetime import date
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlab.demo import ledgers as D
@@ -35,9 +40,36 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes one file for each run of rows with the same (carpeta, nombre); an inner function, so workers need no module of ours."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(folder)
+        made, count = set(), 0
+        rows = (row for batch in batches for row in zip(*(batch[k].to_pylist() for k in range(3)), strict=True))
+        for (place, name), lines in groupby(rows, key=itemgetter(0, 1)):
+            if place not in made:
+                system.create_dir(f"{base}/{place}")
+                made.add(place)
+            with system.open_output_stream(f"{base}/{place}/{name}") as out:
+                out.write("".join(f"{value or ''}\n" for _, _, value in lines).encode())
+            count += 1
+        yield pa.RecordBatch.from_pydict({"n": [count]})
+
+    return write
+
+
 def as_files(rows: DataFrame, folder: str) -> None:
-    """A file of its own for each (nombre, value), in a folder named by it."""
-    rows.select("nombre", "value").write.partitionBy("nombre").text(folder)
+    """A file of its own for each nombre, its values as lines, in one of 64 folders.
+
+    Tasks write the files at their place: Spark's writers would make a folder for each, and move all of them in the
+    driver. A task that is repeated writes the same files again.
+    """
+    place = F.concat(F.lit("c"), F.pmod(F.crc32("nombre"), F.lit(64)).cast("string")).alias("carpeta")
+    named = rows.select(F.coalesce("nombre", F.lit("sin-nombre")).alias("nombre"), "value").select(place, "nombre", "value")
+    dealt = named.repartition("nombre").sortWithinPartitions("carpeta", "nombre", "value")
+    uri = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(folder).toUri()
+    target = uri.getPath() if uri.getScheme() in (None, "file") else folder.replace("s3a://", "s3://", 1)
+    dealt.mapInArrow(_writer(target), "n long").agg(F.sum("n")).collect()
 
 
 # Every document as a file: a third with the wrong ending, some of no known kind, copies of one text in both drops.
@@ -46,10 +78,6 @@ _BYTES = "concat(CASE WHEN doc_id % 11 = 5 THEN 'GIF89a ' ELSE '%PDF-1.4 ' END,
 _DROP = "CASE WHEN n_chars % 2 = 0 THEN 0 ELSE 1 END"
 
 
-def _file_name() -> Column:
-    return F.regexp_extract("path", "nombre=([^/]+)", 1)
-
-
 def files(spark: SparkSession, sf: str) -> DataFrame:
     return D.table(spark, sf, "documents").selectExpr(f"{_NAME} AS nombre", f"{_BYTES} AS value", f"{_DROP} AS entrega")
 
@@ -69,8 +97,8 @@ def attachment_stream(spark: SparkSession, sf: str) -> DataFrame:
     inbox, store, rows = f"{folder}/inbox", f"{folder}/store", files(spark, sf)
     for drop in (0, 1):
         as_files(rows.filter(F.col("entrega") == drop), f"{inbox}/{drop}")
-        jobs.ingest_attachments_stream(spark, inbox, store, 7, MAX_BYTES, f"{folder}/checkpoint", _file_name()).awaitTermination()
-    again = feeds.read_attachments(spark, f"{inbox}/1", name=_file_name())
+        jobs.ingest_attachments_stream(spark, inbox, store, 7, MAX_BYTES, f"{folder}/checkpoint").awaitTermination()
+    again = feeds.read_attachments(spark, f"{inbox}/1")
     jobs.store_attachments(store)(jobs.checked(again, 7, MAX_BYTES), 1)
     return jobs.attachment_log(spark, store)
 
@@ -80,7 +108,7 @@ def read_files(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as files, those of a middling size, with the hash of their contents."""
     folder = _folder(spark, "files")
     as_files(files(spark, sf), folder)
-    found = feeds.read_attachments(spark, folder, lengths=(200, 5000), name=_file_name())
+    found = feeds.read_attachments(spark, folder, lengths=(200, 5000))
     return found.select("nombre", "length", F.sha2("content", 256).alias("sha256"))
 
 
