@@ -18,6 +18,13 @@ BINARY = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY
 RATES = "fecha DATE, compra DECIMAL(7,3), venta DECIMAL(7,3), fuente STRING, updated_at TIMESTAMP"
 
 
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def _tasks(spark: SparkSession) -> int:
+    return 8 * spark.sparkContext.defaultParallelism
+
+
 def checked(files: DataFrame, company_id: int, max_bytes: int) -> DataFrame:
     """Files (path, nombre, length, content) of a company with their hash and what is wrong with them."""
     return validate_attachment(files, max_bytes).withColumn("company_id", F.lit(company_id))
@@ -32,7 +39,8 @@ def store_attachments(store: str, buckets: int = hashes.BUCKETS, merge_after: in
     """
     def store_batch(batch: DataFrame, batch_id: int) -> None:
         session, part, key = batch.sparkSession, f"lote={batch_id}", ["company_id", "sha256"]
-        accepted = batch.withColumn("content", F.when(F.col("ok"), F.col("content")))
+        # Spark opens some 32 small files a task; a part for each of those would cost more than its files.
+        accepted = batch.withColumn("content", F.when(F.col("ok"), F.col("content"))).coalesce(_tasks(session))
         accepted.write.mode("overwrite").parquet(f"{store}/entrada")
         entered = session.read.parquet(f"{store}/entrada")
         valid = entered.filter("ok")
@@ -66,6 +74,8 @@ def ingest_attachments_stream(
     stream state. `name` is a file's name where its path does not end in it.
     """
     files = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(inbox)
+    # A stream lists a batch's files again, under its session's settings while it runs: by default with a task for each.
+    spark.conf.set(LISTING, min(int(spark.conf.get(LISTING)), _tasks(spark)))
     return (checked(named_files(files, name), company_id, max_bytes).writeStream.foreachBatch(store_attachments(store)).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 

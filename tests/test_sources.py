@@ -400,3 +400,13 @@ def test_datasets_are_stored_beyond_the_limit_of_a_download(spark, tmp_path, mon
     monkeypatch.setattr(detail_queries, "DOWNLOAD_ROWS", 10)
     found = detail_queries.materialized(spark, str(tmp_path)).collect()
     assert sorted((r.columna, r.filas) for r in found) == [("dia", 30), ("o_orderkey", 30), ("o_orderpriority", 30), ("precio", 30)]
+
+
+def test_a_batch_of_many_files_is_few_parts(spark, tmp_path):
+    as_files(spark.range(4000).selectExpr("concat('doc-', id, '.pdf') AS nombre", "concat('%PDF-1.4 ', repeat('x', 90), id) AS value"), str(tmp_path / "in"))
+    store = str(tmp_path / "store")
+    many = 8 * spark.sparkContext.defaultParallelism
+    files = feeds.read_attachments(spark, str(tmp_path / "in")).repartition(2 * many)
+    jobs.store_attachments(store)(jobs.checked(files, 7, 10_000), 0)
+    assert len(list((tmp_path / "store/entrada").glob("part-*.parquet"))) <= many
+    assert jobs.attachment_log(spark, store).filter("estado = 'guardado'").count() == 4000
