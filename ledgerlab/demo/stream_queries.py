@@ -41,17 +41,15 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Writes one file for each run of rows with the same (carpeta, nombre); an inner function, so workers need no module of ours."""
+    """Writes one file for each run of rows with the same nombre; an inner function, so workers need no module of ours."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = fs.FileSystem.from_uri(folder)
-        made, count = set(), 0
-        rows = (row for batch in batches for row in zip(*(batch[k].to_pylist() for k in range(3)), strict=True))
-        for (place, name), lines in groupby(rows, key=itemgetter(0, 1)):
-            if place not in made:
-                system.create_dir(f"{base}/{place}")
-                made.add(place)
-            with system.open_output_stream(f"{base}/{place}/{name}") as out:
-                out.write("".join(f"{value or ''}\n" for _, _, value in lines).encode())
+        system.create_dir(base)
+        rows = (row for batch in batches for row in zip(batch["nombre"].to_pylist(), batch["value"].to_pylist(), strict=True))
+        count = 0
+        for name, lines in groupby(rows, key=itemgetter(0)):
+            with system.open_output_stream(f"{base}/{name}") as out:
+                out.write("".join(f"{value or ''}\n" for _, value in lines).encode())
             count += 1
         yield pa.RecordBatch.from_pydict({"n": [count]})
 
@@ -59,14 +57,13 @@ def _writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def as_files(rows: DataFrame, folder: str) -> None:
-    """A file of its own for each nombre, its values as lines, in one of 64 folders.
+    """A file of its own for each nombre, its values as lines, in one folder: paths sort as names do.
 
     Tasks write the files at their place: Spark's writers would make a folder for each, and move all of them in the
     driver. A task that is repeated writes the same files again.
     """
-    place = F.concat(F.lit("c"), F.pmod(F.crc32("nombre"), F.lit(64)).cast("string")).alias("carpeta")
-    named = rows.select(F.coalesce("nombre", F.lit("sin-nombre")).alias("nombre"), "value").select(place, "nombre", "value")
-    dealt = named.repartition("nombre").sortWithinPartitions("carpeta", "nombre", "value")
+    named = rows.select(F.coalesce("nombre", F.lit("sin-nombre")).alias("nombre"), "value")
+    dealt = named.repartition("nombre").sortWithinPartitions("nombre", "value")
     uri = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(folder).toUri()
     target = uri.getPath() if uri.getScheme() in (None, "file") else folder.replace("s3a://", "s3://", 1)
     dealt.mapInArrow(_writer(target), "n long").agg(F.sum("n")).collect()

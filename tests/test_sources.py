@@ -385,13 +385,13 @@ def test_mapping_levels(spark):
                                     "igv": "Impuesto", "importe_total": "Importe"}
 
 
-def test_files_of_rows_lie_in_few_folders(spark, tmp_path):
+def test_files_of_rows_lie_in_one_folder(spark, tmp_path):
     rows = spark.range(300).selectExpr("concat('doc-', id, '.pdf') AS nombre", "concat('text ñ ', id) AS value")
     odd = spark.createDataFrame([("doc-7.pdf", "twice"), ("none.pdf", None)], "nombre STRING, value STRING")
     as_files(rows.unionByName(odd), str(tmp_path / "f"))
     found = {path.name: path.read_bytes().decode() for path in (tmp_path / "f").rglob("*.pdf")}
     assert found == {**{f"doc-{k}.pdf": f"text ñ {k}\n" for k in range(300)}, "doc-7.pdf": "text ñ 7\ntwice\n", "none.pdf": "\n"}
-    assert len(list((tmp_path / "f").iterdir())) <= 64  # a folder for each file took longest, in the writers and in the driver
+    assert all(path.is_file() for path in (tmp_path / "f").iterdir())  # paths sort as names do; a folder for each file took longest
     assert {r.nombre for r in feeds.read_attachments(spark, str(tmp_path / "f")).collect()} == set(found)
 
 
