@@ -23,31 +23,41 @@ def _rightmost(text: Column, sign: str) -> Column:
     return F.when(F.instr(text, sign) > 0, F.length(text) - F.instr(F.reverse(text), sign) + 1).otherwise(0)
 
 
+# All signs that a number's text may consist of.
+_NUMERIC = r"^[\x00-\x20+\-.eE\p{Nd}]+$"
+
+
+def _decimal_or_zero(text: Column, dtype: str) -> Column:
+    """The text as a decimal, junk is 0. Empty text and what cannot be a number are not read: a failed reading costs far more than the look."""
+    read = F.when(text.rlike(_NUMERIC), text.try_cast("decimal(38,6)").try_cast(dtype))
+    return F.coalesce(read, F.lit(0).cast(dtype))
+
+
 def parse_amount(value: Column, dtype: str = MONEY) -> Column:
     """Number text to a decimal; the separator that comes last is the decimal one, junk is 0."""
     def read(text: Column) -> Column:
         european = F.translate(text, ",.", ".")
         english = F.replace(text, F.lit(","), F.lit(""))
         plain = F.when(_rightmost(text, ",") > _rightmost(text, "."), european).otherwise(english)
-        return F.coalesce(plain.try_cast("decimal(38,6)").try_cast(dtype), F.lit(0).cast(dtype))
+        return _decimal_or_zero(plain, dtype)
     return let(strip(F.coalesce(value.cast("string"), F.lit(""))), read)
 
 
 def dot_amount(value: Column, dtype: str = MONEY) -> Column:
     """Authority notation: a comma is a decimal point, junk is 0."""
     plain = F.replace(strip(F.coalesce(value, F.lit(""))), F.lit(","), F.lit("."))
-    return F.coalesce(plain.try_cast("decimal(38,6)").try_cast(dtype), F.lit(0).cast(dtype))
+    return _decimal_or_zero(plain, dtype)
 
 
 def plain_amount(value: Column, dtype: str = MONEY) -> Column:
     """Book notation: commas group thousands, junk is 0."""
     bare = F.replace(strip(F.coalesce(value, F.lit(""))), F.lit(","), F.lit(""))
-    return F.coalesce(bare.try_cast("decimal(38,6)").try_cast(dtype), F.lit(0).cast(dtype))
+    return _decimal_or_zero(bare, dtype)
 
 
 def strict_amount(value: Column, dtype: str = MONEY) -> Column:
     """Plain decimal text, 0 when it is anything else."""
-    return F.coalesce(strip(value).try_cast("decimal(38,6)").try_cast(dtype), F.lit(0).cast(dtype))
+    return _decimal_or_zero(strip(value), dtype)
 
 
 def rate_or_one(rate: Column) -> Column:

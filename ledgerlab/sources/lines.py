@@ -41,7 +41,9 @@ def text_lines(spark: SparkSession, path: str, head: bool = False) -> DataFrame:
         source = source.filter(F.col("_metadata.file_block_start") == 0)
     raw = source.select(
         F.col("_metadata.file_path").alias("archivo"), line_position().alias("line_no"), decoded(F.col("value")).alias("value"))
-    clean = F.regexp_replace("value", "^﻿|\r$", "")
+    # Few lines hold either sign, so the pattern is tried on those alone.
+    odd = F.startswith(F.col("value"), F.lit("﻿")) | F.contains(F.col("value"), F.lit("\r"))
+    clean = F.when(odd, F.regexp_replace("value", "^﻿|\r$", "")).otherwise(F.col("value"))
     return raw.withColumn("value", clean).filter(F.trim("value") != "")
 
 
@@ -61,8 +63,14 @@ def after_first(lines: DataFrame, count: int) -> DataFrame:
 
 
 def fields_of(lines: DataFrame, separator: str, most: int = -1) -> DataFrame:
-    """Lines with their fields `c`, split literally (a quote is just a character); with `most`, the last holds the rest."""
-    return lines.withColumn("c", F.split("value", "\\Q" + separator + "\\E", most))
+    """Lines with their fields `c`, split literally (a quote is just a character); with `most`, the last holds the rest.
+
+    A generator splits each line once: filters on its fields cannot pull the split into themselves. A sign behind a
+    backslash is split without a regular expression.
+    """
+    sign = len(separator) == 1 and separator.isascii() and not separator.isalnum()
+    pattern = "\\" + separator if sign else "\\Q" + separator + "\\E"
+    return lines.select("*", F.explode(F.array(F.split("value", pattern, most))).alias("c"))
 
 
 def field(index: int) -> Column:

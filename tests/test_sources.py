@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlab.demo import detail_queries
 from ledgerlab.demo.stream_queries import as_files
 from ledgerlab.errors import EmptyDataset, InvalidSpec
+from ledgerlab.functions import normalize
 from ledgerlab.operators import profile
 from ledgerlab.session import cut_lineage
 from ledgerlab.sinks import versions, writers
@@ -410,3 +411,34 @@ def test_a_batch_of_many_files_is_few_parts(spark, tmp_path):
     jobs.store_attachments(store)(jobs.checked(files, 7, 10_000), 0)
     assert len(list((tmp_path / "store/entrada").glob("part-*.parquet"))) <= many
     assert jobs.attachment_log(spark, store).filter("estado = 'guardado'").count() == 4000
+
+
+def test_lines_are_split_once_and_judged_in_one_pass(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    fields = ["20260100", "1", "", "05/01/2026", "", "01", "F001", "", "12", "", "", "20100070970", "A"] + ["10.00", "1.80"] + [""] * 8 + ["11.80", "PEN", "1.000", ""]
+    (tmp_path / "a.txt").write_text("\ufeff" + "\n".join(["|".join(fields)] * 3))
+    monkeypatch.setattr(DataFrame, "isEmpty", lambda self: pytest.fail("the lines are read again"))
+    rows = ledgers.read_ledger_purchases(spark, str(tmp_path))
+    assert [(r.numero, float(r.importe_total), r.fecha_emision.isoformat()) for r in rows.collect()] == [("12", 11.8, "2026-01-05")] * 3
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(value") == 1
+
+
+def test_books_that_do_not_add_up_are_named(spark, tmp_path):
+    fields = ["20260100", "1", "", "05/01/2026", "", "01", "F001", "", "12", "", "", "20100070970", "A"] + ["10.00", "1.80"] + [""] * 8 + ["11.80", "PEN", "1.000", ""]
+    (tmp_path / "a.txt").write_text("|".join(fields))
+    (tmp_path / "b.txt").write_text("|".join(fields).replace("11.80", "99.00"))
+    with pytest.raises(InvalidSpec, match=r"b\.txt"):
+        ledgers.read_ledger_purchases(spark, str(tmp_path))
+    (tmp_path / "short").mkdir()
+    (tmp_path / "short" / "c.txt").write_text("1|2")
+    with pytest.raises(InvalidSpec, match="short"):
+        ledgers.read_ledger_purchases(spark, str(tmp_path / "short"))
+
+
+def test_what_cannot_be_a_number_is_not_read_as_one(spark):
+    texts = ["", " ", "x", "1e2", "+5", "-.5", "7.", "1 2", "F001", "12/01/2024", "٣", "\t8\n", "NaN", "--1", "1,234.56", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    got = [float(r[0]) for r in rows.select(normalize.plain_amount(F.col("t"))).collect()]
+    assert got == [0, 0, 0, 100, 5, -0.5, 7, 0, 0, 0, 3, 8, 0, 0, 1234.56, 0]
+    assert "rlike" in str(normalize.plain_amount(F.col("t")))
