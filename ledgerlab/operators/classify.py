@@ -72,13 +72,38 @@ def _needles(pattern: str) -> list[str]:
     return words
 
 
+def _signs(alternative: str) -> list[str]:
+    """Like a needle, for an alternative without a capital word: a word of other letters, or a letter and each of a few signs."""
+    word = re.search(r"(?:^|\\b)([A-Za-z]{2,})(?:\\b|$)", alternative)
+    letter = re.match(r"([A-Z])\[([^\]\\^-]+)\](?![?*+{])", alternative)
+    return [word[1]] if word else [letter[1] + sign for sign in letter[2]] if letter else []
+
+
+def _letter_first(pattern: str) -> str:
+    """The pattern with the letter behind each word start looked for before the start: fewer places of a text are tried."""
+    return re.sub(r"\\b([A-Z])(?![?*+{])", r"\1(?<=\\b\1)", pattern)
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern that are in no group."""
+    depth, parts = 0, [""]
+    for piece in re.findall(r"\\.|\[[^\]]*\]|.", pattern):
+        depth += (piece == "(") - (piece == ")")
+        if piece == "|" and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += piece
+    return parts
+
+
 def _matches(upper: Column, pattern: str) -> Column:
-    """The pattern, tried only on texts that hold one of its words."""
-    words = _needles(pattern)
-    if not words:
-        return found(upper, pattern, "")
-    holds = reduce(lambda a, b: a | b, [upper.contains(w) for w in words])
-    return holds & found(upper, pattern, "")
+    """Whether any alternative matches, each tried only on texts that hold one of its words."""
+    tries = []
+    for alternative in _alternatives(pattern):
+        words, look = _needles(alternative) or _signs(alternative), found(upper, _letter_first(alternative), "")
+        held = [upper.contains(w) for w in words]
+        tries.append(held[0] if words == [alternative] else reduce(lambda a, b: a | b, held) & look if held else look)
+    return reduce(lambda a, b: a | b, tries)
 
 
 def type_scores(text: Column) -> Column:
