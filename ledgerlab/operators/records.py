@@ -22,7 +22,8 @@ def tolerant(word: str) -> str:
     return word.translate(_READ_AS)
 
 
-# Fragments and, per field, (pattern, confidence) in the order they are tried.
+# Fragments and, per field, (pattern, confidence) in the order they are tried. What may stand before a label
+# and is not part of the value is left out.
 _T = tolerant
 _SEP = r"\s*[:.\-]?\s*"
 _LANDLORD = f"(?:{_T('arrendador')}|{_T('contribuyente')}|{_T('declarante')})"
@@ -56,8 +57,8 @@ PATTERNS: dict[str, list[tuple[str, float]]] = {
         (rf"{_T('fecha')}{_OF}{_T('pago')}{_SEP}{_DAY}", 0.96),
         (rf"{_T('fecha')}{_OF}(?:{_T('presentacion')}|{_T('emision')}){_SEP}{_DAY}", 0.86)],
     "numero_de_operacion": [
-        (rf"(?:{_T('nro')}|{_T('numero')}|{_T('num')}|n)?\.?\s*{_OF}{_T('operacion')}(?:\s*[a-z]+)?{_SEP}{_OPERATION}", 0.95),
-        (rf"(?:{_T('nro')}|{_T('numero')})?\.?\s*{_OF}{_T('orden')}{_SEP}{_OPERATION}", 0.82)],
+        (rf"{_T('operacion')}(?:\s*[a-z]+)?{_SEP}{_OPERATION}", 0.95),
+        (rf"{_T('orden')}{_SEP}{_OPERATION}", 0.82)],
     "monto_alquiler": [(rf"{_T('monto')}{_OF}{_T('alquiler')}{_SEP}{_MONEY}", 0.95)],
     "tributo_resultante": [(rf"{_T('tributo')}\s*{_T('resultante')}{_SEP}{_MONEY}", 0.95)],
     "importe_pagado": [
@@ -107,22 +108,23 @@ def extract_profile_fields(docs: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def _field(text: Column, name: str) -> Column:
-    hits = []
-    for pattern, confidence in PATTERNS[name]:
-        hits.append(F.struct(
-            F.nullif(grab(text, pattern, 1, "im"), F.lit("")).alias("valor"),
-            F.lit(confidence).alias("plena"), F.lit(round(confidence * UNVALIDATED, 3)).alias("reducida")))
-    read = F.filter(F.array(*hits), lambda h: h["valor"].isNotNull())
-
-    def chosen(h: Column, confidence: str) -> Column:
-        return F.when(h.isNotNull(), F.struct(F.lit(name).alias("campo"), h["valor"].alias("valor"), h[confidence].alias("confianza")))
-
-    def first(readings: Column) -> Column:
-        real = F.filter(readings, lambda h: PARSERS[name](h["valor"]).isNotNull()) if name in PARSERS else readings
-        return F.coalesce(let(F.get(real, F.lit(0)), lambda h: chosen(h, "plena")),
-                          let(F.get(readings, F.lit(0)), lambda h: chosen(h, "reducida")))
-
-    return let(read, first)
+    """A field's reading. A pattern is tried only where no earlier one found a value that validates."""
+    def read(value: Column, confidence: float) -> Column:
+        return F.when(value.isNotNull(), F.struct(F.lit(name).alias("campo"), value.alias("valor"), F.lit(confidence).alias("confianza")))
+
+    def tried(patterns: list[tuple[str, float]], reduced: Column) -> Column:
+        if not patterns:
+            return reduced
+        (pattern, confidence), later = patterns[0], patterns[1:]
+
+        def judged(value: Column) -> Column:
+            real = value.isNotNull() & PARSERS[name](value).isNotNull() if name in PARSERS else value.isNotNull()
+            return F.when(real, read(value, confidence)).otherwise(
+                tried(later, F.coalesce(reduced, read(value, round(confidence * UNVALIDATED, 3)))))
+
+        return let(F.nullif(grab(text, pattern, 1, "im"), F.lit("")), judged)
+
+    return tried(PATTERNS[name], F.lit(None))
 
 
 def best_field(candidates: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -87,6 +87,38 @@ def test_needles_keep_every_match():
                 assert all(w in sample for w in words)
 
 
+def test_each_alternative_is_tried_alone_and_finds_the_same(spark):
+    from ledgerlab.functions.text import found
+
+    assert classify._alternatives(r"M[3³]\s*(?:AGUA|GAS)|A[|]B|C\|D") == [r"M[3³]\s*(?:AGUA|GAS)", "A[|]B", r"C\|D"]
+    assert (classify._signs(r"\bkWh\b"), classify._signs(r"M[3³]\s*(?:GAS)"), classify._signs(r"\bF\d{3}")) == (["kWh"], ["M3", "M³"], [])
+    assert classify._letter_first(r"\bO\.?N\b|\bX?Y") == r"O(?<=\bO)\.?N\b|\bX?Y"
+    texts = ["AFP", "XAFP", "O.N.P.", "LA ONP", "ONPE", "CARBONP", "F001-00012", "XF001-00012", "ÑF001-00012", "F001 – 12345", "B12-1", "M³ AGUA", "M 3 GAS",
+             "CONSUMO 5 M3", "12 kWh", "NC01-00001", "ANC01-00001", "ENEL", "ENELA", "LUZ  DEL\nSUR", "LUZ DEL NORTE", "WOMAN", "WOM", "DNI", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    patterns = [p for _, _, patterns in classify.RULES for p in patterns]
+    got = rows.select(*[F.struct(classify._matches(F.col("t"), p).alias("a"), found(F.col("t"), p, "").alias("b")).alias(f"p{k}") for k, p in enumerate(patterns)])
+    assert all(bool(pair.a) == bool(pair.b) for row in got.collect() for pair in row)
+
+
+def test_payments_are_read_by_all_tasks(spark, tmp_path):
+    from ledgerlab.demo import detail_queries
+
+    orders = spark.range(1, 41).selectExpr("id AS o_orderkey", "id AS o_custkey", "'1-URGENT' AS o_orderpriority", "cast(id as double) AS o_totalprice")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    assert detail_queries.payments(spark, str(tmp_path)).rdd.getNumPartitions() == 8
+
+
+def test_later_patterns_decide_only_where_earlier_ones_fail(spark):
+    text = ("RUC del arrendador: 20100070971\nRUC: 20100070970", "RUC: 20100070971", "Nro de la operacion: 12-34\nNumero de orden: 5555", "nroperacion 77\nOPERACIÓN 1234 x OPERACION: 98765")
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id INT, texto STRING")
+    got = {(r.doc_id, r.campo): (r.valor, r.confianza) for r in records.extract_profile_fields(docs).collect()}
+    assert got[0, "ruc_contribuyente"] == ("20100070970", 0.85)
+    assert got[1, "ruc_contribuyente"] == ("20100070971", 0.383)
+    assert got[2, "numero_de_operacion"] == ("12-34", 0.95)
+    assert got[3, "numero_de_operacion"][0] in ("1234", "98765")
+
+
 def test_invoice_table_row(spark):
     text = "DESCRIPCION CANT\n2.00 UNIDAD Cemento gris x 25.00 50.00\nTOTAL 50.00"
     labelled = "Concepto del pago: alquiler de local\n"
