@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from ledgerlab.errors import InvalidSpec
 from ledgerlab.operators import ledger as L
@@ -15,6 +16,9 @@ from ledgerlab.operators.receipts import receipts_as_scenarios, receipts_by_day
 BOOKS = {"ventas": L.SALES_TYPES, "compras": L.PURCHASE_TYPES}
 LATE_MONTHS = 12
 KEYS = ["periodo", *L.KEY]
+# What a key is compared by, the most telling part first: a sort decides most comparisons by the first eight bytes.
+_MATCH = ["k_numero", "k_serie", "k_ruc", "k_tipo", "k_periodo"]
+_KEY_OF = {"ruc_proveedor": "k_ruc", "tipo_cdp": "k_tipo", "serie": "k_serie", "numero": "k_numero"}
 
 _CARRIED = ["tipo_cdp", "serie", "numero", "ruc_proveedor", "razon_social", "fecha_emision",
             *L.AMOUNTS, "moneda", "tipo_cambio", "status_description"]
@@ -35,34 +39,75 @@ def _detail(field: str, company: Column, authority: Column, difference: Column |
 
 
 def diff_fields(book: str) -> Column:
-    """ARRAY<STRUCT> of the fields of `e` (company) and `s` (authority) beyond tolerance."""
-    e, s = (lambda n: F.col(f"e.{n}")), (lambda n: F.col(f"s.{n}"))
+    """ARRAY<STRUCT> of the fields of `e_` (company) and `s_` (authority) beyond tolerance."""
+    return F.array_compact(F.array(*[
+        F.when(apart, _detail(name, F.col(f"e_{field}"), F.col(f"s_{field}"), difference)) for name, field, apart, difference in _compared(book)]))
 
-    def amount(field: str, tolerance: str, dtype: str = L.MONEY) -> Column:
+
+def differs(book: str) -> Column:
+    """Whether `diff_fields` has any, told without building them."""
+    return F.coalesce(reduce(lambda a, b: a | b, [apart for _, _, apart, _ in _compared(book)]), F.lit(False))
+
+
+def _compared(book: str) -> list[tuple[str, str, Column, Column | None]]:
+    """(name, column, whether beyond tolerance, difference) of each compared field."""
+    e, s = (lambda n: F.col(f"e_{n}")), (lambda n: F.col(f"s_{n}"))
+
+    def amount(field: str, tolerance: str, dtype: str = L.MONEY):
         zero = F.lit(0).cast(dtype)
         difference = F.coalesce(e(field), zero) - F.coalesce(s(field), zero)
-        return F.when(F.abs(difference) > F.lit(tolerance).cast(dtype), _detail(field, e(field), s(field), difference))
+        return field, field, F.abs(difference) > F.lit(tolerance).cast(dtype), difference
 
-    parts = [F.when(e("fecha_emision") != s("fecha_emision"),
-                    _detail("fecha", e("fecha_emision"), s("fecha_emision"), None))]
+    parts = [("fecha", "fecha_emision", e("fecha_emision") != s("fecha_emision"), None)]
     parts += [amount(*f) for f in _BOTH + (_PURCHASES if book == "compras" else _SALES)]
     if book == "compras":
         apart = (e("moneda") != "") & (s("moneda") != "") & (L.clean_upper(e("moneda")) != L.clean_upper(s("moneda")))
-        parts.append(F.when(apart, _detail("moneda", e("moneda"), s("moneda"), None)))
-        parts.append(amount("tipo_cambio", L.TOL_RATE, L.RATE))
-    return F.array_compact(F.array(*parts))
+        parts += [("moneda", "moneda", apart, None), amount("tipo_cambio", L.TOL_RATE, L.RATE)]
+    return parts
 
 
 def _igv(side: str) -> Column:
-    return sum((F.col(f"{side}.{n}") for n in L.IGV_FIELDS[1:]), F.col(f"{side}.{L.IGV_FIELDS[0]}"))
+    return sum((F.col(f"{side}_{n}") for n in L.IGV_FIELDS[1:]), F.col(f"{side}_{L.IGV_FIELDS[0]}"))
 
 
 def _red_difference(diffs: Column) -> Column:
     return F.exists(diffs, lambda d: d["campo"].isin(L.IGV_FIELDS) & (F.abs(d["diferencia"]) > F.lit(L.RED_IGV).cast(L.MONEY)))
 
 
-def _packed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    return L.last_per_key(df, keys).select(*keys, F.struct(*_CARRIED).alias(name))
+def _matched(rows: DataFrame, side: str) -> DataFrame:
+    """Rows with the columns of `_MATCH`. None of them is null, so joins add no null filters that would keep the shuffles of
+    one ledger from being shared; a row without a period bears its side instead, which no other side's row does."""
+    period = F.coalesce(F.concat(F.lit("="), F.col("periodo").cast("string")), F.lit(side))
+    return rows.withColumn("k_periodo", period)
+
+
+def _once(rows: DataFrame, side: str) -> DataFrame:
+    """The last row of every key: `e_hay` (or `s_hay`) and a column for each carried one, `e_igv`.
+
+    They are columns and not a struct, so those that a scenario does not ask for leave before the shuffle; so do texts that
+    equal their key (`_own_text` fills them again).
+    """
+    slim = _matched(rows, side).withColumns({n: F.nullif(F.col(n), F.col(k)) for n, k in _KEY_OF.items()})
+    last = L.last_per_key(slim, _MATCH)
+    return last.select(*_MATCH, F.lit(True).alias(f"{side}_hay"), *[F.col(n).alias(f"{side}_{n}") for n in _CARRIED])
+
+
+def _own_text(name: str) -> Column:
+    """A text of the key as the company writes it, or the authority where the company has no row."""
+    written = F.when(F.col("e_hay").isNotNull(), F.col(f"e_{name}")).otherwise(F.col(f"s_{name}"))
+    return F.coalesce(written, F.col(_KEY_OF[name])).alias(name)
+
+
+def _keys_once(rows: DataFrame, side: str) -> DataFrame:
+    """Every key once and nothing else; ranked like `last_per_key`, so that a hot key sends a row per task."""
+    rank = F.row_number().over(Window.partitionBy(_MATCH).orderBy("k_numero"))
+    return _matched(rows, side).select(*_MATCH, rank.alias("_rank")).filter("_rank = 1").drop("_rank")
+
+
+def _with_period(pairs: DataFrame, kind: DataType) -> DataFrame:
+    """`periodo` of `k_periodo`."""
+    own = F.col("k_periodo")
+    return pairs.withColumn("periodo", F.when(own.startswith("="), F.substring(own, 2, 2**31 - 1)).cast(kind))
 
 
 def _present_days(rows: DataFrame, coverage: list[str] | None, authority: DataFrame) -> DataFrame:
@@ -74,13 +119,6 @@ def _present_days(rows: DataFrame, coverage: list[str] | None, authority: DataFr
     return authority.select("periodo").distinct().select("periodo", listed.alias("dia"))
 
 
-# Which sides a scenario has. Filtering on them first turns the full outer join into a left,
-# right or inner one.
-def _sides(letter: str) -> Column:
-    company, authority = F.col("e").isNotNull(), F.col("s").isNotNull()
-    return {"A": company & ~authority, "B": authority & ~company}.get(letter, company & authority)
-
-
 @dataclass
 class Reconciliation:
     """Lazy results. To read several scenarios, store `rows` once (`session.cut_lineage` or the
@@ -102,20 +140,47 @@ class Reconciliation:
         """Keyed authority rows (receipts apart)."""
         return L.with_key(self.authority.filter(~L.is_receipt()) if self.book == "ventas" else self.authority)
 
+    @property
+    def _period_kind(self) -> DataType:
+        return self.company.schema["periodo"].dataType
+
     @cached_property
     def pairs(self) -> DataFrame:
-        """One row per key with the company side `e` and the authority side `s`."""
-        ours_once, theirs_once = _packed(self.ours, KEYS, "e"), _packed(self.theirs, KEYS, "s")
-        pairs = ours_once.join(theirs_once, KEYS, "full_outer").withColumn("periodo_hallazgo", F.lit(""))
-        return _rescue(pairs, ours_once, theirs_once) if self.late else pairs
+        """One row per key: its period, the company's columns `e_...` and the authority's `s_...`; `e_hay`, `s_hay` tell a missing side."""
+        return self._pairs("full_outer")
+
+    def _pairs(self, how: str) -> DataFrame:
+        """`pairs`, or with `inner` those that both sides have: the join needs fewer columns, and both joins read one shuffle of a ledger."""
+        ours, theirs = _once(self.ours, "e"), _once(self.theirs, "s")
+        pairs = _with_period(ours.join(theirs, _MATCH, how), self._period_kind).withColumn("periodo_hallazgo", F.lit(""))
+        return self._rescued(pairs, ours, theirs, how) if self.late else pairs
 
     def _alone(self, letter: str) -> DataFrame:
         """`pairs` of a scenario that only one side has: of the other side the keys are enough."""
         own, other, name, empty = (self.ours, self.theirs, "e", "s") if letter == "A" else (self.theirs, self.ours, "s", "e")
-        rows = _packed(own, KEYS, name).join(other.select(KEYS).distinct(), KEYS, "left_anti")
-        kind = _packed(other, KEYS, empty).schema[empty].dataType
-        sides = {name: F.col(name), empty: F.lit(None).cast(kind)}
-        return rows.select(*KEYS, sides["e"].alias("e"), sides["s"].alias("s"), F.lit("").alias("periodo_hallazgo"))
+        keys = _keys_once(other, empty)
+        rows = _with_period(_once(own, name).join(keys, _MATCH, "left_anti"), self._period_kind)
+        if letter == "A" and self.late:
+            # Rows that ask for no other month ask for their own again: it has not been found, and they stay.
+            month = F.coalesce(F.when(_is_late(), F.concat(F.lit("="), _issued())), F.col("k_periodo"))
+            rows = rows.withColumn("b_periodo", month)
+            rows = rows.join(_named(keys), _asked(rows), "left_anti").drop("b_periodo")
+        both = [*rows.columns, "e_hay", "s_hay", *[f"{side}_{n}" for side in "es" for n in _CARRIED]]
+        kinds = {f"{empty}_{n}": other.schema[n].dataType for n in _CARRIED} | {f"{empty}_hay": "boolean"}
+        return rows.select(*[F.lit(None).cast(kinds[n]).alias(n) if n in kinds else F.col(n) for n in dict.fromkeys(both)], F.lit("").alias("periodo_hallazgo"))
+
+    def _rescued(self, pairs: DataFrame, ours: DataFrame, theirs: DataFrame, how: str) -> DataFrame:
+        """Fill the authority side of company-only rows from the proposal of their issue month.
+
+        Only rows that ask for another month, those issued within the twelve months before their period and not matched in it,
+        are joined again; all other pairs stay where they are.
+        """
+        settled = pairs if how == "inner" else pairs.filter(F.col("s_hay").isNotNull() | ~_is_late())
+        asking = _with_period(ours, self._period_kind).filter(_is_late()).join(_keys_once(self.theirs, "s"), _MATCH, "left_anti")
+        asking = asking.withColumn("b_periodo", F.concat(F.lit("="), _issued()))
+        month = F.when(F.col("s_hay").isNotNull(), _issued()).otherwise("")
+        rescued = asking.join(_named(theirs), _asked(asking), "inner" if how == "inner" else "left").withColumn("periodo_hallazgo", month)
+        return settled.unionByName(rescued.select(settled.columns))
 
     @cached_property
     def receipts(self) -> DataFrame | None:
@@ -157,9 +222,8 @@ class Reconciliation:
         if letter not in ("A", "B", "C", "D"):
             raise InvalidSpec(f"unknown scenario: {letter!r}")
         if stored is None:
-            # Days only decide about authority-only rows.
-            alone = letter in "AB" and not self.late
-            pairs = self._alone(letter) if alone else self.pairs.filter(_sides(letter))
+            # Days only decide about authority-only rows, and the rescue about company-only ones.
+            pairs = self._alone(letter) if letter in "AB" else self._pairs("inner")
             stored = self._build(self._covered(pairs) if letter == "B" else pairs)
         rows = stored.filter(F.col("escenario") == letter)
         head = ["periodo", "tipo_cdp", "serie", "numero"]
@@ -238,56 +302,53 @@ def reconcile(
 def _within_coverage(pairs: DataFrame, days: DataFrame) -> DataFrame:
     """Drop authority-only rows of days outside the company file; a file without dates drops none."""
     marked = days.select(F.col("periodo").alias("d_periodo"), F.col("dia"), F.lit(True).alias("cubierto"))
-    day = F.col("s.fecha_emision")
+    day = F.col("s_fecha_emision")
     out = pairs.join(marked, (pairs.periodo == F.col("d_periodo")) & (day == F.col("dia")), "left")
     # Periods are calendar months: the set of those with dates is a short array.
     dated = days.agg(F.collect_set("periodo").alias("p")).scalar()
-    keep = F.col("e").isNotNull() | F.col("cubierto").isNotNull() | ~F.array_contains(dated, F.col("periodo"))
+    keep = F.col("e_hay").isNotNull() | F.col("cubierto").isNotNull() | ~F.array_contains(dated, F.col("periodo"))
     return out.filter(keep).select(pairs.columns)
 
 
-def _rescue(pairs: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Fill the authority side of company-only rows from the proposal of their issue month.
+def _issued() -> Column:
+    return F.date_format("e_fecha_emision", "yyyyMM")
 
-    Only rows that ask for another month, those issued within the twelve months before their period and not matched in it,
-    are joined again; all other pairs stay where they are.
-    """
-    issued = F.date_format(F.col("e.fecha_emision"), "yyyyMM")
+
+def _is_late() -> Column:
+    """Whether a row was issued within the twelve months before its period."""
     first = F.to_date(F.concat("periodo", F.lit("01")), "yyyyMMdd")
     oldest = F.date_format(F.add_months(first, -LATE_MONTHS), "yyyyMM")
-    late = F.coalesce((issued < F.col("periodo")) & (issued >= oldest), F.lit(False))
-    settled = pairs.filter(F.col("s").isNotNull() | ~late)
-    asking = ours.filter(late).join(theirs.select(KEYS), KEYS, "left_anti").withColumn("mes_buscado", issued)
-    found = theirs.select(
-        F.col("periodo").alias("mes_buscado"), *[F.col(k).alias(f"f_{k}") for k in L.KEY], F.col("s"))
-    match = asking["mes_buscado"] == found["mes_buscado"]
-    for k in L.KEY:
-        match = match & (asking[k] == found[f"f_{k}"])
-    month = F.when(F.col("s").isNotNull(), asking["mes_buscado"]).otherwise("")
-    rescued = asking.join(found, match, "left").select("periodo", *L.KEY, "e", "s", month.alias("periodo_hallazgo"))
-    return settled.unionByName(rescued)
+    return F.coalesce((_issued() < F.col("periodo")) & (_issued() >= oldest), F.lit(False))
+
+
+def _named(keyed: DataFrame) -> DataFrame:
+    """Keyed rows with their keys named `f_...`, to be joined by another period than the own one."""
+    return keyed.select(*[F.col(n).alias(f"f_{n}") if n in _MATCH else F.col(n) for n in keyed.columns])
+
+
+def _asked(rows: DataFrame) -> Column:
+    """Rows that ask for the period `b_periodo` meet the keys of `_named`."""
+    return reduce(lambda a, b: a & b, [rows["b_periodo" if n == "k_periodo" else n] == F.col(f"f_{n}") for n in _MATCH])
 
 
 def _scenarios(pairs: DataFrame, book: str) -> DataFrame:
-    diffs = F.when(F.col("e").isNotNull() & F.col("s").isNotNull(), diff_fields(book))
+    diffs = F.when(F.col("e_hay").isNotNull() & F.col("s_hay").isNotNull(), diff_fields(book))
     compared = pairs.withColumn("diferencias", diffs)
-    letter = (
-        F.when(F.col("s").isNull(), "A").when(F.col("e").isNull(), "B")
-        .when(F.size("diferencias") > 0, "C").otherwise("D"))
+    letter = F.when(F.col("s_hay").isNull(), "A").when(F.col("e_hay").isNull(), "B").when(differs(book), "C").otherwise("D")
     igv_total = F.coalesce(_igv("e"), _igv("s"))
     one_sided = F.abs(igv_total) > F.lit(L.RED_IGV).cast(L.MONEY)
     red = F.when(letter.isin("A", "B"), one_sided).when(letter == "C", _red_difference(F.col("diferencias"))).otherwise(False)
-    both = [c for n in L.AMOUNTS for c in (F.col(f"e.{n}").alias(f"{n}_empresa"), F.col(f"s.{n}").alias(f"{n}_sunat"))]
-    name = F.coalesce(F.nullif(F.col("e.razon_social"), F.lit("")), F.col("s.razon_social"), F.lit(""))
+    both = [c for n in L.AMOUNTS for c in (F.col(f"e_{n}").alias(f"{n}_empresa"), F.col(f"s_{n}").alias(f"{n}_sunat"))]
+    name = F.coalesce(F.nullif(F.col("e_razon_social"), F.lit("")), F.col("s_razon_social"), F.lit(""))
     return compared.select(
         letter.alias("escenario"), "periodo",
-        *[F.coalesce(f"e.{n}", f"s.{n}").alias(n) for n in ("tipo_cdp", "serie", "numero")],
-        F.col("e.fecha_emision").alias("fecha_emision_empresa"), F.col("s.fecha_emision").alias("fecha_emision_sunat"),
+        *[_own_text(n) for n in ("tipo_cdp", "serie", "numero")],
+        F.col("e_fecha_emision").alias("fecha_emision_empresa"), F.col("s_fecha_emision").alias("fecha_emision_sunat"),
         *both, "diferencias", red.alias("es_alerta_roja"), igv_total.cast(L.MONEY).alias("igv_total"),
-        F.coalesce("e.ruc_proveedor", "s.ruc_proveedor").alias("ruc_proveedor"), name.alias("razon_social"),
-        F.coalesce("e.status_description", F.lit("")).alias("status_description"), "periodo_hallazgo",
-        F.col("e.moneda").alias("moneda_empresa"), F.col("s.moneda").alias("moneda_sunat"),
-        F.col("e.tipo_cambio").alias("tipo_cambio_empresa"), F.col("s.tipo_cambio").alias("tipo_cambio_sunat"),
+        _own_text("ruc_proveedor"), name.alias("razon_social"),
+        F.coalesce("e_status_description", F.lit("")).alias("status_description"), "periodo_hallazgo",
+        F.col("e_moneda").alias("moneda_empresa"), F.col("s_moneda").alias("moneda_sunat"),
+        F.col("e_tipo_cambio").alias("tipo_cambio_empresa"), F.col("s_tipo_cambio").alias("tipo_cambio_sunat"),
     )
 
 
