@@ -193,10 +193,12 @@ UNION ALL SELECT e.periodo, 'A' FROM e ANTI JOIN campos c ON c.periodo = e.perio
 UNION ALL SELECT s.periodo, 'B' FROM s ANTI JOIN e USING (periodo, ruc_proveedor, tipo_cdp, serie, kn)) GROUP BY periodo, escenario""")
 def scenario_files(spark: SparkSession, sf: str) -> DataFrame:
     """All periods stored as one load, one period as another that comes twice, counted as they are read back."""
-    folder, rows = _folder(spark, "scenarios"), cut_lineage(purchases(spark, sf).rows, "scenario-rows")
-    writers.store_scenarios(rows, folder, "carga-1", _SHEET)
+    folder = _folder(spark, "scenarios")
+    writers.store_scenarios(purchases(spark, sf).rows, folder, "carga-1", _SHEET)
+    # All rows are written once; only those that come again are kept aside.
+    again = cut_lineage(writers.read_scenarios(spark, folder).filter(F.col("periodo") == _AGAIN).drop("carga"), "scenario-rows")
     for _ in range(2):
-        manifest = writers.store_scenarios(rows.filter(F.col("periodo") == _AGAIN), folder, "carga-2", _SHEET)
+        manifest = writers.store_scenarios(again, folder, "carga-2", _SHEET)
     stored = writers.read_scenarios(spark, folder).groupBy("periodo", "escenario", "carga").agg(F.count(F.lit(1)).alias("filas"))
     return stored.join(manifest.select("periodo", "escenario", "carga", "desborda_hoja"), ["periodo", "escenario", "carga"])
 

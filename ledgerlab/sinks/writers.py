@@ -90,11 +90,12 @@ def store_scenarios(rows: DataFrame, path: str, load: str, sheet_rows: int = MAX
     """Store the scenario rows of some periods as a load, and return the manifest: (periodo, escenario, carga, filas, desborda_hoja).
 
     Partitions are named by period, scenario and load, so a load that is repeated overwrites its own and nothing else; a
-    load's rows are the same each time. The manifest is a table of versions: readers see a period as it was before the load
+    load's rows are the same each time. Rows of a partition are gathered into few files first (adaptive execution splits large
+    ones), or every task would write a file into each. The manifest is a table of versions: readers see a period as it was before the load
     or after it, never between, and partitions that an earlier load of the same period left are not named any more.
     """
     spark, base = rows.sparkSession, path.rstrip("/")
-    loaded = rows.withColumn("carga", F.lit(load))
+    loaded = rows.withColumn("carga", F.lit(load)).hint("rebalance", "periodo", "escenario")
     (loaded.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("periodo", "escenario", "carga")
         .parquet(f"{base}/tabla"))
     counts = _table(spark, base).filter(F.col("carga") == load).groupBy("periodo", "escenario", "carga").agg(F.count(F.lit(1)).alias("filas"))

@@ -442,3 +442,10 @@ def test_what_cannot_be_a_number_is_not_read_as_one(spark):
     got = [float(r[0]) for r in rows.select(normalize.plain_amount(F.col("t"))).collect()]
     assert got == [0, 0, 0, 100, 5, -0.5, 7, 0, 0, 0, 3, 8, 0, 0, 1234.56, 0]
     assert "rlike" in str(normalize.plain_amount(F.col("t")))
+
+
+def test_rows_of_a_load_are_stored_in_few_files(spark, tmp_path):
+    rows = spark.range(400).selectExpr("concat('20240', 1 + id % 2) AS periodo", "'A' AS escenario", "id AS n").repartition(16)
+    writers.store_scenarios(rows, str(tmp_path / "s"), "uno")
+    assert len(list((tmp_path / "s/tabla").rglob("part-*.parquet"))) == 2
+    assert writers.read_scenarios(spark, str(tmp_path / "s")).count() == 400
