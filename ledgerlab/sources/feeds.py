@@ -58,8 +58,11 @@ def parse_invoices(files: DataFrame, content: str = "content", descriptions: int
     declared = F.regexp_extract(F.decode(F.substring(content, 1, 200), "ISO-8859-1"), r"(?i)encoding=[\"']([\w-]+)", 1)
     text = F.when(F.lower(declared).isin("iso-8859-1", "windows-1252", "latin-1"), F.decode(content, "ISO-8859-1")).otherwise(F.decode(content, "UTF-8"))
     root = F.regexp_extract("xml", r"<(?:\w+:)?(Invoice|CreditNote|DebitNote)[\s>]", 1)
-    docs = files.select("*", text.alias("xml")).withColumn("raiz", root).filter("raiz <> ''")
-    read = docs.withColumn("d", F.from_xml("xml", INVOICE_SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}))
+    kept = [c for c in files.columns if c != content]
+    # Generators keep the filters from pulling the document and its parsing into themselves: each is made once a file.
+    once = lambda name, column: F.inline(F.array(F.struct(column.alias(name))))
+    docs = files.select(*kept, once("xml", text)).withColumn("raiz", root).filter("raiz <> ''")
+    read = docs.select(*kept, "raiz", once("d", F.from_xml("xml", INVOICE_SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})))
 
     def value(path: str) -> Column:
         return strip(F.coalesce(F.col(f"d.{path}"), F.lit("")))
@@ -74,7 +77,6 @@ def parse_invoices(files: DataFrame, content: str = "content", descriptions: int
     shown = items if descriptions is None else F.slice(items, 1, descriptions)
     first = F.array_join(F.transform(shown, strip), "; ")
     concept = first if descriptions is None else F.when(F.size(items) > descriptions, F.concat(first, F.lit("…"))).otherwise(first)
-    kept = [c for c in files.columns if c != content]
     out = read.select(
         *kept, value("ID").alias("id"), issuer.alias("emisor"), value(f"{party}.PartyIdentification.ID").alias("ruc"), kind.alias("tipo"),
         value("LegalMonetaryTotal.PayableAmount._VALUE").alias("monto"), F.coalesce("d.LegalMonetaryTotal.PayableAmount._currencyID", F.lit("")).alias("moneda"),
