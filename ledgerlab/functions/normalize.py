@@ -25,6 +25,8 @@ def _rightmost(text: Column, sign: str) -> Column:
 
 # All signs that a number's text may consist of.
 _NUMERIC = r"^[\x00-\x20+\-.eE\p{Nd}]+$"
+# Plain amounts, which need no separators told apart, and texts that hold a sign of no number at all.
+_PLAIN, _NO_NUMBER = r"^-?[0-9]{1,16}(\.[0-9]{1,6})?$", r"[/:A-DF-Za-df-z]"
 
 
 def _decimal_or_zero(text: Column, dtype: str) -> Column:
@@ -40,7 +42,9 @@ def parse_amount(value: Column, dtype: str = MONEY) -> Column:
         english = F.replace(text, F.lit(","), F.lit(""))
         plain = F.when(_rightmost(text, ",") > _rightmost(text, "."), european).otherwise(english)
         return _decimal_or_zero(plain, dtype)
-    return let(strip(F.coalesce(value.cast("string"), F.lit(""))), read)
+    # Nearly all values are plain or no number, which two patterns tell; the rest is read in steps.
+    text, zero = value.cast("string"), F.lit(0).cast(dtype)
+    return F.when(text.rlike(_PLAIN), F.coalesce(text.try_cast(dtype), zero)).when(text.isNull() | text.rlike(_NO_NUMBER), zero).otherwise(let(strip(text), read))
 
 
 def dot_amount(value: Column, dtype: str = MONEY) -> Column:

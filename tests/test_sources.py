@@ -449,3 +449,22 @@ def test_rows_of_a_load_are_stored_in_few_files(spark, tmp_path):
     writers.store_scenarios(rows, str(tmp_path / "s"), "uno")
     assert len(list((tmp_path / "s/tabla").rglob("part-*.parquet"))) == 2
     assert writers.read_scenarios(spark, str(tmp_path / "s")).count() == 400
+
+
+def test_an_invoice_is_parsed_once(spark):
+    files = spark.createDataFrame([("a", bytearray(invoice().encode())), ("b", None), ("c", bytearray(b"<otra/>"))], "archivo STRING, content BINARY")
+    rows = feeds.parse_invoices(files)
+    assert [(r.archivo, r.id, r.concepto) for r in rows.collect()] == [("a", "F001-7", "Cemento; Arena; Cal")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1  # not in a filter and again below it
+
+
+def test_plain_amounts_are_read_directly(spark):
+    texts = ["12.5", "-0.005", "1.0049999", "0.005", "9999999999999999.99", "9999999999999999.999999", "12345678901234567", "1,234.5", "1.234,56", "1e2", "+5", " 7 ", "7.",
+             ".5", "05/01/2026", "F001", "E", "", None, "12.5\n", "1.2.3", "\xa03.1\xa0", "٣"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    got = [r[0] for r in rows.select(normalize.parse_amount(F.col("t"))).collect()]
+    assert [str(v) for v in got] == [
+        "12.50", "-0.01", "1.01", "0.01", "9999999999999999.99", "0.00", "0.00", "1234.50", "1234.56", "100.00", "5.00", "7.00", "7.00",
+        "0.50", "0.00", "0.00", "0.00", "0.00", "0.00", "12.50", "0.00", "3.10", "3.00"]
+    direct = str(normalize.parse_amount(F.col("t"))).split("transform")[0]  # before, every value was read in steps
+    assert "[0-9]{1,16}" in direct
