@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlab.functions.text import strip
 from ledgerlab.operators.vouchers import XML_TYPES
+from ledgerlab.sources.files import content_of, dealt, list_files
 
 RATE = "decimal(7,3)"
 # Month abbreviations of the rate feed.
@@ -110,11 +111,14 @@ def read_attachments(
     """Files as bytes: path, nombre, length, content.
 
     Bounds on the length and the time of the last change reach the source: other files are listed and never opened.
-    Contents are read only where they are asked for.
+    Contents are read only where they are asked for. Tasks list and read the files where all machines see them.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    listed = list_files(spark, path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path) if listed is None else listed
     if lengths is not None:
         files = files.filter(F.col("length").between(*lengths))
     if changed is not None:
         files = files.filter((F.col("modificationTime") >= changed[0]) & (F.col("modificationTime") < changed[1]))
+    if listed is not None:
+        files = dealt(files, listed.count()).withColumn("content", content_of(F.col("path")))
     return named_files(files, name)

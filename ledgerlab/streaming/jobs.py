@@ -10,8 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlab.operators.attachments import validate_attachment
 from ledgerlab.operators.fx import upsert_fx
+from ledgerlab.session import path_exists
 from ledgerlab.sinks import versions
 from ledgerlab.sources.feeds import fx_daily_rows, named_files
+from ledgerlab.sources.files import LISTED, content_of, dealt, list_files, tasks_of
 from ledgerlab.streaming import hashes
 
 BINARY = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
@@ -21,10 +23,6 @@ RATES = "fecha DATE, compra DECIMAL(7,3), venta DECIMAL(7,3), fuente STRING, upd
 LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
-def _tasks(spark: SparkSession) -> int:
-    return 8 * spark.sparkContext.defaultParallelism
-
-
 def checked(files: DataFrame, company_id: int, max_bytes: int) -> DataFrame:
     """Files (path, nombre, length, content) of a company with their hash and what is wrong with them."""
     return validate_attachment(files, max_bytes).withColumn("company_id", F.lit(company_id))
@@ -40,7 +38,7 @@ def store_attachments(store: str, buckets: int = hashes.BUCKETS, merge_after: in
     def store_batch(batch: DataFrame, batch_id: int) -> None:
         session, part, key = batch.sparkSession, f"lote={batch_id}", ["company_id", "sha256"]
         # Spark opens some 32 small files a task; a part for each of those would cost more than its files.
-        accepted = batch.withColumn("content", F.when(F.col("ok"), F.col("content"))).coalesce(_tasks(session))
+        accepted = batch.withColumn("content", F.when(F.col("ok"), F.col("content"))).coalesce(tasks_of(session))
         accepted.write.mode("overwrite").parquet(f"{store}/entrada")
         entered = session.read.parquet(f"{store}/entrada")
         valid = entered.filter("ok")
@@ -65,6 +63,26 @@ def attachment_log(spark: SparkSession, store: str) -> DataFrame:
     return log.select(F.col("lote").cast("bigint").alias("lote"), "nombre", "sha256", "estado", F.coalesce("motivo", F.lit("")).alias("motivo"))
 
 
+def _new_files(spark: SparkSession, inbox: str, checkpoint: str) -> DataFrame | None:
+    """The stream of an inbox's files, by a listing beside its checkpoint that grows by those it lacks; None where tasks cannot list the inbox.
+
+    The stream's source is the listing, a few files of many names, so neither its log nor the driver holds a name for each.
+    A run that is lost behind its listing leaves names that the next one takes up.
+    """
+    found, folder = list_files(spark, inbox), f"{checkpoint.rstrip('/')}/listado"
+    if found is None:
+        return None
+    if path_exists(spark, folder):
+        found = found.join(spark.read.schema(LISTED).parquet(folder).select("path"), "path", "left_anti")
+    else:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+    count = found.count()
+    if count:  # a part without rows would make a batch of its own
+        found.write.mode("append").parquet(folder)
+    return dealt(spark.readStream.schema(LISTED).parquet(folder), count).withColumn("content", content_of(F.col("path")))
+
+
 def ingest_attachments_stream(
     spark: SparkSession, inbox: str, store: str, company_id: int, max_bytes: int, checkpoint: str, name: Column | None = None,
 ) -> StreamingQuery:
@@ -73,9 +91,11 @@ def ingest_attachments_stream(
     Hashes stay unique for ever, so they are compared with a store of hashes in each batch instead of growing
     stream state. `name` is a file's name where its path does not end in it.
     """
-    files = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(inbox)
-    # A stream lists a batch's files again, under its session's settings while it runs: by default with a task for each.
-    spark.conf.set(LISTING, min(int(spark.conf.get(LISTING)), _tasks(spark)))
+    files = _new_files(spark, inbox, checkpoint)
+    if files is None:
+        files = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(inbox)
+        # A stream lists a batch's files again, under its session's settings while it runs: by default with a task for each.
+        spark.conf.set(LISTING, min(int(spark.conf.get(LISTING)), tasks_of(spark)))
     return (checked(named_files(files, name), company_id, max_bytes).writeStream.foreachBatch(store_attachments(store)).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 

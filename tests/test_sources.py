@@ -15,7 +15,7 @@ from ledgerlab.functions import normalize
 from ledgerlab.operators import profile
 from ledgerlab.session import cut_lineage
 from ledgerlab.sinks import versions, writers
-from ledgerlab.sources import delimited, feeds, ledgers, lines
+from ledgerlab.sources import delimited, feeds, files, ledgers, lines
 from ledgerlab.streaming import hashes, jobs
 
 
@@ -468,3 +468,29 @@ def test_plain_amounts_are_read_directly(spark):
         "0.50", "0.00", "0.00", "0.00", "0.00", "0.00", "12.50", "0.00", "3.10", "3.00"]
     direct = str(normalize.parse_amount(F.col("t"))).split("transform")[0]  # before, every value was read in steps
     assert "[0-9]{1,16}" in direct
+
+
+def test_files_are_listed_as_spark_finds_them(spark, tmp_path):
+    for name in ("a.bin", "x/b c.bin", "x/y/ñ%20.bin", "x/y/_no.bin", ".no/d.bin", "_no/e.bin", "_k=1/f.bin", "x/g._COPYING_"):
+        put(tmp_path / "f" / name, name * 3)
+    names = ["path", "modificationTime", "length", "content"]
+    for path in (tmp_path / "f", tmp_path / "f/x/*", tmp_path / "f/a.bin"):
+        theirs = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(path)).select(names)
+        ours = files.list_files(spark, str(path))
+        assert sorted(ours.withColumn("content", files.content_of(F.col("path"))).collect()) == sorted(theirs.collect())
+    assert files.list_files(spark, str(tmp_path / "none")) is None
+
+
+def test_stream_keeps_no_name_for_each_file(spark, tmp_path):
+    for k in range(60):
+        put(tmp_path / f"in/{k % 3}/{k:02d}.pdf", b"%PDF-1.4\n1 0 obj\n" + b" " * (100 + k))
+    run = lambda: jobs.ingest_attachments_stream(spark, str(tmp_path / "in"), str(tmp_path / "store"), 7, 10_000, str(tmp_path / "ck")).awaitTermination()
+    run(), run()
+    assert len(list((tmp_path / "ck/commits").glob("[0-9]*"))) == 1  # without new files there is no batch
+    put(tmp_path / "in/1/00.pdf", b"%PDF-1.4\n1 0 obj\n" + b" " * 300)  # files are known by their paths
+    put(tmp_path / "in/1/again.pdf", b"%PDF-1.4\n1 0 obj\n" + b" " * 100)
+    run()
+    logged = "".join(path.read_text() for path in (tmp_path / "ck/sources/0").glob("[0-9]*"))
+    assert ".pdf" not in logged and logged.count("path") <= 6
+    log = jobs.attachment_log(spark, str(tmp_path / "store")).collect()
+    assert sorted((r.lote, r.estado) for r in log) == [(0, "guardado")] * 60 + [(1, "duplicado"), (1, "guardado")]
