@@ -194,7 +194,7 @@ UNION ALL SELECT s.periodo, 'B' FROM s ANTI JOIN e USING (periodo, ruc_proveedor
 def scenario_files(spark: SparkSession, sf: str) -> DataFrame:
     """All periods stored as one load, one period as another that comes twice, counted as they are read back."""
     folder = _folder(spark, "scenarios")
-    writers.store_scenarios(purchases(spark, sf).rows, folder, "carga-1", _SHEET)
+    writers.store_scenarios(purchases(spark, sf), folder, "carga-1", _SHEET)
     # All rows are written once; only those that come again are kept aside.
     again = cut_lineage(writers.read_scenarios(spark, folder).filter(F.col("periodo") == _AGAIN).drop("carga"), "scenario-rows")
     for _ in range(2):

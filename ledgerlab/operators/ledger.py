@@ -84,14 +84,15 @@ def with_key(df: DataFrame) -> DataFrame:
     )
 
 
-def last_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keep the last row of every key: highest `line_no`, then date and amounts for a stable choice.
+def last_per_key(df: DataFrame, keys: list[str], rank_name: str | None = None) -> DataFrame:
+    """Keep the last row of every key: highest `line_no`, then date and amounts for a stable choice; its rank too, when it has a name.
 
     Spark limits the rank within each task before the shuffle, so a hot key sends one row per task.
     """
     order = ["line_no", "fecha_emision", "base_imponible", "igv", "importe_total", "razon_social"]
     rank = F.row_number().over(Window.partitionBy(keys).orderBy([F.desc(n) for n in order]))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    last = df.withColumn("_rank", rank).filter("_rank = 1")
+    return last.withColumnRenamed("_rank", rank_name) if rank_name else last.drop("_rank")
 
 
 def surplus_per_key(df: DataFrame, keys: list[str]) -> DataFrame:

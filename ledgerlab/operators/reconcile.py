@@ -12,6 +12,7 @@ from pyspark.sql.types import DataType
 from ledgerlab.errors import InvalidSpec
 from ledgerlab.operators import ledger as L
 from ledgerlab.operators.receipts import receipts_as_scenarios, receipts_by_day
+from ledgerlab.session import shuffles_dropped
 
 BOOKS = {"ventas": L.SALES_TYPES, "compras": L.PURCHASE_TYPES}
 LATE_MONTHS = 12
@@ -76,20 +77,22 @@ def _red_difference(diffs: Column) -> Column:
 
 def _matched(rows: DataFrame, side: str) -> DataFrame:
     """Rows with the columns of `_MATCH`. None of them is null, so joins add no null filters that would keep the shuffles of
-    one ledger from being shared; a row without a period bears its side instead, which no other side's row does."""
+    one ledger from being shared; a row without a period bears its side instead, which no other side's row does. The type is
+    written anew, or a filter on it would go over to the other side of some joins with the same effect."""
     period = F.coalesce(F.concat(F.lit("="), F.col("periodo").cast("string")), F.lit(side))
-    return rows.withColumn("k_periodo", period)
+    return rows.withColumns({"k_periodo": period, "k_tipo": F.concat("k_tipo", F.lit(""))})
 
 
 def _once(rows: DataFrame, side: str) -> DataFrame:
     """The last row of every key: `e_hay` (or `s_hay`) and a column for each carried one, `e_igv`.
 
     They are columns and not a struct, so those that a scenario does not ask for leave before the shuffle; so do texts that
-    equal their key (`_own_text` fills them again).
+    equal their key (`_own_text` fills them again). `e_hay` is made of the rank: were it a constant, the optimizer would ask for
+    fewer columns in one of two joins, and they would not read one shuffle.
     """
     slim = _matched(rows, side).withColumns({n: F.nullif(F.col(n), F.col(k)) for n, k in _KEY_OF.items()})
-    last = L.last_per_key(slim, _MATCH)
-    return last.select(*_MATCH, F.lit(True).alias(f"{side}_hay"), *[F.col(n).alias(f"{side}_{n}") for n in _CARRIED])
+    last = L.last_per_key(slim, _MATCH, "hay")
+    return last.select(*_MATCH, F.nullif("hay", F.lit(0)).alias(f"{side}_hay"), *[F.col(n).alias(f"{side}_{n}") for n in _CARRIED])
 
 
 def _own_text(name: str) -> Column:
@@ -166,7 +169,7 @@ class Reconciliation:
             rows = rows.withColumn("b_periodo", month)
             rows = rows.join(_named(keys), _asked(rows), "left_anti").drop("b_periodo")
         both = [*rows.columns, "e_hay", "s_hay", *[f"{side}_{n}" for side in "es" for n in _CARRIED]]
-        kinds = {f"{empty}_{n}": other.schema[n].dataType for n in _CARRIED} | {f"{empty}_hay": "boolean"}
+        kinds = {f"{empty}_{n}": other.schema[n].dataType for n in _CARRIED} | {f"{empty}_hay": "int"}
         return rows.select(*[F.lit(None).cast(kinds[n]).alias(n) if n in kinds else F.col(n) for n in dict.fromkeys(both)], F.lit("").alias("periodo_hallazgo"))
 
     def _rescued(self, pairs: DataFrame, ours: DataFrame, theirs: DataFrame, how: str) -> DataFrame:
@@ -204,19 +207,28 @@ class Reconciliation:
             return pairs
         return _within_coverage(pairs, _present_days(self.ours, self.coverage, self.theirs))
 
-    def _build(self, pairs: DataFrame) -> DataFrame:
-        rows = _scenarios(pairs, self.book)
+    def _build(self, pairs: DataFrame, folder: str | None = None) -> DataFrame:
+        narrow = _narrow(pairs, self.book)
+        rows = _scenarios(narrow if folder is None else _gathered(_kept(narrow, folder)), self.book)
         if self.receipts is None:
             return rows
         daily = receipts_as_scenarios(self.receipts).withColumn("igv_total", F.coalesce("igv_empresa", "igv_sunat"))
         texts = ["ruc_proveedor", "razon_social", "status_description", "periodo_hallazgo"]
-        return rows.unionByName(daily, allowMissingColumns=True).na.fill("", texts)
+        return rows.unionByName(daily if folder is None else _gathered(daily), allowMissingColumns=True).na.fill("", texts)
 
     @property
     def rows(self) -> DataFrame:
         """All scenarios as one table with an `escenario` column."""
         return self._build(self._covered(self.pairs))
 
+    def gathered_rows(self, folder: str) -> DataFrame:
+        """`rows` with those of a period and scenario in few tasks, for a writer that parts by both.
+
+        Pairs are kept in a folder first, before the differences and what else follows from them make them wide: the shuffles of
+        the ledgers are dropped before the pairs are shuffled.
+        """
+        return self._build(self._covered(self.pairs), folder)
+
     def scenario(self, letter: str, stored: DataFrame | None = None) -> DataFrame:
         """Rows of one scenario with its report columns."""
         if letter not in ("A", "B", "C", "D"):
@@ -331,22 +343,48 @@ def _asked(rows: DataFrame) -> Column:
     return reduce(lambda a, b: a & b, [rows["b_periodo" if n == "k_periodo" else n] == F.col(f"f_{n}") for n in _MATCH])
 
 
-def _scenarios(pairs: DataFrame, book: str) -> DataFrame:
-    diffs = F.when(F.col("e_hay").isNotNull() & F.col("s_hay").isNotNull(), diff_fields(book))
-    compared = pairs.withColumn("diferencias", diffs)
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Rows of a period and scenario in few tasks (adaptive execution splits large ones)."""
+    return rows.hint("rebalance", "periodo", "escenario")
+
+
+def _kept(rows: DataFrame, folder: str) -> DataFrame:
+    """Rows as they are read back from a folder that nothing else uses."""
+    with shuffles_dropped(rows.sparkSession):
+        rows.write.option("compression", "zstd").parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+# What the authority has like the company in most pairs, and never NULL.
+_ALIKE = [*L.AMOUNTS, "moneda"]
+
+
+def _narrow(pairs: DataFrame, book: str) -> DataFrame:
+    """What a row of a scenario is made of, its letter included; of `_ALIKE` the authority's only where it differs."""
     letter = F.when(F.col("s_hay").isNull(), "A").when(F.col("e_hay").isNull(), "B").when(differs(book), "C").otherwise("D")
+    name = F.coalesce(F.nullif(F.col("e_razon_social"), F.lit("")), F.col("s_razon_social"), F.lit(""))
+    # What is alike lies together at the end, mostly as one run of zeros, and the letter tells which side is there: both make the shuffle smaller.
+    ours = [f"e_{n}" for n in ("fecha_emision", "moneda", "tipo_cambio", *L.AMOUNTS)]
+    alike = [F.nullif(F.col(f"s_{n}"), F.col(f"e_{n}")).alias(f"s_{n}") for n in _ALIKE]
+    return pairs.select(
+        letter.alias("escenario"), "periodo", *[_own_text(n) for n in ("tipo_cdp", "serie", "numero", "ruc_proveedor")], name.alias("razon_social"),
+        F.coalesce("e_status_description", F.lit("")).alias("status_description"), "periodo_hallazgo", *ours, "s_fecha_emision", "s_tipo_cambio", *alike)
+
+
+def _scenarios(narrow: DataFrame, book: str) -> DataFrame:
+    """Rows of `_narrow` with all that follows from a pair."""
+    letter = F.col("escenario")
+    full = narrow.withColumns({f"s_{n}": F.when(letter != "A", F.coalesce(f"s_{n}", f"e_{n}")) for n in _ALIKE})
+    compared = full.withColumn("diferencias", F.when(letter.isin("C", "D"), diff_fields(book)))
     igv_total = F.coalesce(_igv("e"), _igv("s"))
     one_sided = F.abs(igv_total) > F.lit(L.RED_IGV).cast(L.MONEY)
     red = F.when(letter.isin("A", "B"), one_sided).when(letter == "C", _red_difference(F.col("diferencias"))).otherwise(False)
     both = [c for n in L.AMOUNTS for c in (F.col(f"e_{n}").alias(f"{n}_empresa"), F.col(f"s_{n}").alias(f"{n}_sunat"))]
-    name = F.coalesce(F.nullif(F.col("e_razon_social"), F.lit("")), F.col("s_razon_social"), F.lit(""))
     return compared.select(
-        letter.alias("escenario"), "periodo",
-        *[_own_text(n) for n in ("tipo_cdp", "serie", "numero")],
+        "escenario", "periodo", "tipo_cdp", "serie", "numero",
         F.col("e_fecha_emision").alias("fecha_emision_empresa"), F.col("s_fecha_emision").alias("fecha_emision_sunat"),
         *both, "diferencias", red.alias("es_alerta_roja"), igv_total.cast(L.MONEY).alias("igv_total"),
-        _own_text("ruc_proveedor"), name.alias("razon_social"),
-        F.coalesce("e_status_description", F.lit("")).alias("status_description"), "periodo_hallazgo",
+        "ruc_proveedor", "razon_social", "status_description", "periodo_hallazgo",
         F.col("e_moneda").alias("moneda_empresa"), F.col("s_moneda").alias("moneda_sunat"),
         F.col("e_tipo_cambio").alias("tipo_cambio_empresa"), F.col("s_tipo_cambio").alias("tipo_cambio_sunat"),
     )

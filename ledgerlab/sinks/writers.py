@@ -11,6 +11,7 @@ from ledgerlab.errors import EmptyDataset, ExportTooLarge, InvalidSpec
 from ledgerlab.operators.reconcile import Reconciliation, difference_text
 from ledgerlab.operators.records import REPORT_COLUMNS
 from ledgerlab.operators.tables import schema_of
+from ledgerlab.session import shuffles_dropped
 from ledgerlab.sinks import versions
 
 # Text separators, and the rows that a sheet holds.
@@ -86,18 +87,23 @@ def write_scenarios(result: Reconciliation, path: str) -> DataFrame:
     return stored.groupBy("escenario").agg(F.count(F.lit(1)).alias("filas")).withColumn("desborda_hoja", F.col("filas") > MAX_SHEET_ROWS)
 
 
-def store_scenarios(rows: DataFrame, path: str, load: str, sheet_rows: int = MAX_SHEET_ROWS) -> DataFrame:
+def store_scenarios(rows: DataFrame | Reconciliation, path: str, load: str, sheet_rows: int = MAX_SHEET_ROWS) -> DataFrame:
     """Store the scenario rows of some periods as a load, and return the manifest: (periodo, escenario, carga, filas, desborda_hoja).
 
     Partitions are named by period, scenario and load, so a load that is repeated overwrites its own and nothing else; a
     load's rows are the same each time. Rows of a partition are gathered into few files first (adaptive execution splits large
-    ones), or every task would write a file into each. The manifest is a table of versions: readers see a period as it was before the load
+    ones), or every task would write a file into each; a reconciliation gathers its own, while they are narrow. The manifest is a table of versions: readers see a period as it was before the load
     or after it, never between, and partitions that an earlier load of the same period left are not named any more.
     """
-    spark, base = rows.sparkSession, path.rstrip("/")
-    loaded = rows.withColumn("carga", F.lit(load)).hint("rebalance", "periodo", "escenario")
-    (loaded.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("periodo", "escenario", "carga")
-        .parquet(f"{base}/tabla"))
+    base = path.rstrip("/")
+    pairs = f"{base}/pares-{uuid.uuid4().hex}" if isinstance(rows, Reconciliation) else None
+    gathered = rows.gathered_rows(pairs) if pairs else rows.hint("rebalance", "periodo", "escenario")
+    spark, loaded = gathered.sparkSession, gathered.withColumn("carga", F.lit(load))
+    with shuffles_dropped(spark):
+        (loaded.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("periodo", "escenario", "carga")
+            .parquet(f"{base}/tabla"))
+    if pairs:
+        versions.drop(spark, pairs)
     counts = _table(spark, base).filter(F.col("carga") == load).groupBy("periodo", "escenario", "carga").agg(F.count(F.lit(1)).alias("filas"))
     counts = counts.withColumn("desborda_hoja", F.col("filas") > sheet_rows)
     earlier = versions.base_of(spark, f"{base}/manifiesto", load)

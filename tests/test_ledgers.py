@@ -265,3 +265,24 @@ def test_late_purchases_carry_only_what_a_scenario_needs(spark):
     assert counts == {"A": 2, "B": 3, "C": 2, "D": 1}
     plan = result.scenario("D").select("periodo", "numero")._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "mto_exonerado" in line and "LogicalRDD" not in line]
+
+
+def test_a_load_is_gathered_while_narrow_and_reads_a_ledger_once(spark, tmp_path):
+    ours = [("202401", str(k), "10.00" if k % 3 else None, "USD" if k % 2 else None) for k in range(8)] + [("202402", "30", "7.00", None)]
+    theirs = [("202401", f"00{k}", "10.00", "PEN") for k in range(2, 12)] + [("202312", "30", "9.00", "PEN")]
+
+    def book(rows, name):
+        df = spark.createDataFrame(rows, "periodo STRING, numero STRING, importe_total STRING, moneda STRING")
+        df.selectExpr("*", "'01' AS tipo_cdp", "'F001' AS serie", "'20100070970' AS ruc_proveedor", "date '2023-12-05' AS fecha_emision").write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    result = reconcile.reconcile(book(ours, "e"), book(theirs, "s"), "compras", late=True)
+    names = result.rows.columns
+    rows = sorted(map(str, result.rows.collect()))
+    writers.store_scenarios(result, str(tmp_path / "s"), "uno")
+    assert sorted(map(str, writers.read_scenarios(spark, str(tmp_path / "s")).select(names).collect())) == rows
+    assert {r.escenario for r in result.rows.collect()} == set("ABCD") and not list((tmp_path / "s").glob("pares*"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = result.rows._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("ReusedExchange") >= 2  # the rescue reads both ledgers' shuffles
