@@ -31,14 +31,14 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
 
 
-def _rendered(rows: DataFrame, at: dict[int, Column], width: int, heading: bool = False) -> str:
+def _rendered(rows: DataFrame, at: dict[int, Column], width: int, heading: bool = False, compression: str = "none") -> str:
     """A folder of '|' lines with the given fields; each file begins with a heading where asked."""
     folder = _folder(rows.sparkSession)
     fields = [F.coalesce(at.get(k, F.lit("")).cast("string"), F.lit("")).alias(f"campo_{k}") for k in range(width)]
     if heading:
-        rows.select(fields).write.option("sep", "|").option("header", True).option("emptyValue", "").csv(folder)
+        rows.select(fields).write.option("sep", "|").option("header", True).option("emptyValue", "").option("compression", compression).csv(folder)
     else:
-        rows.select(F.concat_ws("|", *fields).alias("value")).write.text(folder)
+        rows.select(F.concat_ws("|", *fields).alias("value")).write.option("compression", compression).text(folder)
     return folder
 
 

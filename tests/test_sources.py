@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlab.demo import detail_queries
+from ledgerlab.demo import detail_queries, reader_queries
 from ledgerlab.demo.stream_queries import as_files
 from ledgerlab.errors import EmptyDataset, InvalidSpec
 from ledgerlab.functions import normalize
@@ -494,3 +494,16 @@ def test_stream_keeps_no_name_for_each_file(spark, tmp_path):
     assert ".pdf" not in logged and logged.count("path") <= 6
     log = jobs.attachment_log(spark, str(tmp_path / "store")).collect()
     assert sorted((r.lote, r.estado) for r in log) == [(0, "guardado")] * 60 + [(1, "duplicado"), (1, "guardado")]
+
+
+def test_files_of_formats_are_packed(spark, tmp_path, monkeypatch):
+    lines_ = spark.range(40).selectExpr(
+        "id * 6 + 4 AS l_orderkey", "id AS l_partkey", "id % 5 AS l_suppkey", "cast(id % 3 AS int) AS l_linenumber", "cast(id AS double) AS l_quantity", "id * 10.5D AS l_extendedprice",
+        "0.01D AS l_discount", "0.02D AS l_tax", "element_at(array('A', 'N', 'R'), cast(id % 3 AS int) + 1) AS l_returnflag", "timestamp_ntz '1995-03-05 00:00:00' AS l_shipdate")
+    lines_.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for module in (detail_queries, reader_queries):
+        monkeypatch.setattr(module, "shared_folder", lambda spark: str(tmp_path / "kept"))
+    found = detail_queries.file_formats(spark, str(tmp_path)).filter("libro = 'ventas'").collect()
+    assert sorted((r.caso, r.formato) for r in found) == [("a", "ple_ventas"), ("b", "ple_compras"), ("c", "plataforma"), ("d", "ple_no_cuadra"), ("e", "desconocido")]
+    parts = [p.name for p in (tmp_path / "kept").rglob("part-*")]
+    assert len(parts) == 5 and all(name.endswith(".gz") for name in parts)
