@@ -173,7 +173,7 @@ def _add(kind: str, name: str, layouts: tuple[Layout, Layout]) -> None:
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
         # A generator renders each text once, as a stored text column would give it.
-        docs = L.table(spark, sf, "orders").selectExpr("o_orderkey AS doc_id", f"explode(array({text})) AS texto")
+        docs = L.spread(L.table(spark, sf, "orders")).selectExpr("o_orderkey AS doc_id", f"explode(array({text})) AS texto")
         return O.extract_fields(docs, kind)
 
     query.__name__, query.__doc__ = name, f"Every field of {kind}, by a full layout and a sparse one."

@@ -5,6 +5,8 @@ Patterns run with Unicode classes and `\\n` as the only line end; a missing matc
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,8 +43,8 @@ def rx(pattern: str, flags: str = "") -> str:
 
 
 def hit(text: Column, pattern: str, group: int = 1, flags: str = "i") -> Column:
-    """A group of the first match, NULL without one."""
-    return F.nullif(F.regexp_extract(text, rx(pattern, flags), group), F.lit(""))
+    """A group of the first match, NULL without one. The match is bound: a bare comparison would look for it twice."""
+    return let(F.regexp_extract(text, rx(pattern, flags), group), lambda match: F.when(match != "", match))
 
 
 def found(text: Column, pattern: str, flags: str = "i") -> Column:
@@ -91,17 +93,34 @@ def ruc_at(text: Column, position: int) -> Column:
     return F.get(all_rucs(text), F.lit(position))
 
 
-def amount(text: Column, labels: list[str]) -> Column:
+# What a pattern takes for these letters, whatever their case, though it stays itself in upper case.
+_ALSO = {"I": "\u0130", "K": "\u212a"}
+
+
+def holds(upper: Column, word: str) -> Column:
+    """Whether a text in upper case holds a word, or a sign that patterns take for one of its letters: cheap, and no match of the word goes without."""
+    signs = [word.upper(), *[sign for letter, sign in _ALSO.items() if letter in word.upper()]]
+    return reduce(lambda a, b: a | b, [upper.contains(sign) for sign in signs])
+
+
+def word_first(name: str) -> str:
+    """A literal pattern at the start of a word. The letter is looked for before the start: fewer places of a text are tried."""
+    return rf"{name[0]}(?<=\b{name[0]}){name[1:]}" if name[0].isalpha() else rf"\b{name}"
+
+
+def amount(text: Column, labels: list[str], upper: Column | None = None) -> Column:
     """Amount after the first label that has one: the `S/` form first, then the bare form.
 
-    A bare TOTAL does not count when it is part of "Sub Total".
+    A bare TOTAL does not count when it is part of "Sub Total". With the text in upper case, a label is only looked for in texts that hold it.
     """
     forms = []
     for label in labels:
         name = quoted(label)
-        before = r"(?<!Sub\s)(?<!sub\s)(?<!SUB\s)" if label.upper() in ("TOTAL", "TOTAL:") else ""
-        forms.append(number(hit(text, rf"\b{name}\b[^\n]{{0,25}}?S/\s*{AMOUNT}")))
-        forms.append(number(hit(text, rf"{before}\b{name}\b\s*[:\.]?\s*{AMOUNT}")))
+        start, bare = word_first(name), word_first(name)
+        if label.upper() in ("TOTAL", "TOTAL:"):
+            bare = rf"(?<!Sub\s)(?<!sub\s)(?<!SUB\s)\b{name}"
+        found_forms = [number(hit(text, rf"{start}\b[^\n]{{0,25}}?S/\s*{AMOUNT}")), number(hit(text, rf"{bare}\b\s*[:\.]?\s*{AMOUNT}"))]
+        forms += found_forms if upper is None else [F.when(holds(upper, label), F.coalesce(*found_forms))]
     return F.coalesce(*forms)
 
 

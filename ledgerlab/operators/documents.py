@@ -15,14 +15,21 @@ from ledgerlab.errors import InvalidSpec
 from ledgerlab.functions import text as X
 from ledgerlab.functions.values import let
 
-Rule = Callable[[Column], Column]
+Rule = Callable[..., Column]
+_UPPER = "_mayusculas"
 _UP = "A-ZÁÉÍÓÚÑ"
 
 # --- rule constructors -----------------------------------------------------------------------
 
 
+def with_upper(rule: Rule) -> Rule:
+    """A rule that takes the text in upper case too, to pass over what a text does not hold."""
+    rule.with_upper = True
+    return rule
+
+
 def money(*labels: str) -> Rule:
-    return lambda t: X.amount(t, list(labels))
+    return with_upper(lambda t, upper=None: X.amount(t, list(labels), upper))
 
 
 def captured(*patterns: str, group: int = 1) -> Rule:
@@ -142,11 +149,15 @@ def buyer_name(t: Column) -> Column:
 
 
 def invoice_date(t: Column) -> Column:
-    return F.coalesce(X.any_date(X.hit(t, _INVOICE_DATE, 1, "is")), X.any_date(t))
+    return F.coalesce(let(X.hit(t, _INVOICE_DATE, 1, "is"), X.any_date), X.any_date(t))
 
 
-def currency(t: Column) -> Column:
-    return F.when(X.found(t, _DOLLARS), "USD").when(X.found(t, _EUROS), "EUR").otherwise("PEN")
+@with_upper
+def currency(t: Column, upper: Column | None = None) -> Column:
+    dollars, euros = X.found(t, _DOLLARS), X.found(t, _EUROS)
+    if upper is not None:
+        dollars, euros = (upper.contains("USD") | upper.contains("LAR") | upper.contains("$")) & dollars, upper.contains("EUR") & euros
+    return F.when(dollars, "USD").when(euros, "EUR").otherwise("PEN")
 
 
 def _row_item(line: Column) -> Column:
@@ -164,8 +175,11 @@ def item_description(t: Column) -> Column:
 
 
 def _item_of_lines(lines: Column) -> Column:
-    heads = F.array_compact(F.transform(lines, lambda line, i: F.when(X.found(line, _ITEM_HEAD), i)))
-    return let(F.get(heads, F.lit(0)), lambda at: F.substring(F.coalesce(
+    # Lines behind the first heading, and rows behind the first one with a name, are not looked at.
+    step = lambda state, line: F.struct((state["n"] + 1).alias("n"), F.when(
+        state["at"].isNotNull(), state["at"]).when(X.found(line, _ITEM_HEAD), state["n"]).alias("at"))
+    first = F.aggregate(lines, F.struct(F.lit(0).alias("n"), F.lit(None).cast("int").alias("at")), step, lambda state: state["at"])
+    return let(first, lambda at: F.substring(F.coalesce(
         let(X.grab(F.get(lines, at), _ITEM_SAME_LINE), lambda same: F.when(same.rlike("[A-Za-zÁÉÍÓÚÑ]"), same)),
         _first_row(F.slice(lines, at + 2, F.lit(_ITEM_ROWS)))), 1, _ITEM_LENGTH))
 
@@ -177,7 +191,7 @@ def _first_row(below: Column) -> Column:
         low = F.regexp_replace(F.lower(line), "[.:]+$", "")
         return ~(line.rlike(number_line) | low.isin(_ITEM_SKIPPED + _UNITS) | (F.length(line) < 4) | low.rlike(_ITEM_SKIPPED_STARTS))
 
-    return F.get(F.array_compact(F.transform(F.filter(below, is_row), _row_item)), F.lit(0))
+    return F.aggregate(below, F.lit(None).cast("string"), lambda item, line: F.when(item.isNotNull(), item).when(is_row(line), _row_item(line)))
 
 
 def _upper_name_line(t: Column) -> Column:
@@ -254,7 +268,7 @@ _INVOICE = {
     "ruc_proveedor": supplier_ruc, "razon_social_prov": supplier_name,
     "direccion_prov": captured(_SUPPLIER_ADDRESS, group=0), "ruc_cliente": client_ruc,
     "razon_social_cli": captured(_CLIENT_NAME_BLOCK, _CLIENT_NAME), "direccion_cli": captured(_CLIENT_ADDRESS),
-    "fecha_emision": invoice_date, "fecha_vencimiento": lambda t: X.any_date(X.hit(t, _INVOICE_DUE)),
+    "fecha_emision": invoice_date, "fecha_vencimiento": lambda t: let(X.hit(t, _INVOICE_DUE), X.any_date),
     "condicion_pago": captured(_TERMS), **_VOUCHER, "descripcion": item_description,
     "subtotal": money("OP. AFECTA", "OP. GRAVADA", "OP. INAFECTA", "OP. EXONERADA", "SUBTOTAL", "Sub Total"),
     "descuentos": money("DESCUENTO", "DSCTO", "REBAJA"), "igv": money(*_IGV3, "IGV 18%"),
@@ -383,7 +397,11 @@ def extract_fields(docs: DataFrame, kind: str, text: str = "texto", only: list[s
     if "tipo" in docs.columns:
         docs = docs.filter(F.col("tipo") == kind)
     kept = [c for c in docs.columns if c != text]
-    out = docs.select(*kept, *[FIELDS[kind][n](F.col(text)).alias(n) for n in names])
+    rules, given = {n: FIELDS[kind][n] for n in names}, [F.col(text)]
+    if any(hasattr(rule, "with_upper") for rule in rules.values()):
+        # A generator makes it once, however many rules look into it.
+        docs, given = docs.select("*", F.explode(F.array(F.upper(text))).alias(_UPPER)), [*given, F.col(_UPPER)]
+    out = docs.select(*kept, *[rule(*given[:2 if hasattr(rule, "with_upper") else 1]).alias(n) for n, rule in rules.items()])
     # Payslip pages without a worker or an id hold no record.
     return out.filter("trabajador is not null or dni is not null") if kind == "boleta_pago" and only is None else out
 

@@ -497,7 +497,7 @@ def test_stream_keeps_no_name_for_each_file(spark, tmp_path):
 
 
 def test_files_of_formats_are_packed(spark, tmp_path, monkeypatch):
-    lines_ = spark.range(40).selectExpr(
+    lines_ = spark.range(1, 41).selectExpr(
         "id * 6 + 4 AS l_orderkey", "id AS l_partkey", "id % 5 AS l_suppkey", "cast(id % 3 AS int) AS l_linenumber", "cast(id AS double) AS l_quantity", "id * 10.5D AS l_extendedprice",
         "0.01D AS l_discount", "0.02D AS l_tax", "element_at(array('A', 'N', 'R'), cast(id % 3 AS int) + 1) AS l_returnflag", "timestamp_ntz '1995-03-05 00:00:00' AS l_shipdate")
     lines_.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))

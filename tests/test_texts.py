@@ -273,3 +273,21 @@ def test_labels(spark):
     df = spark.createDataFrame([(1, "ENEL")], "doc_id INT, texto STRING")
     shown = field_labels.labelled(documents.extract_fields(df, "recibo_luz"), "recibo_luz", ["doc_id"])
     assert shown.columns[:3] == ["doc_id", "Empresa", "RUC Empresa"] and "Total a Pagar" in shown.columns
+
+
+def test_labels_are_looked_for_only_where_they_are(spark):
+    texts = ["SubTotal 1.50\nigv: 2.00", "İGV S/ 3.00", "ıgv 4.00", "subtotal x\nSUBTOTAL S/ 5.25", "REDONDEOK 1.00", "sin montos", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING").withColumn("u", F.upper("t"))
+    labels = [["SUBTOTAL", "Sub Total"], ["IGV"], ["REDONDEOK"], ["TOTAL"]]
+    rows = df.select(*[X.amount(F.col("t"), x).alias(f"a{k}") for k, x in enumerate(labels)], *[X.amount(F.col("t"), x, F.col("u")).alias(f"b{k}") for k, x in enumerate(labels)]).collect()
+    assert [tuple(r)[:4] for r in rows] == [tuple(r)[4:] for r in rows] and [r.b1 for r in rows[:3]] == [2.0, 3.0, 4.0] and rows[4].b2 == 1.0
+
+
+def test_documents_of_a_small_table_are_dealt_to_all_tasks(spark, tmp_path):
+    from ledgerlab.demo import document_queries
+
+    spark.range(40).selectExpr("id AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus", "id + 0.5D AS o_totalprice", "timestamp_ntz '1995-03-05 00:00:00' AS o_orderdate",
+                               "'1-URGENT' AS o_orderpriority").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    found = document_queries.QUERIES["all_invoice_fields"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r.moneda, r.descripcion) for r in found.collect()} == {("PEN", "Servicio logistico tipo B"), ("USD", "Cemento gris")}
